@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import NULL_ID, id_key, written
 from .components import components
 
 SEED = 42
@@ -37,6 +37,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Distinct fingerprints of a key that are compared with each other; beyond it they are linked through shared neighbours.
 BUCKET = 64
 _CHUNK = 1 << 16
+#: Sketches: ranges, ranges of a band, and what an empty range holds. 128 ranges estimate 0.8 with a deviation of 0.035.
+BINS, ROWS, EMPTY, SLACK = 128, 5, np.uint32(0xFFFFFFFF), 0.02
 
 
 @lru_cache(1)
@@ -88,35 +90,80 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Unsigned; a bit is 1 if it is set in over half the shingles' hashes."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Unsigned XXH64 of every shingle of a UTF-8 text, repeats included."""
     parts = text.lower().split()  # of bytes: A-Z only, and exactly the six white space characters
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: 1 - words or None].tolist()
     ends, hashed = ends[words - 1 :].tolist(), xxhash.xxh64_intdigest
-    n, total = len(starts), np.zeros(64, np.int64)
-    for a in range(0, n, _CHUNK):
-        h = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[a : a + _CHUNK], ends[a : a + _CHUNK])], np.uint64)
-        total += _bit_counts(h)
-    return int(np.sum(np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)), where=2 * total > n, dtype=np.uint64))
+    return np.array([hashed(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
 
 
-def _bit_counts(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+def fingerprint(h: np.ndarray) -> int:
+    """Unsigned; a bit is 1 if it is set in over half the hashes."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(h), _CHUNK):
+        total += np.unpackbits(h[a : a + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.sum(np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)), where=2 * total > len(h), dtype=np.uint64))
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """One-permutation min-wise sketch of the set of hashes: the least hash of each of BINS equal ranges, EMPTY without one."""
+    h = np.sort(h)
+    at = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
+    least = np.append(h, np.uint64(0))[at]
+    there = (at < len(h)) & (least >> np.uint64(57) == np.arange(BINS, dtype=np.uint64))
+    return np.where(there, (least & np.uint64(0xFFFFFFFF)).astype(np.uint32), EMPTY)
+
+
+def band_keys(sk: np.ndarray) -> list[int]:
+    """Signed keys of the sketch's bands; an empty range borrows from the next one."""
+    full = np.flatnonzero(sk != EMPTY)
+    if not len(full):
+        return []
+    dense = sk[full[np.searchsorted(full, np.arange(BINS)) % len(full)]].tobytes()
+    return [xxhash.xxh64_intdigest(dense[4 * ROWS * b : 4 * ROWS * (b + 1)], b) - (1 << 63) for b in range(BINS // ROWS)]
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = np.array([fingerprint(t.as_py() or b"", words) for t in batch.column(1)], np.uint64)
+        fps = np.array([fingerprint(shingle_hashes(t.as_py() or b"", words)) for t in batch.column(1)], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["_tw_id", "_tw_fp"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps, sketches = [], []
+        for t in batch.column(1):
+            h = shingle_hashes(t.as_py() or b"", words)
+            fps.append(fingerprint(h))
+            sketches.append(sketch(h).tobytes())
+        same = [xxhash.xxh64_intdigest(x, 1) for x in sketches]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(np.array(same, np.uint64).view(np.int64))], ["_tw_id", "_tw_fp", "sketch", "node"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [band_keys(np.frombuffer(x.as_py(), np.uint32)) for x in batch.column(1)]
+        nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array([k for x in keys for k in x], pa.int64()), pa.array(nodes, pa.int64())], ["k", "node"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Estimated similarity of the sketches of a and b: equal ranges among those that are not empty in both."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, BINS) for k in (2, 3))
+        used = (x != EMPTY) | (y != EMPTY)
+        like = ((x == y) & used).sum(1) / np.maximum(1, used.sum(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like, pa.float64())], ["a", "b", "like"])
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
@@ -145,14 +192,70 @@ def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(_tw_id, _tw_fp, _tw_component): each document with its fingerprint and the smallest id it is linked to."""
-    each = written(fingerprints(docs, words, text, doc_id), "fingerprints")
-    fps = written(each.groupBy(F.col("_tw_fp").alias("fp")).agg(F.min("_tw_id").alias("least")), "distinct-fps")
-    roots = components(links(fps)).withColumnRenamed("node", "fp")
+def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """(node, sketch) without repeats to links (a, b) of estimated similarity.
+
+    Candidates share a band. Up to ``bucket`` of a band are compared with each other. Of more, all are compared with the
+    least, and those unlike it with the least of themselves, until none is left: every one ends up linked to, or as, one
+    that stands for its likes.
+    """
+    compared = lambda pairs: (
+        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+        .select("a", "b", "x", "y")
+        .mapInArrow(_compare, "a long, b long, like double")
+        .filter(F.col("like") >= similarity - SLACK)
+        .select("a", "b")
+    )
+    held = written(sketches.select("node", "sketch").mapInArrow(_bands, "k long, node long"), "bands")
+    sizes = held.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    held = written(held.join(sizes, "k"), "band-buckets")
+    few = held.filter(F.col("n") <= bucket)
+    pairs = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter("a < b").select("a", "b").distinct()
+    found, todo = written(compared(pairs), "likes"), held.filter(F.col("n") > bucket).select("k", "node")
+    while not todo.isEmpty():
+        least = todo.groupBy("k").agg(F.min("node").alias("a"))
+        stars = written(todo.join(least, "k").filter("node <> a").select("k", "a", F.col("node").alias("b")), "stars")
+        like = written(compared(stars.select("a", "b").distinct()), "likes")
+        found = found.union(like)
+        todo = written(stars.join(like, ["a", "b"], "left_anti").select("k", F.col("b").alias("node")), "unlike")
+    return found
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None) -> DataFrame:
+    """(_tw_id, _tw_fp, _tw_component): each document with its fingerprint and the smallest id it is linked to.
+
+    ``similarity`` also links documents whose sets of shingles have at least about this Jaccard similarity. Two bits of 64
+    are far too few for that (at 0.8 fingerprints differ in 4 to 14 bits), so min-wise sketches of the same shingle hashes
+    find and verify these.
+    """
+    if similarity is None:
+        each = written(fingerprints(docs, words, text, doc_id), "fingerprints")
+        fps = written(each.groupBy(F.col("_tw_fp").alias("fp")).agg(F.min("_tw_id").alias("least")), "distinct-fps")
+        edges, node = links(fps), "_tw_fp"
+    else:
+        source = docs.select(F.col(doc_id).cast("long").alias("_tw_id"), F.col(text).cast("string").cast("binary").alias("_tw_text"))
+        each = written(source.mapInArrow(lambda it: _sketches(it, words), "_tw_id long, _tw_fp long, sketch binary, node long"), "sketches")
+        fps = written(each.groupBy(F.col("node").alias("fp")).agg(F.min("_tw_id").alias("least"), F.min("_tw_fp").alias("_tw_fp"), F.min("sketch").alias("sketch")), "distinct-sketches")
+        near = links(fps.select(F.col("_tw_fp").alias("fp")).distinct())
+        # One node stands for all of a fingerprint: links between fingerprints become links between those.
+        first = fps.groupBy("_tw_fp").agg(F.min("fp").alias("first"))
+        of = lambda c: first.select(F.col("_tw_fp").alias(c), F.col("first").alias(f"n{c}"))
+        edges = near.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        edges = edges.union(fps.join(first, "_tw_fp").filter("fp <> first").select("fp", "first"))
+        edges, node = edges.union(similar(fps.select(F.col("fp").alias("node"), "sketch"), similarity)), "node"
+    fps = fps.select("fp", "least")
+    roots = components(edges).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("_tw_component")), "root").select(F.col("fp").alias("_tw_fp"), "_tw_component")
-    return each.join(named, "_tw_fp").select("_tw_id", "_tw_fp", "_tw_component")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("_tw_component")), "root").select(F.col("fp").alias(node), "_tw_component")
+    return each.join(named, node).select("_tw_id", "_tw_fp", "_tw_component")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", similarity: float | None = 0.8) -> DataFrame:
+    """docs with only the document of the smallest id of each group; of rows with that id, one."""
+    groups = near_duplicates(docs, words, text, doc_id, similarity)
+    stay = groups.filter(F.col("_tw_component").eqNullSafe(F.col("_tw_id"))).select(F.coalesce("_tw_id", F.lit(NULL_ID)).alias("_tw_key")).distinct()
+    return docs.withColumn("_tw_key", id_key(doc_id)).join(stay, "_tw_key", "left_semi").dropDuplicates(["_tw_key"]).drop("_tw_key")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_BYTES = 1000
+_STEP = 1 << 15
 RECORD = "path string, offset long, kind string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 GAP = "path string, start long, length long, reason string"
 
@@ -87,15 +88,15 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     out.write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
-def parse_record(data: bytes) -> tuple[dict, int] | str:
-    """(fields, length) of the record that data begins with, or why there is none."""
-    if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
+def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
+    """(fields, end) of the record at ``at``, or why there is none."""
+    if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         return "no version line"
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return "headers do not end"
     head = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return "bad header line"
@@ -125,12 +126,15 @@ def parse_record(data: bytes) -> tuple[dict, int] | str:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
     """The member at ``at`` and where it ends, if its checksum is right."""
-    d = zlib.decompressobj(31)
+    d, parts = zlib.decompressobj(31), []
     try:
-        out = d.decompress(memoryview(data)[at:])
+        for k in range(at, len(data), _STEP):
+            parts.append(d.decompress(data[k : k + _STEP]))
+            if d.eof:
+                return b"".join(parts), min(k + _STEP, len(data)) - len(d.unused_data)
     except zlib.error:
-        return None
-    return (out, len(data) - len(d.unused_data)) if d.eof else None
+        pass
+    return None
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, object]]:
@@ -154,20 +158,20 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, object]]:
                 else:
                     records, pos, why = [], 0, ""
                     while pos < len(body):
-                        one = parse_record(body[pos:] if pos else body)
+                        one = parse_record(body, pos)
                         if isinstance(one, str):
                             why = one
                             break
                         records.append(one[0])
-                        pos += one[1]
+                        pos = one[1]
                     if not why:
                         found = records, stop
         else:
-            one = parse_record(data[at:] if at else data) if data[at : at + 5] == b"WARC/" else "no member" if zipped else "no version line"
+            one = parse_record(data, at) if data[at : at + 5] == b"WARC/" else "no member" if zipped else "no version line"
             if isinstance(one, str):
                 why = one
             else:
-                found = [one[0]], at + one[1]
+                found = [one[0]], one[1]
         if found:
             if bad is not None:
                 yield gap(at)
