@@ -120,6 +120,16 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return rows.select(*[F.col(c) for c in docs.columns], *extra, failed.alias("_tw_base_failed"), (~failed & ~diverges).alias("_tw_kept"))
 
 
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs without those that are rejected.
+
+    The row number only keeps Catalyst from pushing the filter below the columns it is computed from, which would copy
+    their expressions into one predicate many times over.
+    """
+    judged = judge(docs, text, lang).withColumn("_tw_row", F.monotonically_increasing_id())
+    return judged.filter("_tw_kept and _tw_row >= 0").select(docs.columns)
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
