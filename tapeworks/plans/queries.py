@@ -546,7 +546,7 @@ def _sql(name: str, spark_text: str, duck_text: str | None = None, oracle: bool
         SQL[name] = duck_text or spark_text
 
 
-_sql("q2_filter", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN 'high' ELSE 'low' END AS kind FROM lineitem WHERE l_shipdate >= TIMESTAMP '2022-01-01' AND l_shipdate < TIMESTAMP '2023-01-01' AND l_discount BETWEEN 0.02 AND 0.08 AND l_returnflag IN ('A', 'R') AND l_linestatus LIKE 'F%'")
+_sql("q2_filter", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN 'high' ELSE 'low' END AS kind FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.02 AND 0.08 AND l_returnflag IN ('A', 'R') AND l_linestatus LIKE 'F%'")
 _sql("q3_joins", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 _sql("q4_semi_anti", "SELECT c_custkey, true AS has FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT c_custkey, false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 _sql("q5_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, s_suppkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey JOIN supplier ON s_nationkey = a.n_nationkey")
