@@ -1,10 +1,19 @@
-"""Schemas of the tables that the engine reads and writes."""
+"""Schemas of the tables that the engine reads and writes; a ``!`` marks a column without nulls."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
-QUOTE = StructType.fromDDL("symbol string not null, ts timestamp not null, seq bigint, price double not null, volume bigint not null, bid double, ask double, open double, high double, low double")
-STOCK_QUOTES = StructType.fromDDL("symbol string not null, timestamp timestamp not null, price double not null, volume bigint not null, open double, high double, low double")
-TICK = StructType.fromDDL("symbol string, price double, volume bigint, change double, change_percent double, timestamp timestamp")
-ALERT = StructType.fromDDL("alert_id string, symbol string, target_price double, alert_type string, created_at timestamp, active boolean")
-SUBSCRIPTION = StructType.fromDDL("client_id string, symbols array<string>, action string")
-STRATEGY = StructType.fromDDL("id string, name string, description string, params map<string,double>, descriptions map<string,string>, indicators array<string>, created_at timestamp, updated_at timestamp")
+_KINDS = {"string": T.StringType(), "timestamp": T.TimestampType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+_KINDS |= {"strings": T.ArrayType(T.StringType()), "numbers": T.MapType(T.StringType(), T.DoubleType()), "texts": T.MapType(T.StringType(), T.StringType())}
+
+
+def _schema(text: str) -> T.StructType:
+    fields = (f.split() for f in text.split(","))
+    return T.StructType([T.StructField(name, _KINDS[kind.rstrip("!")], not kind.endswith("!")) for name, kind in fields])
+
+
+QUOTE = _schema("symbol string!, ts timestamp!, seq bigint, price double!, volume bigint!, bid double, ask double, open double, high double, low double")
+STOCK_QUOTES = _schema("symbol string!, timestamp timestamp!, price double!, volume bigint!, open double, high double, low double")
+TICK = _schema("symbol string, price double, volume bigint, change double, change_percent double, timestamp timestamp")
+ALERT = _schema("alert_id string, symbol string, target_price double, alert_type string, created_at timestamp, active boolean")
+SUBSCRIPTION = _schema("client_id string, symbols strings, action string")
+STRATEGY = _schema("id string, name string, description string, params numbers, descriptions texts, indicators strings, created_at timestamp, updated_at timestamp")
