@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 def plain(v):
     if hasattr(v, "item"):
         v = v.item()
-    if v is None or v != v or type(v).__name__ in ("NAType", "NaTType"):
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
         return None
     return 0.0 if v == 0 and isinstance(v, float) else v
 
