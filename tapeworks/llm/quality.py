@@ -59,16 +59,18 @@ def _with_repeated_words(rows: DataFrame) -> DataFrame:
 
 def with_histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with _tw_words (array), _tw_classes and _tw_common (arrays of long counts; null without a word list)."""
+    longest = max(len(w.encode()) for words in COMMON.values() for w in words)
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     trimmed = F.trim(raw, F.lit(WHITE))
     lists = reduce(lambda w, k: w.when(F.col(lang) == k, F.array(*map(F.lit, COMMON[k]))), COMMON, F)
     out = docs.withColumns({"_tw_trim": trimmed, "_tw_rest": F.regexp_replace(raw, r"[\p{Ll}\x20\x09-\x0D]+", ""), "_tw_list": lists})
     out = out.withColumn("_tw_words", F.when(F.col("_tw_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_tw_trim", WORD_GAP)))
-    out = out.withColumns({"_tw_word_chars": F.length(F.array_join("_tw_words", "")).cast("long"), "_tw_found": F.filter("_tw_words", lambda w: F.array_contains(F.col("_tw_list"), w))})
+    out = out.withColumns({"_tw_word_chars": F.length(F.array_join("_tw_words", "")).cast("long"), "_tw_found": F.filter("_tw_words", lambda w: (F.octet_length(w) <= longest) & F.array_contains(F.col("_tw_list"), w))})
     counted = [_call("regexp_count", F.col("_tw_rest"), F.lit(p)).cast("long") for p in CLASSES.values()]
     n_rest = F.length("_tw_rest").cast("long")
     classes = F.array(F.col("_tw_word_chars") - n_rest, *counted, n_rest - reduce(lambda a, b: a + b, counted))
-    each = F.transform("_tw_list", lambda r: F.size(F.filter("_tw_found", lambda x: x == r)).cast("long"))
+    n_listed = len(next(iter(COMMON.values())))
+    each = F.array(*[(F.size("_tw_found") - F.size(F.array_remove("_tw_found", F.get("_tw_list", F.lit(k))))).cast("long") for k in range(n_listed)])
     others = (F.size("_tw_words") - F.size("_tw_found")).cast("long")
     return out.withColumns({"_tw_classes": classes, "_tw_common": F.when(F.col("_tw_list").isNotNull(), F.concat(each, F.array(others)))}).drop("_tw_trim", "_tw_list", "_tw_found")
 
