@@ -195,9 +195,10 @@ def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
     """(node, sketch) without repeats to links (a, b) of estimated similarity.
 
-    Candidates share a band. Up to ``bucket`` of a band are compared with each other. Of more, all are compared with the
-    least, and those unlike it with the least of themselves, until none is left: every one ends up linked to, or as, one
-    that stands for its likes.
+    Candidates share a band. Up to ``bucket`` of a band are compared with each other. Of more, all are compared with a few
+    centres (one at first, then up to ``bucket``), and those unlike them go on to the next round, until ``bucket`` or fewer
+    are left, which are compared with each other: every one ends up compared with all, or linked to one that stands for
+    its likes.
     """
     compared = lambda pairs: (
         pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
@@ -210,15 +211,21 @@ def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> Dat
     held = written(sketches.select("node", "sketch").mapInArrow(_bands, "k long, node long"), "bands")
     sizes = held.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     held = written(held.join(sizes, "k"), "band-buckets")
-    few = held.filter(F.col("n") <= bucket)
-    pairs = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter("a < b").select("a", "b").distinct()
-    found, todo = written(compared(pairs), "likes"), held.filter(F.col("n") > bucket).select("k", "node")
+    def each_other(few: DataFrame) -> DataFrame:
+        pairs = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter("a < b").select("a", "b").distinct()
+        return written(compared(pairs), "likes")
+
+    found, todo, centres = each_other(held.filter(F.col("n") <= bucket)), held.filter(F.col("n") > bucket).select("k", "node"), 1
     while not todo.isEmpty():
-        least = todo.groupBy("k").agg(F.min("node").alias("a"))
+        least = todo.groupBy("k", F.pmod("node", F.lit(centres)).alias("slot")).agg(F.min("node").alias("a")).select("k", "a")
         stars = written(todo.join(least, "k").filter("node <> a").select("k", "a", F.col("node").alias("b")), "stars")
         like = written(compared(stars.select("a", "b").distinct()), "likes")
-        found = found.union(like)
-        todo = written(stars.join(like, ["a", "b"], "left_anti").select("k", F.col("b").alias("node")), "unlike")
+        settled = stars.join(like, ["a", "b"], "left_semi").select("k", F.col("b").alias("node")).union(least.select("k", F.col("a").alias("node"))).distinct()
+        todo = todo.join(settled, ["k", "node"], "left_anti")
+        sizes = todo.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+        todo = written(todo.join(sizes, "k"), "unlike")
+        found = found.union(like).union(each_other(todo.filter(F.col("n") <= bucket)))
+        todo, centres = todo.filter(F.col("n") > bucket).select("k", "node"), min(4 * centres, bucket)
     return found
 
 
