@@ -1,0 +1,213 @@
+"""Corpus operators against brute force, round trips and edge cases."""
+
+import collections
+import gzip
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import types as T
+
+from tapeworks.llm import chat, components, decontam, html_text, line_dedup, packing, pii, quality, simhash, url_filter, warc
+from tapeworks.llm.mph import PerfectHash
+
+DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("n", T.IntegerType())])
+LONG = "the quick brown fox jumps over the lazy dog"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(k, t, lang, 1) for k, t, lang in rows], DOCS)
+
+
+EDGE = [(1, None, None), (None, "a null id", "en"), (3, "", "xx"), (4, "same", "en"), (4, "same", "en"), (5, "long " * 30000, "en"), (6, "\n\n", None)]
+
+
+def test_perfect_hash():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**64, (5000, 2), dtype=np.uint64)
+    ph = PerfectHash.build(h[:, 0], h[:, 1])
+    assert sorted(ph.index(h[:, 0], h[:, 1]).tolist()) == list(range(5000)) and len(ph) == 5000
+    again = PerfectHash.load(**ph.dump())
+    assert (again.index(h[:, 0], h[:, 1]) == ph.index(h[:, 0], h[:, 1])).all()
+    assert len(PerfectHash.build(h[:0, 0], h[:0, 1])) == 0
+
+
+def test_line_dedup(spark):
+    rows = [(21, f"{LONG}\nshort", "en"), (22, f"  {LONG.upper()} \nown line of the second text", "en"), (23, f"{LONG}\n{LONG}", "en"), *EDGE]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert (out[22].text, out[22]._tw_n_dropped, out[22]._tw_n_lines) == ("own line of the second text", 1, 2)
+    assert out[23].text == f"{LONG}\n{LONG}" and out[6].text == "\n\n"
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_packing_is_exact(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    rows = [(k, f"text {k} <|endoftext|> é  two\n spaces " * (k * 7 % 90), "en") for k in range(60)] + [(100, None, None), (101, "x" * 9000, None)]
+    pieces = collections.defaultdict(list)
+    windows = collections.defaultdict(list)
+    for p in packing.pack(docs(spark, rows).repartition(3)).collect():
+        assert zlib.crc32(p.ids) >= 0 and len(p.ids) == 4 * p.length
+        pieces[p.doc_id].append(p)
+        windows[p.sequence_id].append(p)
+    for k, t, _ in rows:
+        got = b"".join(bytes(p.ids) for p in sorted(pieces[k], key=lambda p: p.start))
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids + [1]
+    for w in windows.values():
+        at = 0
+        for p in sorted(w, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == 2048 or at & (at - 1) == 0
+    assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_golay_keys_meet_within_two_bits():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    for flips in (0, 1, 2):
+        b = a.copy()
+        for _ in range(flips):
+            b ^= np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)
+        (ra, ka), (rb, kb) = simhash.golay_keys(a), simhash.golay_keys(b)
+        of = lambda r, k: [set(k[r == i].tolist()) for i in range(400)]
+        assert all(x & y for x, y in zip(of(ra, ka), of(rb, kb)))
+
+
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_simhash_links_against_brute_force(spark, bucket):
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, *(fps[:20] ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(4))]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in components.components(simhash.links(df, bucket)).collect()}
+    root = {int(x): int(x) for x in fps.view(np.int64)}
+    for _ in range(10):
+        for x in fps:
+            near = fps[np.bitwise_count(fps ^ x) <= 2].view(np.int64)
+            least = min(root[int(y)] for y in near)
+            for y in near:
+                root[int(y)] = least
+    assert all(got.get(k, k) == v for k, v in root.items())
+
+
+def test_near_copies_and_edges(spark):
+    words = [f"word{k}" for k in range(200)]
+    near = words[:100] + ["other"] + words[101:]
+    rows = [(10, " ".join(words), "en"), (11, " ".join(near), "en"), (12, " ".join(words[::-1]), "en"), (13, " ".join(words), "en"), *EDGE]
+    kept = sorted(r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect() if r.doc_id is not None)
+    assert kept == [1, 4, 5, 10, 12]
+    assert simhash.one_of_each(docs(spark, [])).count() == 0
+
+
+def test_big_bands_lose_no_copies(spark):
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :]), "en") for k in range(20, 60)] + [(500 + k, " ".join(f"z{k}_{j}" for j in range(50)), "en") for k in range(10)]
+    assert simhash.near_duplicates(docs(spark, rows), similarity=0.8).filter("_tw_component < 500").select("_tw_component").distinct().count() == 1
+
+
+def test_warc_round_trip_and_salvage(spark, tmp_path):
+    html = "<p>" + "é" * 800 + "</p>"
+    pages = spark.createDataFrame([(1, "http://a/%20ü", html), (2, None, html), (3, "http://c", None), (None, "http://d", html)], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_warc(pages, path)
+    got = {r.page_id: r for r in warc.records(warc.read_warc(spark, path)).collect()}
+    assert got[2].kind == "response" and got[2].payload.decode() == html and got[2].url is None
+    assert (got[1].kind, got[1].refers_to, got[1].url, got[1].payload_bytes) == ("revisit", 2, "http://a/%20ü", len(html.encode()))
+    assert got[3].payload_bytes == 0 and warc.gaps(warc.read_warc(spark, path)).count() == 0
+    one = lambda k: warc._record("response", k, "http://x", b"payload %d" % k, hashlib.sha1(b"payload %d" % k).hexdigest(), 9)
+    for pack in (gzip.compress, lambda x: x):
+        parts = [pack(one(k)) for k in range(4)]
+        broken = bytearray(parts[1])
+        broken[len(broken) // 2] ^= 0xFF
+        data = parts[0] + bytes(broken) + parts[2] + b"junk" + parts[3][:-9]
+        found = list(warc.salvage(data))
+        assert [w["page_id"] for kind, _, w in found if kind == "record"] == [0, 2]
+        assert sum(w[0] for kind, _, w in found if kind == "gap") == len(data) - len(parts[0]) - len(parts[2])
+
+
+def test_chat_layouts_and_escapes(spark):
+    assert chat.turns_of({"messages": [{"role": "human", "content": "a"}]})[1:] == ("messages", [("user", "a")])
+    assert chat.turns_of({"instruction": "do", "input": "", "output": "x", "extra": {"k": 1}})[1:] == ("instruction-input", [("user", "do"), ("assistant", "x")])
+    assert chat.turns_of({"what": 1})[1] is None and chat.turns_of(None)[1] is None
+    for text in ("<|im_end|>", "<\\|im_start|> <\\\\|im_end|>", "a<|b|>\\", ""):
+        assert chat.unescape(chat.escape(text)) == text and not re.search(r"<\|im_(start|end)\|>", chat.escape(text))
+    rows = [(1, 1, "assistant", "x\n<|im_end|>"), (1, 0, "us\ner", None), (None, None, None, "q")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(turns)).collect()}
+    assert got[1].n_turns == 2 and got[1].turns_sha256 == hashlib.sha256(b"us\ner\n\nassistant\nx\n<|im_end|>\n").hexdigest()
+    assert got[1].loss_sha256 == hashlib.sha256(b"x\n<|im_end|>").hexdigest() and got[None].loss_chars == 0
+    assert chat.read_back(chat.format_chat(turns.limit(0))).count() == 0
+
+
+def test_pii(spark):
+    text = "Anna Smith wrote to bob.k@corp.co.uk; Smith's card 4111 1111 1111 1111, +1 (212) 555-1234, 10.1.2.3, token = \"0123456789abcdef0123\" Иван"
+    new, made = pii.replace(text, b"k", {})
+    assert [m[0] for m in made] == ["given", "surname", "email", "surname", "card", "phone", "ip", "secret", "given"]
+    assert not any(x in new for x in ("Anna", "corp", "4111 1111", "555-1234", "10.1.2.3", "0123456789abcdef", "Иван"))
+    card = re.search(r"card ([\d ]+),", new)[1]
+    assert len(card) == 19 and pii._checked(card.replace(" ", ""))
+    rows = [(k, f"call +1 (212) 555-{k:04d} now", "en") for k in range(50)] + EDGE
+    out = pii.pseudonymise(docs(spark, rows)).collect()
+    phones = {r.text for r in out if r.text and r.text.startswith("call")}
+    assert len(phones) == 50 and len(out) == len(rows)
+    assert pii.pseudonymise(docs(spark, [])).count() == 0
+
+
+def test_decontamination_against_brute_force(spark):
+    item = "Onre thwh the estion ofand. Where was the andin tiouwh found by thean? It was in the lobhe of hathe."
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "entirely different words stand here. And an answer too.")], "item_id long, text string")
+    filler = " ".join(f"fill{k}" for k in range(300))
+    rows = [(1, f"{filler} {item} {filler}", "en"), (2, filler, "en"), (3, item.upper().replace(" ", "\n"), "en"), (4, item[: len(item) // 2], "en"), *EDGE]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(1, 7), (3, 7)}
+    assert decontam.clean(docs(spark, rows), bench).count() == len(rows) - 2 and decontam.clean(docs(spark, []), bench).count() == 0
+    ix = decontam.Index([(k, " ".join(f"t{(k * 7 + j) % 50}" for j in range(12))) for k in range(40)])
+    texts = [" ".join(f"t{(k * 3 + j * 5) % 50}" for j in range(90)) for k in range(10)]
+    wide = ix.search(pa.array(texts), 0.0, 0.0, 0.0)
+    assert all({k for k, v in w.items() if v[0] >= 0.6} == set(n) for w, n in zip(wide, ix.search(pa.array(texts), 0.6, 0.0, 0.0)))
+
+
+def test_html_text():
+    page = (
+        "<html><title>t</title><body class='post'><header><h1>Site</h1></header><nav><a href=x>a</a></nav><div class='cookie-notice'>We use cookies.</div><article><h1>Big &amp; title</h1>"
+        "<p>One <a href=q>link</a>\n here<div class=ad>Buy</div><p>Two<br>lines<script>var t='</p>'</script><section id=comments><p>nice post</p></section></article><aside>x</aside><footer>F"
+    )
+    assert html_text.main_text(page) == "Big & title\nOne link here\nTwo lines"
+    assert html_text.main_text("") == ""
+    wrong = [r for r in html_text.LABELLED if html_text.classify(html_text.default_tree(), r[:-1]) != r[-1]]
+    assert len(wrong) <= len(html_text.LABELLED) // 100
+
+
+def test_url_rules_and_propagation(spark):
+    link = '<a href="http://bad.org/x">b</a>'
+    rows = [(1, "http://www.Example.com/en/a?q", ""), (2, "https://a.example.com/en/x", ""), (3, "http://x.net/fr/", None), (4, None, None), (5, "nohost", ""), (6, "http://links.org/p", link), (7, "http://c.com", ""), (8, "http://bad.org/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [*url_filter.RULES, ("block", "bad.org/")]
+    got = {r.page_id: (r._tw_rule, r._tw_verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got[1] == ("www.example.com/en/", "allow") and got[2] == ("example.com/en/", "block") and got[3] == ("net/fr/", "block")
+    assert got[4] == got[5] == (None, "allow") and got[6] == (None, "block") and got[7] == (None, "allow")
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_quality_against_restatement(spark):
+    rows = [(10, "a b c d e f a b c d e x y z " * 2, "en"), (11, "#1 $2 line\nline\nline\n \n", "de"), (12, "THE OF!! " * 60, "en"), *EDGE]
+    got = collections.defaultdict(list)
+    for r in quality.judge(docs(spark, rows)).collect():
+        got[r.doc_id].append(r)
+    for k, text, _ in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", text or "")
+        at = collections.defaultdict(list)
+        for i in range(len(w) - 4):
+            at[tuple(w[i : i + 5])].append(i)
+        covered = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        r = got[k][0]
+        assert (r._tw_n_words, r._tw_word_chars, r._tw_n_dup_lines, r._tw_n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        assert r._tw_n_symbols == len(re.findall(r"[#*$%&|<>]", text or ""))
+        assert r._tw_base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and (not r._tw_base_failed or not r._tw_kept)
+    assert quality.keep(docs(spark, [])).count() == 0
