@@ -58,7 +58,7 @@ _NUMBER = re.compile(
     r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d))"
 )
-_CAPITAL = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'’-]+")
+_CAPITAL = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]\w+(?:['’-]\w{2,})*")
 
 
 def _checked(digits: str) -> bool:
