@@ -19,7 +19,7 @@ a null id never is a representative unless its whole group has none. Other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -197,7 +197,7 @@ def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> Dat
 
     Candidates share a band. Up to ``bucket`` of a band are compared with each other. Of more, all are compared with a few
     centres (one at first, then up to ``bucket``), and those unlike them go on to the next round, until ``bucket`` or fewer
-    are left, which are compared with each other: every one ends up compared with all, or linked to one that stands for
+    are left, which are compared with each other at the end: every one ends up compared with all, or linked to one that stands for
     its likes.
     """
     compared = lambda pairs: (
@@ -211,11 +211,8 @@ def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> Dat
     held = written(sketches.select("node", "sketch").mapInArrow(_bands, "k long, node long"), "bands")
     sizes = held.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     held = written(held.join(sizes, "k"), "band-buckets")
-    def each_other(few: DataFrame) -> DataFrame:
-        pairs = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter("a < b").select("a", "b").distinct()
-        return written(compared(pairs), "likes")
-
-    found, todo, centres = each_other(held.filter(F.col("n") <= bucket)), held.filter(F.col("n") > bucket).select("k", "node"), 1
+    few, found = [held.filter(F.col("n") <= bucket).select("k", "node")], []
+    todo, centres = held.filter(F.col("n") > bucket).select("k", "node"), 1
     while not todo.isEmpty():
         least = todo.groupBy("k", F.pmod("node", F.lit(centres)).alias("slot")).agg(F.min("node").alias("a")).select("k", "a")
         stars = written(todo.join(least, "k").filter("node <> a").select("k", "a", F.col("node").alias("b")), "stars")
@@ -224,9 +221,12 @@ def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> Dat
         todo = todo.join(settled, ["k", "node"], "left_anti")
         sizes = todo.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
         todo = written(todo.join(sizes, "k"), "unlike")
-        found = found.union(like).union(each_other(todo.filter(F.col("n") <= bucket)))
-        todo, centres = todo.filter(F.col("n") > bucket).select("k", "node"), min(4 * centres, bucket)
-    return found
+        found.append(like)
+        few.append(todo.filter(F.col("n") <= bucket).select("k", "node"))
+        todo, centres = todo.filter(F.col("n") > bucket).select("k", "node"), bucket
+    few = reduce(DataFrame.union, few)  # a band is in it once
+    pairs = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter("a < b").select("a", "b").distinct()
+    return reduce(DataFrame.union, found, written(compared(pairs), "likes"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None) -> DataFrame:
