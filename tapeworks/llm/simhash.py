@@ -19,7 +19,7 @@ a null id never is a representative unless its whole group has none. Other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +39,8 @@ BUCKET = 64
 _CHUNK = 1 << 16
 #: Sketches: ranges, ranges of a band, and what an empty range holds. 128 ranges estimate 0.8 with a deviation of 0.035.
 BINS, ROWS, EMPTY, SLACK = 128, 5, np.uint32(0xFFFFFFFF), 0.02
+#: Of a band of more than BUCKET: how many centres all of it are compared with, and how many of the likest to these.
+CENTRES, HUBS = 16, 4
 
 
 @lru_cache(1)
@@ -192,41 +194,92 @@ def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _cross(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[tuple[int, pa.RecordBatch, list, np.ndarray, np.ndarray]]:
+    """For every row, of blocks x and y: (row, batch, nodes and roots of both, estimates, estimates of at least ``limit`` or 0)."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            sides, sk = [], []
+            for block in (batch.column("x")[r].values, batch.column("y")[r].values):
+                sides.append([block.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root")])
+                sk.append(np.ascontiguousarray(np.frombuffer(b"".join(block.field("sketch").to_pylist()), np.uint32).reshape(-1, BINS).T))
+            equal = np.zeros((sk[0].shape[1], sk[1].shape[1]), np.uint8)
+            for x, y in zip(*sk):
+                equal += x[:, None] == y
+            empty = [(x == EMPTY).astype(np.float32) for x in sk]
+            both = empty[0].T @ empty[1]
+            like = (equal - both) / np.maximum(1, BINS - both)
+            yield r, batch, sides, like, np.where((like >= limit) & (sides[0][0][:, None] != sides[1][0]), like, 0)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+    """Members x of a band against its centres y: each one's likest centre, and how like it is to all of them."""
+    for r, batch, ((a, _), (b, _)), _, like in _cross(batches, limit):
+        at = np.flatnonzero(like.any(1))
+        k = np.full(len(at), batch.column("k")[r].as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a[at]), pa.array(b[like[at].argmax(1)]), pa.array(like[at].sum(1, dtype=np.float64))], ["k", "a", "b", "score"])
+
+
+def _unjoined(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks x and y of a band to the like pairs that have no common root yet."""
+    for _, _, ((a, ra), (b, rb)), _, like in _cross(batches, limit):
+        i, j = np.nonzero((like > 0) & (ra[:, None] != rb))
+        yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
+
+
 def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """(node, sketch) without repeats to links (a, b) of estimated similarity.
+    """(node, sketch) without repeats to links (a, b) of estimated similarity that join all candidates, directly or in steps.
 
-    Candidates share a band. Up to ``bucket`` of a band are compared with each other. Of more, all are compared with a few
-    centres (one at first, then up to ``bucket``), and those unlike them go on to the next round, until ``bucket`` or fewer
-    are left, which are compared with each other at the end: every one ends up compared with all, or linked to one that stands for
-    its likes.
+    Candidates share a band. Up to ``bucket`` of a band are compared with each other. Of more, all are first compared with
+    a few centres, then with those that were likest to the centres (an original, rather than its copies). Components of the
+    links so far follow, and all of a band that have no common root are compared, in pairs of blocks. So no link between
+    candidates is lost, and only texts that the centres do not join are compared with all.
     """
+    limit, chunk = similarity - SLACK, 4 * bucket
     compared = lambda pairs: (
         pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
         .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(_compare, "a long, b long, like double")
-        .filter(F.col("like") >= similarity - SLACK)
+        .filter(F.col("like") >= limit)
         .select("a", "b")
     )
     held = written(sketches.select("node", "sketch").mapInArrow(_bands, "k long, node long"), "bands")
     sizes = held.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     held = written(held.join(sizes, "k"), "band-buckets")
-    few, found = [held.filter(F.col("n") <= bucket).select("k", "node")], []
-    todo, centres = held.filter(F.col("n") > bucket).select("k", "node"), 1
-    while not todo.isEmpty():
-        least = todo.groupBy("k", F.pmod("node", F.lit(centres)).alias("slot")).agg(F.min("node").alias("a")).select("k", "a")
-        stars = written(todo.join(least, "k").filter("node <> a").select("k", "a", F.col("node").alias("b")), "stars")
-        like = written(compared(stars.select("a", "b").distinct()), "likes")
-        settled = stars.join(like, ["a", "b"], "left_semi").select("k", F.col("b").alias("node")).union(least.select("k", F.col("a").alias("node"))).distinct()
-        todo = todo.join(settled, ["k", "node"], "left_anti")
-        sizes = todo.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-        todo = written(todo.join(sizes, "k"), "unlike")
-        found.append(like)
-        few.append(todo.filter(F.col("n") <= bucket).select("k", "node"))
-        todo, centres = todo.filter(F.col("n") > bucket).select("k", "node"), bucket
-    few = reduce(DataFrame.union, few)  # a band is in it once
+    few, many = held.filter(F.col("n") <= bucket).select("k", "node"), held.filter(F.col("n") > bucket)
     pairs = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter("a < b").select("a", "b").distinct()
-    return reduce(DataFrame.union, found, written(compared(pairs), "likes"))
+    found = written(compared(pairs), "likes")
+    if many.isEmpty():
+        return found
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / chunk))
+    member = F.collect_list(F.struct("node", "root", "sketch"))
+    blocks = many.withColumns({"slot": slot("n"), "root": F.col("node")}).join(sketches, "node").groupBy("k", "slot").agg(member.alias("x"))
+    blocks = written(blocks.select("k", "x"), "band-blocks")
+
+    def nearest(centres: DataFrame) -> DataFrame:
+        y = centres.withColumn("root", F.col("node")).join(sketches, "node").groupBy("k").agg(member.alias("y"))
+        return written(blocks.join(y, "k").mapInArrow(lambda it: _nearest(it, limit), "k long, a long, b long, score double"), "stars")
+
+    first = nearest(many.groupBy("k", F.pmod("node", F.lit(CENTRES))).agg(F.min("node").alias("node")).select("k", "node"))
+    second = nearest(first.groupBy("k", F.pmod("a", F.lit(HUBS))).agg(F.max_by("a", "score").alias("node")).select("k", "node"))
+    found = found.union(written(first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likes"))
+
+    rooted = many.select("k", "node").join(components(found), "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    counts = rooted.groupBy("k", "root").agg(F.count("*").alias("c"))
+    # Blocks of one root each for roots that fill one; the others are mixed.
+    bands = counts.groupBy("k").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("c") <= chunk, F.col("c"))).alias("mixed")).filter("roots > 1")
+    whole = F.when(F.col("c") > chunk, F.col("root"))
+    dealt = rooted.join(counts.join(bands, "k"), ["k", "root"]).withColumn("whole", whole)
+    dealt = dealt.withColumn("slot", F.when(F.col("whole").isNull(), slot("mixed")).otherwise(slot("c")))
+    blocks = dealt.join(sketches, "node").groupBy("k", "whole", "slot").agg(member.alias("x"))
+    blocks = written(blocks.withColumn("block", F.xxhash64("k", "whole", "slot", F.col("whole").isNull())), "root-blocks")
+    heads = blocks.select("k", "block", "whole")
+    meet = heads.alias("p").join(heads.alias("q"), "k").filter("p.block <= q.block and not coalesce(p.whole = q.whole, false)")
+    meet = meet.select(F.col("p.block").alias("px"), F.col("q.block").alias("qx"))
+    both = meet.join(blocks.select(F.col("block").alias("px"), "x"), "px").join(blocks.select(F.col("block").alias("qx"), F.col("x").alias("y")), "qx").select("x", "y")
+    left = both.mapInArrow(lambda it: _unjoined(it, limit), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.union(written(left.distinct(), "likes"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None) -> DataFrame:

@@ -95,6 +95,35 @@ def test_simhash_links_against_brute_force(spark, bucket):
     assert all(got.get(k, k) == v for k, v in root.items())
 
 
+@pytest.mark.parametrize("bucket,n", [(2, 60), (16, 300)])
+def test_similar_links_unlike_copies_of_one_original(spark, bucket, n):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 1000, dtype=np.uint64)
+    sketches = [simhash.sketch(base)]
+    for _ in range(n):  # Each differs from the original in about a tenth of its own, so the copies are unlike each other.
+        own = base.copy()
+        own[rng.permutation(1000)[:95]] = rng.integers(0, 2**64, 95, dtype=np.uint64)
+        sketches.append(simhash.sketch(own))
+    nodes = rng.permutation(n + 1).tolist()
+    df = spark.createDataFrame([(k, bytes(x.tobytes())) for k, x in zip(nodes, sketches)], "node long, sketch binary")
+    got = {r.node: r.root for r in components.components(simhash.similar(df, 0.8, bucket)).collect()}
+    bands, parent = [set(simhash.band_keys(x)) for x in sketches], list(range(n + 1))
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(n + 1):
+        for b in range(a):
+            if bands[a] & bands[b] and (sketches[a] == sketches[b]).mean() >= 0.8 - simhash.SLACK:
+                parent[root(a)] = root(b)
+    least = {}
+    for a in range(n + 1):
+        least[root(a)] = min(least.get(root(a), n), nodes[a])
+    assert {k: got.get(k, k) for k in nodes} == {nodes[a]: least[root(a)] for a in range(n + 1)}
+
+
 def test_near_copies_and_edges(spark):
     words = [f"word{k}" for k in range(200)]
     near = words[:100] + ["other"] + words[101:]
