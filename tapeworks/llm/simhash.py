@@ -18,7 +18,7 @@ a null id never is a representative unless its whole group has none. Other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -39,6 +39,8 @@ BUCKET = 64
 _CHUNK = 1 << 16
 #: Sketches: ranges, ranges of a band, and what an empty range holds. 128 ranges estimate 0.8 with a deviation of 0.035.
 BINS, ROWS, EMPTY, SLACK = 128, 5, np.uint32(0xFFFFFFFF), 0.02
+#: Deviations of the estimate under the limit that a candidate may have where its pair is verified: 0.659 for 0.8.
+FAR = 4
 #: Of a band of more than BUCKET: how many centres all of it are compared with, and how many of the likest to these.
 CENTRES, HUBS = 16, 4
 
@@ -141,15 +143,36 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, sketches = [], []
+        fps, sketches, same = [], [], []
         for t in batch.column(1):
             h = shingle_hashes(t.as_py() or b"", words)
             fps.append(fingerprint(h))
+            h = np.unique(h)
             sketches.append(sketch(h).tobytes())
-        same = [xxhash.xxh64_intdigest(x, 1) for x in sketches]
+            same.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(np.array(same, np.uint64).view(np.int64))], ["_tw_id", "_tw_fp", "sketch", "node"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Texts to their distinct shingle hashes, and the node of these as in ``_sketches``."""
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t.as_py() or b"", words)).tobytes() for t in batch.column(0)]
+        same = np.array([xxhash.xxh64_intdigest(h, 1) for h in sets], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(same.view(np.int64)), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+
+def _exact(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs a, b whose sets of hashes x and y have at least this Jaccard similarity."""
+    for batch in batches:
+        stay = []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = np.sort(np.concatenate([x, y]))
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            stay.append(common >= similarity * (len(both) - common) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [band_keys(np.frombuffer(x.as_py(), np.uint32)) for x in batch.column(1)]
@@ -226,15 +249,27 @@ def _unjoined(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
 
 
-def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
+def exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) those with at least this Jaccard similarity; sets has (node, hashes), without repeats."""
+    x, y = (sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _exact(it, similarity), "a long, b long")
+
+
+def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, sketch) without repeats to links (a, b) of estimated similarity that join all candidates, directly or in steps.
 
+    With ``verify`` pairs need an estimate of only ``FAR`` deviations less, and those are links that it leaves of them.
+
     Candidates share a band. Up to ``bucket`` of a band are compared with each other. Of more, all are first compared with
     a few centres, then with those that were likest to the centres (an original, rather than its copies). Components of the
     links so far follow, and all of a band that have no common root are compared, in pairs of blocks. So no link between
     candidates is lost, and only texts that the centres do not join are compared with all.
     """
     limit, chunk = similarity - SLACK, 4 * bucket
+    if verify is None:
+        verify = lambda pairs: pairs
+    else:
+        limit = similarity - FAR * (similarity * (1 - similarity) / BINS) ** 0.5
     compared = lambda pairs: (
         pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
         .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
@@ -248,7 +283,7 @@ def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> Dat
     held = written(held.join(sizes, "k"), "band-buckets")
     few, many = held.filter(F.col("n") <= bucket).select("k", "node"), held.filter(F.col("n") > bucket)
     pairs = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter("a < b").select("a", "b").distinct()
-    found = written(compared(pairs), "likes")
+    found = written(verify(written(compared(pairs), "likes")), "links-of-few")
     if many.isEmpty():
         return found
     slot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / chunk))
@@ -262,7 +297,8 @@ def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> Dat
 
     first = nearest(many.groupBy("k", F.pmod("node", F.lit(CENTRES))).agg(F.min("node").alias("node")).select("k", "node"))
     second = nearest(first.groupBy("k", F.pmod("a", F.lit(HUBS))).agg(F.max_by("a", "score").alias("node")).select("k", "node"))
-    found = found.union(written(first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likes"))
+    likes = written(first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likes")
+    found = found.union(written(verify(likes), "links-of-centres"))
 
     rooted = many.select("k", "node").join(components(found), "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
@@ -279,15 +315,15 @@ def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET) -> Dat
     meet = meet.select(F.col("p.block").alias("px"), F.col("q.block").alias("qx"))
     both = meet.join(blocks.select(F.col("block").alias("px"), "x"), "px").join(blocks.select(F.col("block").alias("qx"), F.col("x").alias("y")), "qx").select("x", "y")
     left = both.mapInArrow(lambda it: _unjoined(it, limit), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.union(written(left.distinct(), "likes"))
+    return found.union(written(verify(written(left.distinct(), "likes")), "links-of-many"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """(_tw_id, _tw_fp, _tw_component): each document with its fingerprint and the smallest id it is linked to.
 
-    ``similarity`` also links documents whose sets of shingles have at least about this Jaccard similarity. Two bits of 64
+    ``similarity`` also links documents whose sets of shingles have at least this Jaccard similarity. Two bits of 64
     are far too few for that (at 0.8 fingerprints differ in 4 to 14 bits), so min-wise sketches of the same shingle hashes
-    find and verify these.
+    find candidates, and the sets of hashes of each pair verify these.
     """
     if similarity is None:
         each = written(fingerprints(docs, words, text, doc_id), "fingerprints")
@@ -303,7 +339,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id:
         of = lambda c: first.select(F.col("_tw_fp").alias(c), F.col("first").alias(f"n{c}"))
         edges = near.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
         edges = edges.union(fps.join(first, "_tw_fp").filter("fp <> first").select("fp", "first"))
-        edges, node = edges.union(similar(fps.select(F.col("fp").alias("node"), "sketch"), similarity)), "node"
+        held = source.withColumn("_tw_key", id_key("_tw_id"))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            keys = each.join(nodes, "node").groupBy("node").agg(F.min(id_key("_tw_id")).alias("_tw_key")).select("_tw_key").distinct()
+            sets = held.join(keys, "_tw_key", "left_semi").select("_tw_text").mapInArrow(lambda it: _sets(it, words), "node long, hashes binary")
+            return exact(pairs, written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets"), similarity)
+
+        edges, node = edges.union(similar(fps.select(F.col("fp").alias("node"), "sketch"), similarity, verify=verify)), "node"
     fps = fps.select("fp", "least")
     roots = components(edges).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -124,6 +124,22 @@ def test_similar_links_unlike_copies_of_one_original(spark, bucket, n):
     assert {k: got.get(k, k) for k in nodes} == {nodes[a]: least[root(a)] for a in range(n + 1)}
 
 
+def test_near_copies_have_the_exact_similarity(spark):
+    rows, linked = [], set()
+    for k in range(60):  # Pairs just over and just under 0.8, which a sketch of 128 ranges cannot tell apart.
+        words = [f"w{k}x{i}" for i in range(1004)]
+        other, changed = list(words), 22 if k % 2 else 23
+        for i in range(changed):
+            other[20 + 40 * i] = f"v{k}x{i}"
+        rows += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(other), "en")]
+        a, b = ({tuple(w[i : i + 5]) for i in range(1000)} for w in (words, other))
+        if len(a & b) / len(a | b) >= 0.8:
+            linked.add(k)
+    assert 0 < len(linked) < 60
+    out = simhash.near_duplicates(docs(spark, rows), similarity=0.8).filter("_tw_id % 2 = 1").collect()
+    assert {r._tw_id // 2 for r in out if r._tw_component < r._tw_id} == linked
+
+
 def test_near_copies_and_edges(spark):
     words = [f"word{k}" for k in range(200)]
     near = words[:100] + ["other"] + words[101:]
