@@ -2,8 +2,9 @@
 
 Hosts that rules mostly allow are trusted seeds, hosts that rules mostly block are distrusted seeds. Trust spreads along the
 links between hosts and distrust against them (a host that links to blocked hosts is suspect), both by personalised PageRank
-with the seeds as its jump target, as joins and sums over the host edges. A host is blocked if its distrust exceeds
-``MIN_DISTRUST`` and its share of trust plus distrust is above ``MAX_SHARE``; a host without evidence is allowed.
+with the seeds as its jump target, as joins and sums over the host edges. Every seed jumps with weight one, whatever their
+number, so a part of the graph has the same scores alone and in a large crawl. A host is blocked if the share of distrust
+in its trust plus distrust is above ``MAX_SHARE``; a host without evidence is allowed.
 
 Pages are only ever joined by host with one row for each host; a host with a third of all pages is on the side that Spark
 may split. Links are counted by pair of hosts with partial sums before any exchange.
@@ -15,12 +16,15 @@ the one that blocks wins.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import ascii_lower, written
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-4
-MIN_DISTRUST, MAX_SHARE = 1e-9, 0.5
+#: TOLERANCE is the largest change of any host's score, as a share of it, at which rounds end.
+DAMPING, TOLERANCE = 0.85, 1e-4
+MAX_SHARE = 0.5
 _AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)\shref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 
@@ -58,11 +62,10 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return pairs.filter("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """edges (src, dst, n), seeds (host, trust, distrust) to (host, trust, distrust) after personalised PageRank."""
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """edges (src, dst, n), seeds (host, trust, distrust) to (host, trust, distrust) after personalised PageRank, of ``rounds`` at most."""
     edges = written(edges, "host-edges")
-    total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
-    scaled = [F.lit("trust").alias("kind"), "host", (F.col("trust") / float(total.t or 1)).alias("seed")], [F.lit("distrust").alias("kind"), "host", (F.col("distrust") / float(total.d or 1)).alias("seed")]
+    scaled = [[F.lit(kind).alias("kind"), "host", F.col(kind).cast("double").alias("seed")] for kind in ("trust", "distrust")]
     start = seeds.select(*scaled[0]).union(seeds.select(*scaled[1])).filter("seed > 0")
     start = written(start, "host-seeds")
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), "dst", "src", "n"))
@@ -71,11 +74,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     score = start.withColumnRenamed("seed", "score")
     if moves.isEmpty():
         rounds = 0
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         moved = score.join(moves, (score.host == moves.src) & (score.kind == moves.kind)).select(moves.kind, moves.dst.alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"))
         jump = start.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("score"))
         after = written(moved.unionByName(jump).groupBy("kind", "host").agg(F.sum("score").alias("score")), "host-scores")
-        change = after.withColumnRenamed("score", "new").join(score, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0]
+        new, old = F.coalesce("new", F.lit(0.0)), F.coalesce("score", F.lit(0.0))
+        moved_by = F.when(F.greatest(new, old) > 0, F.abs(new - old) / F.greatest(new, old))
+        change = after.withColumnRenamed("score", "new").join(score, ["kind", "host"], "full").agg(F.max(moved_by)).first()[0]
         score = after
         if (change or 0) < TOLERANCE:
             break
@@ -99,7 +104,7 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", html: str = "ht
     seeds = counts.filter("host <> ''").select("host", (2 * F.col("allowed") > F.col("n")).cast("double").alias("trust"), (2 * F.col("blocked") > F.col("n")).cast("double").alias("distrust"))
     scores = propagate(host_edges(located, html) if html in pages.columns else spark.createDataFrame([], "src string, dst string, n long"), written(seeds, "host-counts"))
     scores = scores.select(F.col("host").alias("_tw_host"), F.col("trust").alias("_tw_trust"), F.col("distrust").alias("_tw_distrust"))
-    suspect = (F.col("_tw_distrust") > MIN_DISTRUST) & (F.col("_tw_distrust") > MAX_SHARE * (F.col("_tw_trust") + F.col("_tw_distrust")))
+    suspect = (F.col("_tw_distrust") > MAX_SHARE * (F.col("_tw_trust") + F.col("_tw_distrust")))
     by_method = F.when(F.coalesce(suspect, F.lit(False)), "block").otherwise("allow")
     out = judged(rows).join(scores, "_tw_host", "left")
     extra = [F.col("_tw_host"), F.col("_tw_path"), F.col("_tw_best.rule").alias("_tw_rule"), F.coalesce("_tw_best.verdict", by_method).alias("_tw_verdict"), "_tw_trust", "_tw_distrust"]

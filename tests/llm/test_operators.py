@@ -228,6 +228,19 @@ def test_html_text():
     assert len(wrong) <= len(html_text.LABELLED) // 100
 
 
+def test_url_verdicts_are_the_same_among_many_seeds_and_far_away(spark):
+    to = lambda host: f'<a href="http://{host}/x">b</a>'
+    rows = [(0, "http://bad.org/", ""), *((k, f"http://links{k}.org/", to("bad.org")) for k in range(1, 1301))]
+    pages, rules = spark.createDataFrame(rows, "page_id long, url string, html string"), [*url_filter.RULES, ("block", "bad.org/")]
+    seeds = spark.range(10000, 210000).selectExpr("id AS page_id", "concat('http://h', id, '.net/fr/') AS url", "'' AS html")
+    for crawl in (pages, pages.union(seeds)):
+        out = url_filter.filter_urls(crawl, rules).filter("page_id between 1 and 1300")
+        assert out.filter("_tw_verdict = 'block'").count() == 1300
+    chain = [(0, "http://bad.org/", ""), *((k, f"http://c{k}.org/", to(f"c{k - 1}.org" if k > 1 else "bad.org")) for k in range(1, 24))]
+    out = url_filter.filter_urls(spark.createDataFrame(chain, "page_id long, url string, html string"), rules)
+    assert out.filter("_tw_verdict = 'block'").count() == 24
+
+
 def test_url_rules_and_propagation(spark):
     link = '<a href="http://bad.org/x">b</a>'
     rows = [(1, "http://www.Example.com/en/a?q", ""), (2, "https://a.example.com/en/x", ""), (3, "http://x.net/fr/", None), (4, None, None), (5, "nohost", ""), (6, "http://links.org/p", link), (7, "http://c.com", ""), (8, "http://bad.org/", "")]
