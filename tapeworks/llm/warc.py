@@ -10,6 +10,9 @@ Reading. Files are read by Spark's binary source. A record counts as sound if it
 headers, its length and its digests are right. After a failed check the reader searches for the next gzip member that
 decompresses, or in a plain file for the next version line, goes on from there, and logs the bytes in between as a
 quarantined gap. So one damaged record never costs another, and sound records plus gaps cover a file exactly.
+Inside a member that holds several records it searches for the next version line too: such a gap has length 0 in the file, and
+its reason names the inflated bytes. Of a damaged member, which is a gap, the records that inflate and whose own block digests
+hold are sound, but not one that ends exactly where the file cuts its member.
 
 Defined results: a null payload is empty. A null url gives a record without a target. Rows with equal ids and payloads are
 all of the same type. A null id counts as smaller than any other. An empty table gives an empty folder of archives. Files
@@ -19,6 +22,7 @@ must fit in memory (the writer's partitions bound them).
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -35,6 +39,7 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_BYTES = 1000
 _STEP = 1 << 15
+_DIGEST = re.compile(rb"(?i)\r\nwarc-block-digest:[ \t]*(?-i:sha1):[0-9a-f]{40}[ \t]*\r\n")
 RECORD = "path string, offset long, kind string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 GAP = "path string, start long, length long, reason string"
 
@@ -124,48 +129,73 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
     }, stop + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The member at ``at`` and where it ends, if its checksum is right."""
-    d, parts = zlib.decompressobj(31), []
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool | None]:
+    """What the member at ``at`` inflates to, where that ends, and if it is whole and its checksum right; None if the file ends in it."""
+    d, parts, k = zlib.decompressobj(31), [], at
     try:
         for k in range(at, len(data), _STEP):
             parts.append(d.decompress(data[k : k + _STEP]))
             if d.eof:
-                return b"".join(parts), min(k + _STEP, len(data)) - len(d.unused_data)
+                return b"".join(parts), min(k + _STEP, len(data)) - len(d.unused_data), True
+        return b"".join(parts), len(data), None
     except zlib.error:
         pass
-    return None
+    d = zlib.decompressobj(31)  # again, for what precedes the damage in the step that failed
+    for x in range(at, k, _STEP):
+        d.decompress(data[x : x + _STEP])
+    try:
+        for k in range(k, min(k + _STEP, len(data))):
+            parts.append(d.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(parts), k, False
+
+
+def _inside(body: bytes, whole: bool | None) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """Sound records of an inflated body, and (start, stop, reason) of what is between; of a damaged member only those with a digest."""
+    records, between, pos, bad, reason = [], [], 0, None, ""
+    while pos < len(body):
+        one = parse_record(body, pos)
+        if not isinstance(one, str) and not whole and not _DIGEST.search(body, pos, body.find(b"\r\n\r\n", pos) + 2):
+            one = "no block digest in a bad member"
+        if not isinstance(one, str) and whole is None and one[1] == len(body):
+            one = "ends where the member is cut"
+        if isinstance(one, str):
+            if bad is None:
+                bad, reason = pos, one
+            pos = body.find(b"WARC/1.", pos + 1)
+            pos = len(body) if pos < 0 else pos
+            continue
+        if bad is not None:
+            between.append((bad, pos, reason))
+            bad = None
+        records.append(one[0])
+        pos = one[1]
+    if bad is not None:
+        between.append((bad, len(body), reason))
+    return records, between
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, object]]:
     """("record", offset, fields) and ("gap", start, (length, reason)) in file order, covering all bytes."""
     at, n, zipped = 0, len(data), data[:2] == b"\x1f\x8b"
     bad, reason = None, ""
+    seen = 0  # plain records before it were inflated with a bad member
 
     def gap(stop):
         return "gap", bad, (stop - bad, reason)
 
     while at < n:
-        found = None
+        found, records, between = None, [], []
         if data[at : at + 3] == b"\x1f\x8b\x08":
-            got = _inflate(data, at)
-            if got is None:
-                why = "bad member"
+            body, stop, whole = _inflate(data, at)
+            records, between = _inside(body, whole)
+            if whole and (records or not body):
+                found = records, stop
             else:
-                body, stop = got
-                if not body:
-                    found = [], stop
-                else:
-                    records, pos, why = [], 0, ""
-                    while pos < len(body):
-                        one = parse_record(body, pos)
-                        if isinstance(one, str):
-                            why = one
-                            break
-                        records.append(one[0])
-                        pos = one[1]
-                    if not why:
-                        found = records, stop
+                why = between[0][2] if whole else "bad member"
+                if records:
+                    seen = max(seen, stop)
         else:
             one = parse_record(data, at) if data[at : at + 5] == b"WARC/" else "no member" if zipped else "no version line"
             if isinstance(one, str):
@@ -178,11 +208,15 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, object]]:
                 bad = None
             for r in found[0]:
                 yield "record", at, r
+            for start, stop, why in between:
+                yield "gap", at, (0, f"inflated bytes {start} to {stop}: {why}")
             at = found[1]
             continue
         if bad is None:
             bad, reason = at, why
-        marks = [m for m in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if m >= 0]
+        for r in records:
+            yield "record", at, r
+        marks = [m for m in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", max(at + 1, seen))) if m >= 0]
         at = min(marks, default=n)
     if bad is not None:
         yield gap(n)

@@ -228,6 +228,26 @@ def test_html_text():
     assert len(wrong) <= len(html_text.LABELLED) // 100
 
 
+def test_warc_salvage_inside_members():
+    one = lambda k, text: warc._record("response", k, "http://x", text, hashlib.sha1(text).hexdigest(), len(text))
+    rng = np.random.default_rng(2)
+    parts = [one(k, rng.bytes(3000).hex().encode()) for k in range(5)]
+    ids = lambda found: [w["page_id"] for kind, _, w in found if kind == "record"]
+    wrong = bytearray(parts[1])
+    wrong[-40] ^= 1
+    data = gzip.compress(parts[0] + bytes(wrong) + b"".join(parts[2:]))
+    found = list(warc.salvage(data))
+    at, end = len(parts[0]), len(parts[0]) + len(wrong)
+    assert ids(found) == [0, 2, 3, 4] and [w for kind, _, w in found if kind == "gap"] == [(0, f"inflated bytes {at} to {end}: wrong block digest")]
+    sound = gzip.compress(b"".join(parts))
+    for level in (0, 6):
+        whole = gzip.compress(b"".join(parts), level)
+        for data in (whole[: len(whole) * 7 // 10], whole[:-8] + b"\0" * 8):
+            found = list(warc.salvage(data + sound))
+            assert ids(found) == [*range(3 if len(data) < len(whole) else 5), *range(5)]
+            assert sum(w[0] for kind, _, w in found if kind == "gap") == len(data)
+
+
 def test_url_verdicts_are_the_same_among_many_seeds_and_far_away(spark):
     to = lambda host: f'<a href="http://{host}/x">b</a>'
     rows = [(0, "http://bad.org/", ""), *((k, f"http://links{k}.org/", to("bad.org")) for k in range(1, 1301))]
