@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     The edge set never outgrows its first size by more than a constant, hot nodes are only ever partially aggregated or
     on the splittable side of a join, and rounds are logarithmic in the length of the longest chain. Nulls and loops are
-    left out; no edges give no rows.
+    left out; no edges give no rows. The tables of earlier rounds are deleted.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = written(e, "links"), None
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         print_ = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if print_ == before:
             break
-        before = print_
+        before, last = print_, e
         e = written(_small_star(_large_star(e).filter("u <> v").distinct()).filter("u <> v").distinct(), "links")
+        discard(last)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select("root", "root").distinct())

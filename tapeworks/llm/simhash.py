@@ -11,14 +11,26 @@ too many pairs: its members are linked through the words within distance 1 of th
 bits or fewer exactly if they share such a word, at most 65 fingerprints share one, and all that share one are linked, so a
 star from the least is enough. No link is lost either way.
 
+Similarity. Two bits of 64 are far too few for a given similarity of the shingle sets (at 0.8 fingerprints differ in 4 to 14
+bits), so with ``similarity`` Golay keys only propose pairs. Others are proposed by min-wise sketches of the same shingle hashes,
+cut into bands: texts that share a band and whose estimate is at most four deviations under the limit. Proposals are chained to
+clusters, and inside a cluster the whole sets of hashes decide: every link has the exact Jaccard similarity, and every pair of a
+cluster whose estimate allows it is verified unless both texts are linked already.
+
+Large bands and clusters are dealt to blocks of bounded size. All members meet a few centres first, then the blocks meet in
+pairs, but not those whose texts are linked already. A pair of blocks gives only the links that join unlinked texts (a
+forest), never its pairs. So no link is lost, output is linear, and only texts that no centre joins cost comparisons.
+
 Defined results: words are split at ``[\\x20\\x09-\\x0D]``, A-Z lower-cased. A text with fewer words than a shingle has one
 shingle, all of it; a null or empty text has fingerprint zero and is linked like any other. Rows with equal ids all appear;
-a null id never is a representative unless its whole group has none. Other columns are ignored.
+a null id never is a representative unless its whole group has none. ``one_of_each`` keeps rows, not ids: of each group the row
+of the smallest id (nulls last), so rows with null or equal ids and unlike texts all stay; of rows equal in id and text one
+stays, whatever their other columns. Other columns of any name pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -27,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NULL_ID, id_key, written
+from .common import discard, from_row, id_key, with_row, written
 from .components import components
 
 SEED = 42
@@ -38,10 +50,12 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BUCKET = 64
 _CHUNK = 1 << 16
 #: Sketches: ranges, ranges of a band, and what an empty range holds. 128 ranges estimate 0.8 with a deviation of 0.035.
-BINS, ROWS, EMPTY, SLACK = 128, 5, np.uint32(0xFFFFFFFF), 0.02
-#: Deviations of the estimate under the limit that a candidate may have where its pair is verified: 0.659 for 0.8.
+BINS, ROWS, EMPTY = 128, 5, np.uint32(0xFFFFFFFF)
+#: Deviations of the estimate under the limit that a candidate may have: 0.659 for 0.8.
 FAR = 4
-#: Of a band of more than BUCKET: how many centres all of it are compared with, and how many of the likest to these.
+#: A block holds about so many texts or bytes of their hashes at most, unless a single text has more.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Of more than a block: how many centres all are compared with, and how many of the likest to these.
 CENTRES, HUBS = 16, 4
 
 
@@ -143,14 +157,16 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, sketches, same = [], [], []
+        fps, sketches, same, sizes = [], [], [], []
         for t in batch.column(1):
             h = shingle_hashes(t.as_py() or b"", words)
             fps.append(fingerprint(h))
             h = np.unique(h)
             sketches.append(sketch(h).tobytes())
             same.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(np.array(same, np.uint64).view(np.int64))], ["_tw_id", "_tw_fp", "sketch", "node"])
+            sizes.append(len(h))
+        fps, same = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, same))
+        yield pa.RecordBatch.from_arrays([batch.column(0), fps, pa.array(sketches, pa.binary()), same, pa.array(sizes, pa.int64()), batch.column(2)], ["_tw_id", "_tw_fp", "sketch", "node", "size", "_tw_hash"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -161,18 +177,6 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(same.view(np.int64)), pa.array(sets, pa.binary())], ["node", "hashes"])
 
 
-def _exact(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """The pairs a, b whose sets of hashes x and y have at least this Jaccard similarity."""
-    for batch in batches:
-        stay = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = np.sort(np.concatenate([x, y]))
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            stay.append(common >= similarity * (len(both) - common) - 1e-9)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(stay, pa.bool_()))
-
-
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [band_keys(np.frombuffer(x.as_py(), np.uint32)) for x in batch.column(1)]
@@ -180,15 +184,6 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for x in keys for k in x], pa.int64()), pa.array(nodes, pa.int64())], ["k", "node"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Estimated similarity of the sketches of a and b: equal ranges among those that are not empty in both."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, BINS) for k in (2, 3))
-        used = (x != EMPTY) | (y != EMPTY)
-        like = ((x == y) & used).sum(1) / np.maximum(1, used.sum(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like, pa.float64())], ["a", "b", "like"])
-
-
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
@@ -217,149 +212,197 @@ def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def _cross(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[tuple[int, pa.RecordBatch, list, np.ndarray, np.ndarray]]:
-    """For every row, of blocks x and y: (row, batch, nodes and roots of both, estimates, estimates of at least ``limit`` or 0)."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            sides, sk = [], []
-            for block in (batch.column("x")[r].values, batch.column("y")[r].values):
-                sides.append([block.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root")])
-                sk.append(np.ascontiguousarray(np.frombuffer(b"".join(block.field("sketch").to_pylist()), np.uint32).reshape(-1, BINS).T))
-            equal = np.zeros((sk[0].shape[1], sk[1].shape[1]), np.uint8)
-            for x, y in zip(*sk):
-                equal += x[:, None] == y
-            empty = [(x == EMPTY).astype(np.float32) for x in sk]
-            both = empty[0].T @ empty[1]
-            like = (equal - both) / np.maximum(1, BINS - both)
-            yield r, batch, sides, like, np.where((like >= limit) & (sides[0][0][:, None] != sides[1][0]), like, 0)
+def _like(x: pa.StructArray, y: pa.StructArray, limit: float) -> np.ndarray:
+    """Estimated similarities of two blocks: equal ranges among those that are not empty in both; 0 below ``limit``."""
+    sk = [np.ascontiguousarray(np.frombuffer(b"".join(b.field("sketch").to_pylist()), np.uint32).reshape(-1, BINS).T) for b in (x, y)]
+    equal = np.zeros((len(x), len(y)), np.uint8)
+    for a, b in zip(*sk):
+        equal += a[:, None] == b
+    empty = [(s == EMPTY).astype(np.float32) for s in sk]
+    both = empty[0].T @ empty[1]
+    like = (equal - both) / np.maximum(1, BINS - both)
+    return np.where(like >= limit, like, 0)
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
-    """Members x of a band against its centres y: each one's likest centre, and how like it is to all of them."""
-    for r, batch, ((a, _), (b, _)), _, like in _cross(batches, limit):
-        at = np.flatnonzero(like.any(1))
-        k = np.full(len(at), batch.column("k")[r].as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a[at]), pa.array(b[like[at].argmax(1)]), pa.array(like[at].sum(1, dtype=np.float64))], ["k", "a", "b", "score"])
+def _column(block: pa.StructArray, name: str) -> np.ndarray:
+    return block.field(name).to_numpy(zero_copy_only=False)
 
 
-def _unjoined(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks x and y of a band to the like pairs that have no common root yet."""
-    for _, _, ((a, ra), (b, rb)), _, like in _cross(batches, limit):
-        i, j = np.nonzero((like > 0) & (ra[:, None] != rb))
-        yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are equal."""
+    both = np.sort(np.concatenate([x, y]))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (len(both) - common) if len(both) else 1.0
 
 
-def exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) those with at least this Jaccard similarity; sets has (node, hashes), without repeats."""
-    x, y = (sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _exact(it, similarity), "a long, b long")
+def _forest(batches: Iterator[pa.RecordBatch], limit: float, similarity: float | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks x and y (without y, x and x) to links that join their like texts without a common root, without cycles.
 
+    Alike are texts with an estimate of at least ``limit``, whose sets of hashes have at least ``similarity`` if it is given.
+    """
+    for batch in batches:
+        out_a, out_b = [], []
+        for r in range(batch.num_rows):
+            x = batch.column("x")[r].values
+            y = batch.column("y")[r].values if "y" in batch.schema.names else x
+            a, b = _column(x, "node"), _column(y, "node")
+            like = _like(x, y, limit)
+            like[a[:, None] == b] = 0
+            if y is x:
+                like = np.triu(like)
+            label = np.unique(np.concatenate([_column(x, "root"), _column(y, "root")]), return_inverse=True)[1]
+            row, col = label[: len(a)], label[len(a) :]  # views: a merge changes both
+            sets = [[np.frombuffer(h.as_buffer(), np.uint64) for h in s.field("hashes")] for s in (x, y)] if similarity else None
+            every = np.arange(len(a))
+            while True:  # each time the likest open partner of every text of x
+                open_ = np.where(row[:, None] != col, like, 0)
+                best = open_.argmax(1)
+                at = np.flatnonzero(open_[every, best] > 0)
+                if not len(at):
+                    break
+                for i, j in zip(at.tolist(), best[at].tolist()):
+                    like[i, j] = 0
+                    if row[i] != col[j] and (sets is None or jaccard(sets[0][i], sets[1][j]) >= similarity - 1e-9):
+                        label[label == col[j]] = row[i]
+                        out_a.append(a[i])
+                        out_b.append(b[j])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+
+def _scores(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+    """How like each text of a block x is to the centres y, summed."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            x = batch.column("x")[r].values
+            score = _like(x, batch.column("y")[r].values, limit).sum(1, dtype=np.float64)
+            k = np.full(len(x), batch.column("k")[r].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), x.field("node"), pa.array(score)], ["k", "node", "score"])
 
-def similar(sketches: DataFrame, similarity: float, bucket: int = BUCKET, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, sketch) without repeats to links (a, b) of estimated similarity that join all candidates, directly or in steps.
 
-    With ``verify`` pairs need an estimate of only ``FAR`` deviations less, and those are links that it leaves of them.
+def joined(members: DataFrame, limit: float, similarity: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(k, node, sketch, and with ``similarity`` size and hashes) to links (a, b) inside each k, as of ``_forest``.
 
-    Candidates share a band. Up to ``bucket`` of a band are compared with each other. Of more, all are first compared with
-    a few centres, then with those that were likest to the centres (an original, rather than its copies). Components of the
-    links so far follow, and all of a band that have no common root are compared, in pairs of blocks. So no link between
-    candidates is lost, and only texts that the centres do not join are compared with all.
+    They join all that is alike in a k, directly or in steps.
     """
-    limit, chunk = similarity - SLACK, 4 * bucket
-    if verify is None:
-        verify = lambda pairs: pairs
-    else:
-        limit = similarity - FAR * (similarity * (1 - similarity) / BINS) ** 0.5
-    compared = lambda pairs: (
-        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_compare, "a long, b long, like double")
-        .filter(F.col("like") >= limit)
-        .select("a", "b")
-    )
-    held = written(sketches.select("node", "sketch").mapInArrow(_bands, "k long, node long"), "bands")
-    sizes = held.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    held = written(held.join(sizes, "k"), "band-buckets")
-    few, many = held.filter(F.col("n") <= bucket).select("k", "node"), held.filter(F.col("n") > bucket)
-    pairs = few.select("k", F.col("node").alias("a")).join(few.select("k", F.col("node").alias("b")), "k").filter("a < b").select("a", "b").distinct()
-    found = written(verify(written(compared(pairs), "likes")), "links-of-few")
-    if many.isEmpty():
+    exact = similarity is not None
+    share = F.lit(1 / block) + (F.col("size") * (8 / BLOCK_BYTES) if exact else 0)
+    members = members.withColumn("w", share)
+    names = ["node", "root", "sketch", *["hashes"] * exact]
+    collect = F.collect_list(F.struct(*names))
+    forest = lambda pairs: pairs.mapInArrow(lambda it: _forest(it, limit, similarity), "a long, b long")
+    slot = lambda weight: F.pmod(F.xxhash64("node"), F.ceil(weight))
+
+    sizes = members.groupBy("k").agg(F.count("*").alias("n"), F.sum("w").alias("all")).filter("n > 1")
+    held = written(members.withColumn("root", F.col("node")).join(sizes, "k"), "members")
+    small, large = held.filter("all <= 1"), held.filter("all > 1")
+    found = written(forest(small.groupBy("k").agg(collect.alias("x")).select("x")), "links-of-small")
+    if large.isEmpty():
+        discard(held)
         return found
-    slot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / chunk))
-    member = F.collect_list(F.struct("node", "root", "sketch"))
-    blocks = many.withColumns({"slot": slot("n"), "root": F.col("node")}).join(sketches, "node").groupBy("k", "slot").agg(member.alias("x"))
-    blocks = written(blocks.select("k", "x"), "band-blocks")
-
-    def nearest(centres: DataFrame) -> DataFrame:
-        y = centres.withColumn("root", F.col("node")).join(sketches, "node").groupBy("k").agg(member.alias("y"))
-        return written(blocks.join(y, "k").mapInArrow(lambda it: _nearest(it, limit), "k long, a long, b long, score double"), "stars")
-
-    first = nearest(many.groupBy("k", F.pmod("node", F.lit(CENTRES))).agg(F.min("node").alias("node")).select("k", "node"))
-    second = nearest(first.groupBy("k", F.pmod("a", F.lit(HUBS))).agg(F.max_by("a", "score").alias("node")).select("k", "node"))
-    likes = written(first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likes")
-    found = found.union(written(verify(likes), "links-of-centres"))
-
-    rooted = many.select("k", "node").join(components(found), "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "rooted")
-    counts = rooted.groupBy("k", "root").agg(F.count("*").alias("c"))
-    # Blocks of one root each for roots that fill one; the others are mixed.
-    bands = counts.groupBy("k").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("c") <= chunk, F.col("c"))).alias("mixed")).filter("roots > 1")
-    whole = F.when(F.col("c") > chunk, F.col("root"))
-    dealt = rooted.join(counts.join(bands, "k"), ["k", "root"]).withColumn("whole", whole)
-    dealt = dealt.withColumn("slot", F.when(F.col("whole").isNull(), slot("mixed")).otherwise(slot("c")))
-    blocks = dealt.join(sketches, "node").groupBy("k", "whole", "slot").agg(member.alias("x"))
+
+    blocks = written(large.groupBy("k", slot(F.col("all")).alias("slot")).agg(collect.alias("x")).select("k", "x"), "blocks")
+    first = large.groupBy("k", F.pmod("node", F.lit(CENTRES)).alias("of")).agg(F.min_by(F.struct(*names), "node").alias("c"))
+    first = written(first.groupBy("k").agg(F.collect_list("c").alias("y")), "centres")
+    scored = blocks.join(first, "k").select("k", "x", "y").mapInArrow(lambda it: _scores(it, limit), "k long, node long, score double")
+    likest = scored.groupBy("k", F.pmod("node", F.lit(HUBS))).agg(F.max_by("node", "score").alias("node")).select("k", "node")
+    hubs = large.join(likest, ["k", "node"]).groupBy("k").agg(collect.alias("h"))
+    centres = written(first.join(hubs, "k").select("k", F.concat("h", F.filter("y", lambda c: ~F.array_contains(F.col("h.node"), c.node))).alias("y")), "centres")
+    stars = written(forest(blocks.join(centres, "k").select("x", "y")), "links-of-centres")
+    discard(blocks, first, centres)
+
+    # What the centres join has one root now. Blocks of one root each for roots that fill one; the others are mixed.
+    rooted = written(large.select("k", "node", "w").join(components(found.union(stars)), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    counts = rooted.groupBy("k", "root").agg(F.sum("w").alias("c"))
+    open_ = counts.groupBy("k").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("c") <= 1, F.col("c"))).alias("mixed")).filter("roots > 1")
+    whole = F.when(F.col("c") > 1, F.col("root"))
+    dealt = rooted.join(counts.join(open_, "k"), ["k", "root"]).withColumn("whole", whole)
+    dealt = dealt.select("k", "node", "root", "whole", F.when(F.col("whole").isNull(), slot(F.col("mixed"))).otherwise(slot(F.col("c"))).alias("slot"))
+    blocks = large.drop("root").join(dealt, ["k", "node"]).groupBy("k", "whole", "slot").agg(collect.alias("x"))
     blocks = written(blocks.withColumn("block", F.xxhash64("k", "whole", "slot", F.col("whole").isNull())), "root-blocks")
     heads = blocks.select("k", "block", "whole")
     meet = heads.alias("p").join(heads.alias("q"), "k").filter("p.block <= q.block and not coalesce(p.whole = q.whole, false)")
     meet = meet.select(F.col("p.block").alias("px"), F.col("q.block").alias("qx"))
-    both = meet.join(blocks.select(F.col("block").alias("px"), "x"), "px").join(blocks.select(F.col("block").alias("qx"), F.col("x").alias("y")), "qx").select("x", "y")
-    left = both.mapInArrow(lambda it: _unjoined(it, limit), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.union(written(verify(written(left.distinct(), "likes")), "links-of-many"))
+    pairs = meet.join(blocks.select(F.col("block").alias("px"), "x"), "px").join(blocks.select(F.col("block").alias("qx"), F.col("x").alias("y")), "qx").select("x", "y")
+    rest = written(forest(pairs), "links-of-blocks")
+    discard(held, rooted, blocks)
+    return found.union(stars).union(rest)
+
+
+def similar(sketches: DataFrame, sets, similarity: float, proposed: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of at least this Jaccard similarity that join all candidates, directly or in steps.
+
+    sketches has (node, sketch, size) without repeats; ``sets`` maps a table of nodes to (node, hashes), without repeats too.
+    ``proposed`` has more pairs (a, b) to be verified.
+    """
+    limit = similarity - FAR * (similarity * (1 - similarity) / BINS) ** 0.5
+    bands = written(sketches.select("node", "sketch").mapInArrow(_bands, "k long, node long"), "bands")
+    shared = bands.join(bands.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), "k")
+    likely = joined(shared.join(sketches.select("node", "sketch"), "node"), limit, block=block)
+    likely = likely if proposed is None else likely.union(proposed.select("a", "b"))
+    clusters = written(components(likely).select("node", F.col("root").alias("k")), "clusters")
+    discard(bands)
+    hashes = written(sets(clusters.select("node")), "shingle-sets")
+    links = joined(clusters.join(sketches.select("node", "sketch", "size"), "node").join(hashes, "node"), limit, similarity, block)
+    discard(clusters, hashes)
+    return links
+
+
+def _first(*columns: str):
+    """Orders rows of documents: by id, nulls last, then by the text's hash."""
+    return F.min(F.struct(F.col("_tw_id").isNull().alias("none"), F.col("_tw_id").alias("id"), *columns))
+
+
+def _grouped(docs: DataFrame, words: int, text: str, doc_id: str, similarity: float) -> DataFrame:
+    """(_tw_id, _tw_hash, _tw_fp, first): documents, and the first of the documents that each is linked to."""
+    body = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
+    source = docs.select(F.col(doc_id).cast("long").alias("_tw_id"), body.alias("_tw_text"), F.xxhash64(body).alias("_tw_hash"))
+    kinds = "_tw_id long, _tw_fp long, sketch binary, node long, size long, _tw_hash long"
+    each = written(source.mapInArrow(lambda it: _sketches(it, words), kinds), "sketches")
+    nodes = written(each.groupBy("node").agg(_first("_tw_hash").alias("first"), *[F.min(c).alias(c) for c in ("_tw_fp", "sketch", "size")]), "distinct-sketches")
+
+    # One text stands for all of a fingerprint: what Golay keys link are pairs of those.
+    of = written(nodes.groupBy("_tw_fp").agg(F.min("node").alias("node")), "fingerprints")
+    near = links(of.select(F.col("_tw_fp").alias("fp")))
+    at = lambda c: of.select(F.col("_tw_fp").alias(c), F.col("node").alias(f"n{c}"))
+    proposed = near.join(at("a"), "a").join(at("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    proposed = proposed.union(nodes.select("_tw_fp", F.col("node").alias("a")).join(at("_tw_fp"), "_tw_fp").filter("a <> n_tw_fp").select("a", "n_tw_fp"))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        rows = nodes.join(wanted, "node", "left_semi").select(id_key("first.id").alias("_tw_key"), F.col("first._tw_hash").alias("_tw_hash"))
+        texts = source.withColumn("_tw_key", id_key("_tw_id")).join(rows, ["_tw_key", "_tw_hash"], "left_semi")
+        return texts.select("_tw_text").mapInArrow(lambda it: _sets(it, words), "node long, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    found = similar(nodes.select("node", "sketch", "size"), sets, similarity, proposed)
+    rooted = nodes.select("node", "first").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("of_root"))
+    named = rooted.join(firsts, "root").select("node", F.col("of_root").alias("first"))
+    return each.select("_tw_id", "_tw_hash", "_tw_fp", "node").join(named, "node").drop("node")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """(_tw_id, _tw_fp, _tw_component): each document with its fingerprint and the smallest id it is linked to.
 
-    ``similarity`` also links documents whose sets of shingles have at least this Jaccard similarity. Two bits of 64
-    are far too few for that (at 0.8 fingerprints differ in 4 to 14 bits), so min-wise sketches of the same shingle hashes
-    find candidates, and the sets of hashes of each pair verify these.
+    Linked are fingerprints within two bits, or with ``similarity`` documents whose sets of shingles have at least this Jaccard
+    similarity.
     """
-    if similarity is None:
-        each = written(fingerprints(docs, words, text, doc_id), "fingerprints")
-        fps = written(each.groupBy(F.col("_tw_fp").alias("fp")).agg(F.min("_tw_id").alias("least")), "distinct-fps")
-        edges, node = links(fps), "_tw_fp"
-    else:
-        source = docs.select(F.col(doc_id).cast("long").alias("_tw_id"), F.col(text).cast("string").cast("binary").alias("_tw_text"))
-        each = written(source.mapInArrow(lambda it: _sketches(it, words), "_tw_id long, _tw_fp long, sketch binary, node long"), "sketches")
-        fps = written(each.groupBy(F.col("node").alias("fp")).agg(F.min("_tw_id").alias("least"), F.min("_tw_fp").alias("_tw_fp"), F.min("sketch").alias("sketch")), "distinct-sketches")
-        near = links(fps.select(F.col("_tw_fp").alias("fp")).distinct())
-        # One node stands for all of a fingerprint: links between fingerprints become links between those.
-        first = fps.groupBy("_tw_fp").agg(F.min("fp").alias("first"))
-        of = lambda c: first.select(F.col("_tw_fp").alias(c), F.col("first").alias(f"n{c}"))
-        edges = near.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        edges = edges.union(fps.join(first, "_tw_fp").filter("fp <> first").select("fp", "first"))
-        held = source.withColumn("_tw_key", id_key("_tw_id"))
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            keys = each.join(nodes, "node").groupBy("node").agg(F.min(id_key("_tw_id")).alias("_tw_key")).select("_tw_key").distinct()
-            sets = held.join(keys, "_tw_key", "left_semi").select("_tw_text").mapInArrow(lambda it: _sets(it, words), "node long, hashes binary")
-            return exact(pairs, written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets"), similarity)
-
-        edges, node = edges.union(similar(fps.select(F.col("fp").alias("node"), "sketch"), similarity, verify=verify)), "node"
-    fps = fps.select("fp", "least")
-    roots = components(edges).withColumnRenamed("node", "fp")
+    if similarity is not None:
+        return _grouped(docs, words, text, doc_id, similarity).select("_tw_id", "_tw_fp", F.col("first.id").alias("_tw_component"))
+    each = written(fingerprints(docs, words, text, doc_id), "fingerprints")
+    fps = written(each.groupBy(F.col("_tw_fp").alias("fp")).agg(F.min("_tw_id").alias("least")), "distinct-fps")
+    roots = components(links(fps)).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("_tw_component")), "root").select(F.col("fp").alias(node), "_tw_component")
-    return each.join(named, node).select("_tw_id", "_tw_fp", "_tw_component")
-
-
-def one_of_each(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", similarity: float | None = 0.8) -> DataFrame:
-    """docs with only the document of the smallest id of each group; of rows with that id, one."""
-    groups = near_duplicates(docs, words, text, doc_id, similarity)
-    stay = groups.filter(F.col("_tw_component").eqNullSafe(F.col("_tw_id"))).select(F.coalesce("_tw_id", F.lit(NULL_ID)).alias("_tw_key")).distinct()
-    return docs.withColumn("_tw_key", id_key(doc_id)).join(stay, "_tw_key", "left_semi").dropDuplicates(["_tw_key"]).drop("_tw_key")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("_tw_component")), "root").select(F.col("fp").alias("_tw_fp"), "_tw_component")
+    return each.join(named, "_tw_fp").select("_tw_id", "_tw_fp", "_tw_component")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+    """docs with only the first document of each group: that of the smallest id, nulls last."""
+    groups = _grouped(docs, words, text, doc_id, similarity)
+    stay = groups.filter(F.col("_tw_id").eqNullSafe(F.col("first.id")) & (F.col("_tw_hash") == F.col("first._tw_hash")))
+    stay = stay.select(id_key("_tw_id").alias("_tw_key"), "_tw_hash").distinct()
+    body = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
+    rows = with_row(docs, _tw_key=id_key(doc_id), _tw_hash=F.xxhash64(body))
+    return from_row(rows.join(stay, ["_tw_key", "_tw_hash"], "left_semi").dropDuplicates(["_tw_key", "_tw_hash"]), docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

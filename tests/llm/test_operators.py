@@ -95,33 +95,69 @@ def test_simhash_links_against_brute_force(spark, bucket):
     assert all(got.get(k, k) == v for k, v in root.items())
 
 
-@pytest.mark.parametrize("bucket,n", [(2, 60), (16, 300)])
-def test_similar_links_unlike_copies_of_one_original(spark, bucket, n):
+def brute_components(sets, similarity):
+    """The least index that each set is linked to, by all pairs."""
+    root = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if root[a] != root[b]:
+                both = len(sets[a] & sets[b])
+                if both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                    old, new = max(root[a], root[b]), min(root[a], root[b])
+                    root = [new if r == old else r for r in root]
+    return root
+
+
+def shingles(words, n=5):
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+@pytest.mark.parametrize("block,n", [(4, 60), (32, 300)])
+def test_similar_links_unlike_copies_of_one_original(spark, block, n):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**64, 1000, dtype=np.uint64)
-    sketches = [simhash.sketch(base)]
+    sets = [np.sort(base)]
     for _ in range(n):  # Each differs from the original in about a tenth of its own, so the copies are unlike each other.
         own = base.copy()
-        own[rng.permutation(1000)[:95]] = rng.integers(0, 2**64, 95, dtype=np.uint64)
-        sketches.append(simhash.sketch(own))
+        own[rng.permutation(1000)[:105]] = rng.integers(0, 2**64, 105, dtype=np.uint64)
+        sets.append(np.sort(own))
     nodes = rng.permutation(n + 1).tolist()
-    df = spark.createDataFrame([(k, bytes(x.tobytes())) for k, x in zip(nodes, sketches)], "node long, sketch binary")
-    got = {r.node: r.root for r in components.components(simhash.similar(df, 0.8, bucket)).collect()}
-    bands, parent = [set(simhash.band_keys(x)) for x in sketches], list(range(n + 1))
-
-    def root(a):
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    for a in range(n + 1):
+    sketches = spark.createDataFrame([(k, bytes(simhash.sketch(x).tobytes()), 1000) for k, x in zip(nodes, sets)], "node long, sketch binary, size long")
+    hashes = spark.createDataFrame([(k, bytes(x.tobytes())) for k, x in zip(nodes, sets)], "node long, hashes binary")
+    links = simhash.similar(sketches, lambda wanted: hashes.join(wanted, "node", "left_semi"), 0.8, block=block)
+    got = {r.node: r.root for r in components.components(links).collect()}
+    root = brute_components([set(x.tolist()) for x in sets], 0.8)
+    least = {r: min(nodes[k] for k in range(n + 1) if root[k] == r) for r in set(root)}
+    assert {k: got.get(k, k) for k in nodes} == {nodes[a]: least[root[a]] for a in range(n + 1)}
+
+
+@pytest.mark.parametrize("shared,own,shift", [(200, 120, 30), (250, 80, 20)])
+def test_near_copies_that_drift_against_brute_force(spark, monkeypatch, shared, own, shift):
+    """A hot group of texts whose neighbours lie near the limit, in blocks of a few texts."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash.joined, "__defaults__", (None, 16))
+    monkeypatch.setattr(simhash.similar, "__defaults__", (None, 16))
+    common = [f"c{k}" for k in range(shared)]
+    texts = [common + [f"t{k * shift // 4 + j}" for j in range(own)] for k in range(160)]
+    rows = [(1000 - k, " ".join(t), "en") for k, t in enumerate(texts)]
+    got = {r._tw_id: r._tw_component for r in simhash.near_duplicates(docs(spark, rows), similarity=0.8).collect()}
+    sets = [shingles(t) for t in texts]
+    joined = missed = 0
+    for a in range(160):
         for b in range(a):
-            if bands[a] & bands[b] and (sketches[a] == sketches[b]).mean() >= 0.8 - simhash.SLACK:
-                parent[root(a)] = root(b)
-    least = {}
-    for a in range(n + 1):
-        least[root(a)] = min(least.get(root(a), n), nodes[a])
-    assert {k: got.get(k, k) for k in nodes} == {nodes[a]: least[root(a)] for a in range(n + 1)}
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                joined, missed = joined + 1, missed + (got[1000 - a] != got[1000 - b])
+    assert joined > 100 and missed <= 0.01 * joined
+    root = brute_components(sets, 0.8)
+    assert all(root[a] == root[b] for a in range(160) for b in range(a) if got[1000 - a] == got[1000 - b])
+
+
+def test_near_dedup_keeps_unlike_rows_of_equal_or_null_ids(spark):
+    text = lambda k: " ".join(f"w{k}_{j}" for j in range(40))
+    rows = [(7, text(0), "en"), (7, text(1), "en"), (7, text(2), "en"), (None, text(3), "en"), (None, text(4), "en"), (None, text(4), "de"), (None, text(0), "en"), (9, None, "en"), (8, "", "en"), (None, None, None)]
+    kept = simhash.one_of_each(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(7, text(0)), (7, text(1)), (7, text(2)), (None, text(3)), (None, text(4)), (8, "")], key=repr)
 
 
 def test_near_copies_have_the_exact_similarity(spark):
