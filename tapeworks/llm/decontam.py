@@ -1,21 +1,26 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched with block-max WAND.
 
-Every training passage (windows of ``2 * stride`` words that overlap by half; the stride is the longest item, so an item
-inside a document lies whole in some passage) queries the index. Impacts are BM25 weights divided by the item's score for
-its own text, so 1 means that the passage holds all of the item's words, and ``threshold`` is the same for all items.
-
-Items lie in blocks; for each term and block the index has the largest impact. WAND's pivot test, whether the upper bounds
-of the terms reach the threshold, is made for all passages of a batch and all blocks at once: terms that are common in the
-benchmark (small bounds: non-essential) enter with their global maximum, others with their block maximum. Only items of a
-block that passes are scored exactly, and all at or above the threshold are retrieved; a term counts once in a passage. A
-hit is then verified on the words around the passage: enough word 3-grams of the item's question (all but its last
-sentence) and of its answer (its last sentence) must occur there in order.
-
-The index is built from at most ``MAX_ITEMS`` items at a time, which bounds what is broadcast; a larger benchmark is
-searched in as many shards, one after the other. A document's hits never leave its row, so nothing is shuffled.
-
-Defined results: null or empty texts and items have no words and never match. Items of equal text are all reported. Null
-item ids are reported as null. Other columns pass through unchanged.
+Every training passage (windows of ``2 * stride`` words that overlap by half; the stride is the longest indexed part, so a part
+inside a document lies whole in some passage) queries the index. An item of at most ``PART`` words is one part; a longer one
+is cut evenly. Impacts are BM25 weights divided by the part's score for its own text, so 1 means that the passage holds all
+of its words, and ``threshold`` is the same for all. If a passage holds that share of a long item, it does so of one of its
+parts, so no long item is missed; it is then scored as a whole on the words around.
+
+Postings are sorted by part (parts by length, which keeps block maxima tight), in blocks of ``BLOCK`` with their largest impact.
+The search moves one cursor for each term of a passage: terms are sorted by their cursors, the pivot is the first part at which
+the terms' largest impacts add up to the threshold, and only if the maxima of the blocks around the pivot do so too is it
+scored; else the cursors skip to the end of the nearest block. All passages of a batch take these steps at once, as arrays, and
+leave when no pivot is left. All parts at or above the threshold are retrieved; a term counts once in a passage. A hit is then
+verified on the words around the passage: enough word 3-grams of the item's question (all but its last sentence) and of its
+answer (its last sentence) must occur there in order.
+
+The index is built from at most about ``MAX_WORDS`` words of items at a time (more only by one item), which bounds what is
+collected and broadcast; a larger benchmark is searched in as many shards, one after the other. A document's hits never leave
+its row, so nothing is shuffled.
+
+Defined results: null or empty texts and items have no words and never match. Items of equal text are all reported; rows of
+equal id and text are one item. Null item ids are reported as null. Other columns pass through, whatever their names; a column
+called ``_tw_hits`` makes place for the result.
 """
 
 from __future__ import annotations
@@ -31,13 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import ROW, from_row, with_row
+
 K1, B = 1.2, 0.75
-BLOCK, MAX_ITEMS = 8, 20_000
+PART, BLOCK, MAX_WORDS = 64, 8, 1_000_000
 THRESHOLD, MIN_QUESTION, MIN_ANSWER = 0.6, 0.7, 0.5
-#: Terms whose largest impact is below this are non-essential.
-SMALL = 0.001
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|…«»“”‘’-"
-_BATCH_BYTES, _CELLS = 1 << 22, 1 << 22
+_BATCH_BYTES = 1 << 22
+_ROUNDING = 1e-9
 
 HIT = "array<struct<item_id:bigint,score:double,question:double,answer:double,passage_start:bigint>>"
 
@@ -71,44 +77,97 @@ def _share(part: list[str], near: list[str]) -> float:
 
 
 class Index:
-    """Postings with block maxima of up to MAX_ITEMS items: [(item_id, text)]."""
+    """Postings with block maxima of items [(item_id, text)]."""
 
     def __init__(self, items: list[tuple]):
-        said = [(k, t) for k, t in items if t and t.strip()]
-        self.ids = [k for k, _ in said]
-        lists = words_of(pa.array([t for _, t in said], pa.string())).to_pylist()
-        self.words = [[w for w in x if w] for x in lists]
-        keep = [k for k, w in enumerate(self.words) if w]
-        self.ids, self.words, said = [self.ids[k] for k in keep], [self.words[k] for k in keep], [said[k] for k in keep]
-        parts = [split_item(t) for _, t in said]
+        lists = words_of(pa.array([t or "" for _, t in items], pa.string())).to_pylist()
+        said = [(k, t, w) for (k, t), x in zip(items, lists) if (w := [w for w in x if w])]
+        self.ids, self.words = [k for k, _, _ in said], [w for _, _, w in said]
+        halves = [split_item(t) for _, t, _ in said]
         norm = lambda xs: [[w for w in x if w] for x in words_of(pa.array(xs, pa.string())).to_pylist()]
-        self.question, self.answer = (norm([p[0] for p in parts]), norm([p[1] for p in parts])) if parts else ([], [])
-        self.vocabulary = sorted({w for x in self.words for w in x})
-        number = {w: k for k, w in enumerate(self.vocabulary)}
-        df = Counter(number[w] for x in self.words for w in set(x))
-        n, mean = len(self.words), sum(map(len, self.words)) / max(1, len(self.words))
-        self.stride = max([8, *map(len, self.words)])
-        self.n_blocks = -(-n // BLOCK)
-        self.items, self.held, block_max = [([], [], []) for _ in range(self.n_blocks)], np.zeros(len(self.vocabulary), bool), {}
+        self.question, self.answer = norm([h[0] for h in halves]), norm([h[1] for h in halves])
+        parts = []
         for k, x in enumerate(self.words):
-            tf = Counter(number[w] for w in x)
-            terms = np.array(sorted(tf), np.int64)
-            weight = np.array([np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * len(x) / mean)) for t in terms])
-            weight /= weight.sum()
-            for own, more in zip(self.items[k // BLOCK], (terms, np.full(len(terms), k % BLOCK), weight)):
-                own.append(more)
-            for t, w in zip(terms.tolist(), weight.tolist()):
-                block_max[t, k // BLOCK] = max(w, block_max.get((t, k // BLOCK), 0.0))
-        self.items = [tuple(map(np.concatenate, parts)) for parts in self.items]
-        top = np.zeros(len(self.vocabulary))
-        for (t, _), w in block_max.items():
-            top[t] = max(top[t], w)
-        self.essential = top >= SMALL
-        self.small = np.where(self.essential, 0.0, top)
-        pairs = sorted((t, b, w) for (t, b), w in block_max.items() if self.essential[t])
-        self.block = np.array([b for _, b, _ in pairs], np.int64)
-        self.bound = np.array([w for _, _, w in pairs])
-        self.first = np.searchsorted(np.array([t for t, _, _ in pairs], np.int64), np.arange(len(self.vocabulary) + 1))
+            n = -(-len(x) // PART)
+            parts += [(k, x[len(x) * i // n : len(x) * (i + 1) // n]) for i in range(n)]
+        parts.sort(key=lambda p: len(p[1]))
+        self.item = [k for k, _ in parts]
+        self.whole = [len(self.words[k]) <= PART for k in self.item]
+        self.stride = max([8, *(len(x) for _, x in parts)])
+
+        self.vocabulary = sorted({w for _, x in parts for w in x})
+        self.number = {w: k for k, w in enumerate(self.vocabulary)}
+        self.df = Counter(w for x in self.words for w in set(x))
+        self.mean = sum(map(len, self.words)) / max(1, len(self.words))
+        rows = [(self.number[w], d, i) for d, (_, x) in enumerate(parts) for w, i in self._impacts(x).items()]
+        rows.sort()
+        term, part, impact = (np.array([r[c] for r in rows], t) for c, t in enumerate((np.int64, np.int64, float)))
+        # Keys are term * span + part: one sorted array finds the next posting of any term at or after any part.
+        self.n, self.span = len(parts), len(parts) + 1
+        self.keys, self.impact = term * self.span + part, impact
+        first = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
+        block = (np.arange(len(term)) - first[term]) // BLOCK if len(term) else term
+        cut = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else term
+        self.block_max = np.maximum.reduceat(impact, cut) if len(term) else impact
+        self.block_end = self.keys[np.r_[cut[1:], len(term)] - 1] if len(term) else term
+        self.top = np.maximum.reduceat(impact, first[:-1]) if len(term) else impact
+        self.first = part[first[:-1]] if len(term) else term
+
+    def _impacts(self, words: list[str]) -> dict[str, float]:
+        """A text's terms with their shares of its own BM25 score."""
+        n, made = len(self.words), {}
+        for w, tf in Counter(words).items():
+            idf = np.log(1 + (n - self.df[w] + 0.5) / (self.df[w] + 0.5))
+            made[w] = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / self.mean)))
+        total = sum(made.values())
+        return {w: x / total for w, x in made.items()}
+
+    def _next(self, keys: np.ndarray, term: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the first of the sorted keys at or after (term, part) is, and its part; ``n`` if that term has none."""
+        at = np.searchsorted(keys, term * self.span + part)
+        found = keys[np.minimum(at, len(keys) - 1)] - term * self.span
+        return at, np.where((at < len(keys)) & (found < self.n), found, self.n)
+
+    def wand(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passages, parts, scores) of all at or above the threshold; the terms of a passage lie together."""
+        threshold -= _ROUNDING
+        cursor = self.first[term]
+        while len(passage):
+            order = np.argsort(passage * self.span + cursor, kind="stable")
+            passage, term, cursor = passage[order], term[order], cursor[order]
+            start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+            size = np.diff(np.r_[start, len(passage)])
+            summed = np.cumsum(self.top[term])
+            before = summed[start] - self.top[term[start]]
+            pivot = np.searchsorted(summed, before + threshold)
+            live = pivot < start + size
+            part = np.where(live, cursor[np.minimum(pivot, len(cursor) - 1)], self.n)
+            # Passages without a pivot are done, and so are terms without a posting left.
+            stay = np.repeat(live & (part < self.n), size) & (cursor < self.n)
+            passage, term, cursor, part = passage[stay], term[stay], cursor[stay], np.repeat(part, size)[stay]
+            if not len(passage):
+                return
+            start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+            group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(passage)]))
+            at_or_before = np.flatnonzero(cursor <= part)
+            t, d, g = term[at_or_before], part[at_or_before], group[at_or_before]
+            block, end = self._next(self.block_end, t, d)
+            bound = np.bincount(g, np.where(end < self.n, self.block_max[np.minimum(block, len(self.block_max) - 1)], 0.0), len(start))
+            scored = bound >= threshold
+            use = scored[g]
+            if use.any():
+                at, found = self._next(self.keys, t[use], d[use])
+                score = np.bincount(g[use], np.where(found == d[use], self.impact[np.minimum(at, len(self.impact) - 1)], 0.0), len(start))
+                hit = np.flatnonzero(scored & (score >= threshold))
+                if len(hit):
+                    yield passage[start[hit]], part[start[hit]], score[hit]
+            # Else skip: past the nearest end of these blocks, but not past the next term's cursor.
+            target = np.full(len(start), self.n)
+            np.minimum.at(target, g, np.minimum(end + 1, self.n))
+            later = np.flatnonzero(cursor > part)
+            np.minimum.at(target, group[later], cursor[later])
+            target = np.where(scored, part[start] + 1, target)
+            cursor[at_or_before] = self._next(self.keys, t, target[g])[1]
 
     def search(self, texts: pa.Array, threshold: float, min_question: float, min_answer: float) -> list[dict[int, tuple]]:
         """For each text: item number to (score, question, answer, passage start) of its best verified passage."""
@@ -125,35 +184,24 @@ class Index:
         at = np.flatnonzero(term >= 0)
         chunk = base[doc[at]] + (at - offsets[doc[at]]) // self.stride
         earlier = chunk > base[doc[at]]
-        pair = np.unique(np.concatenate([chunk * n_terms + term[at], (chunk[earlier] - 1) * n_terms + term[at][earlier]]))
-        passage, ids = pair // n_terms, pair % n_terms
-        light = np.bincount(passage, self.small[ids], int(base[-1]))
-        rows = max(1, _CELLS // self.n_blocks)
-        for lo in range(0, int(base[-1]), rows):
-            hi = min(int(base[-1]), lo + rows)
-            a, b = np.searchsorted(passage, [lo, hi])
-            use = ids[a:b]
-            count = self.first[use + 1] - self.first[use]
-            entry = np.repeat(self.first[use] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            cell = np.repeat(passage[a:b] - lo, count) * self.n_blocks + self.block[entry]
-            bound = np.bincount(cell, self.bound[entry], (hi - lo) * self.n_blocks).reshape(-1, self.n_blocks)
-            for c, block in zip(*np.nonzero(bound + light[lo:hi, None] >= threshold - 1e-9)):
-                x, y = np.searchsorted(passage, [lo + c, lo + c + 1])
-                self.held[ids[x:y]] = True
-                terms, local, impacts = self.items[block]
-                use = self.held[terms]
-                scores = np.bincount(local[use], impacts[use], BLOCK)
-                self.held[ids[x:y]] = False
-                for k in np.flatnonzero(scores >= threshold):
-                    d = int(np.searchsorted(base, lo + c, "right")) - 1
-                    self._verify(int(block) * BLOCK + int(k), float(scores[k]), int(lo + c - base[d]) * self.stride, flat, offsets[d : d + 2].tolist(), min_question, min_answer, hits[d])
+        pair = np.sort(np.concatenate([chunk * n_terms + term[at], (chunk[earlier] - 1) * n_terms + term[at][earlier]]))
+        pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
+        for passages, parts, scores in self.wand(pair // n_terms, pair % n_terms, threshold):
+            for c, part, score in zip(passages.tolist(), parts.tolist(), scores.tolist()):
+                d = int(np.searchsorted(base, c, "right")) - 1
+                self._verify(part, score, (c - int(base[d])) * self.stride, flat, offsets[d : d + 2].tolist(), threshold, min_question, min_answer, hits[d])
         return hits
 
-    def _verify(self, k, score, start, flat, of_doc, min_question, min_answer, hits) -> None:
-        lo, hi = of_doc[0] + max(0, start - self.stride), min(of_doc[1], of_doc[0] + start + 3 * self.stride)
+    def _verify(self, part, score, start, flat, of_doc, threshold, min_question, min_answer, hits) -> None:
+        k = self.item[part]
+        around = self.stride if self.whole[part] else len(self.words[k])
+        lo, hi = of_doc[0] + max(0, start - around), min(of_doc[1], of_doc[0] + start + 2 * self.stride + around)
         near = flat.slice(lo, hi - lo).to_pylist()
-        q, r = (_share(part, near) for part in (self.question[k], self.answer[k]))
-        if q >= min_question and r >= min_answer and score > hits.get(k, (-1.0,))[0]:
+        if not self.whole[part]:
+            there = set(near)
+            score = sum(x for w, x in self._impacts(self.words[k]).items() if w in there)
+        q, r = (_share(half, near) for half in (self.question[k], self.answer[k]))
+        if score >= threshold - _ROUNDING and q >= min_question and r >= min_answer and score > hits.get(k, (-1.0,))[0]:
             hits[k] = (score, q, r, start)
 
 
@@ -167,33 +215,48 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
         a = b
 
 
-def _search(batches: Iterator[pa.RecordBatch], broadcast, text: str, schema: pa.Schema, limits: tuple) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], broadcast, limits: tuple, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """ROW and _tw_text to these and _tw_hits; without that in the schema, only rows that have no hits."""
     index = broadcast.value
     for batch in batches:
-        texts = pc.fill_null(batch.column(text).cast(pa.string()), "")
+        texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
         found = [h for part in _slices(texts) for h in index.search(part, *limits)]
-        hits = [[{"item_id": index.ids[k], "score": s, "question": q, "answer": r, "passage_start": p} for k, (s, q, r, p) in sorted(h.items())] for h in found]
-        columns = [pa.array(hits, f.type) if f.name == "_tw_hits" else batch.column(f.name).cast(f.type) for f in schema]
-        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        columns = [batch.column(0).cast(schema.field(0).type), batch.column(1)]
+        if len(schema) == 2:
+            yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array([not h for h in found], pa.bool_()))
+        else:
+            hits = [[{"item_id": index.ids[k], "score": s, "question": q, "answer": r, "passage_start": p} for k, (s, q, r, p) in sorted(h.items())] for h in found]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, schema.field(2).type)], schema=schema)
 
 
 def _shards(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Index]:
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
-    n = -(-items.count() // MAX_ITEMS) or 1
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).filter("text is not null").distinct()
+    words = items.agg(F.sum(F.size(F.split("text", " "))).alias("n")).first()[0] or 0
+    n = -(-words // MAX_WORDS) or 1
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Index(sorted(map(tuple, part.collect()), key=lambda x: (x[0] is None, x[0], x[1] or "")))
+        yield Index(sorted(map(tuple, part.collect()), key=lambda x: (x[0] is None, x[0], x[1])))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
-    """docs plus _tw_hits, the benchmark items that each contains; a row for each shard of a benchmark over MAX_ITEMS."""
-    spark = docs.sparkSession
-    schema = T.StructType([*docs.schema.fields, T.StructField("_tw_hits", T._parse_datatype_string(HIT))])
-    arrow, limits, parts = to_arrow_schema(schema), (threshold, min_question, min_answer), []
+def _searched(docs: DataFrame, benchmark: DataFrame, with_hits: bool, text: str, item_id: str, item_text: str, limits: tuple) -> Iterator[tuple]:
+    """For each shard a function of (ROW, _tw_text) rows to the rows that ``_search`` gives."""
     for index in _shards(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(index)
-        parts.append(docs.mapInArrow(lambda it, shared=shared: _search(it, shared, text, arrow, limits), schema))
-    return reduce(DataFrame.unionByName, parts)
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(rows: DataFrame, shared=shared) -> DataFrame:
+            fields = [rows.schema[ROW], T.StructField("_tw_text", T.StringType())]
+            schema = T.StructType([*fields, T.StructField("_tw_hits", T._parse_datatype_string(HIT))] if with_hits else fields)
+            arrow = to_arrow_schema(schema)
+            return rows.mapInArrow(lambda it: _search(it, shared, limits, arrow), schema)
+
+        yield run
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
+    """docs plus _tw_hits, the benchmark items that each contains; a row for each shard of a benchmark over MAX_WORDS."""
+    rows = with_row(docs, (text,), _tw_text=F.col(text).cast("string"))
+    parts = [run(rows) for run in _searched(docs, benchmark, True, text, item_id, item_text, (threshold, min_question, min_answer))]
+    return from_row(reduce(DataFrame.unionByName, parts), docs.columns, **{text: "_tw_text", "_tw_hits": "_tw_hits"})
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
@@ -202,17 +265,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **optio
     return found.select("doc_id", F.explode("_tw_hits").alias("h")).select("doc_id", "h.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
     """docs without those that contain an item."""
-    spark, out = docs.sparkSession, docs
-    schema = T.StructType([*docs.schema.fields, T.StructField("_tw_hits", T._parse_datatype_string(HIT))])
-    arrow = to_arrow_schema(schema)
-    text = options.get("text", "text")
-    limits = (options.get("threshold", THRESHOLD), options.get("min_question", MIN_QUESTION), options.get("min_answer", MIN_ANSWER))
-    for index in _shards(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text")):
-        shared = spark.sparkContext.broadcast(index)
-        out = out.mapInArrow(lambda it, shared=shared: _search(it, shared, text, arrow, limits), schema).filter("size(_tw_hits) = 0").drop("_tw_hits")
-    return out
+    rows = with_row(docs, (text,), _tw_text=F.col(text).cast("string"))
+    for run in _searched(docs, benchmark, False, text, item_id, item_text, (threshold, min_question, min_answer)):
+        rows = run(rows)
+    return from_row(rows, docs.columns, **{text: "_tw_text"})
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -247,10 +247,53 @@ def test_decontamination_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), bench).collect()}
     assert got == {(1, 7), (3, 7)}
     assert decontam.clean(docs(spark, rows), bench).count() == len(rows) - 2 and decontam.clean(docs(spark, []), bench).count() == 0
-    ix = decontam.Index([(k, " ".join(f"t{(k * 7 + j) % 50}" for j in range(12))) for k in range(40)])
-    texts = [" ".join(f"t{(k * 3 + j * 5) % 50}" for j in range(90)) for k in range(10)]
-    wide = ix.search(pa.array(texts), 0.0, 0.0, 0.0)
-    assert all({k for k, v in w.items() if v[0] >= 0.6} == set(n) for w, n in zip(wide, ix.search(pa.array(texts), 0.6, 0.0, 0.0)))
+
+
+def bm25_shares(items):
+    """By item and word: the word's share of the item's BM25 score for its own text, computed word by word."""
+    words = [t.split() for t in items]
+    mean = sum(map(len, words)) / len(words)
+    out = []
+    for own in words:
+        score = {}
+        for w in own:
+            df, tf = sum(w in x for x in words), own.count(w)
+            score[w] = np.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        out.append({w: v / sum(score.values()) for w, v in score.items()})
+    return out
+
+
+def test_block_max_wand_against_a_full_loop():
+    rng = np.random.default_rng(4)
+    items = [" ".join(f"t{int(x)}" for x in rng.zipf(1.3, rng.integers(6, 40)) % 300) for _ in range(120)]
+    ix, shares = decontam.Index(list(enumerate(items))), bm25_shares(items)
+    texts = [" ".join([items[(7 * k) % 120], *(f"t{int(x)}" for x in rng.zipf(1.3, 150) % 300)]) for k in range(40)]
+    for threshold in (0.3, 0.6, 0.9):
+        got = ix.search(pa.array(texts), threshold, 0.0, 0.0)
+        for text, hits in zip(texts, got):
+            words, best = text.split(), collections.defaultdict(float)
+            for a in range(0, len(words), ix.stride):
+                there = set(words[a : a + 2 * ix.stride])
+                for k, share in enumerate(shares):
+                    best[k] = max(best[k], sum(v for w, v in share.items() if w in there))
+            assert set(hits) == {k for k, v in best.items() if v >= threshold - 1e-9}
+            assert all(abs(h[0] - best[k]) < 1e-9 for k, h in hits.items())
+
+
+def test_long_and_equal_benchmark_items(spark):
+    long_item = " ".join(f"q{k}" for k in range(700)) + ". The answer is " + " ".join(f"r{k}" for k in range(9)) + "."
+    short = "What is the name of the hill by the river? It is Blue Hill."
+    bench = spark.createDataFrame([(1, long_item), (2, short), (3, short), (3, short), (None, short)], "item_id long, text string")
+    rows = [(1, "a b c " * 50 + long_item + " d e f" * 50, "en"), (2, f"see {short}", "en"), (3, " ".join(long_item.split()[:300]), "en")]
+    got = sorted(((r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), bench).collect()), key=repr)
+    assert got == [(1, 1), (2, 2), (2, 3), (2, None)]
+    assert decontam.Index([(1, long_item)]).stride <= decontam.PART
+    ours = decontam.MAX_WORDS
+    try:
+        decontam.MAX_WORDS = 20
+        assert decontam.clean(docs(spark, rows), bench).count() == 1
+    finally:
+        decontam.MAX_WORDS = ours
 
 
 def test_html_text():
