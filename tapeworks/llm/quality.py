@@ -2,15 +2,16 @@
 
 Base rules count words, symbols, repeated lines and words inside repeated 5-word windows. The method compares two histograms
 of a document with those of its language: character classes, and the language's most common words against all other words.
-The references are the counts summed over all documents of that language (a few rows, one for each language with a word
-list below, which bounds the broadcast). A document is rejected if a Jensen-Shannon distance (base 2, 0 to 1) is above its
-threshold; documents shorter than the guards, or in a language without a list, are judged by the base rules alone.
+The references are fixed shares of general prose in that language, so a verdict never depends on the other rows of a table. A
+document is rejected if a Jensen-Shannon distance (base 2, 0 to 1) is above its threshold; documents shorter than the guards,
+or in a language without a reference, are judged by the base rules alone.
 
-Everything is computed inside a row from the whole text: no explode, no shuffle but that of the few reference rows. Repeated
-windows are found by sorting window hashes, so a very long document costs n log n.
+Everything is computed inside a row from the whole text in one pass: no explode, no join, no shuffle. Repeated windows are
+found by sorting window hashes, so a very long document costs n log n.
 
 Defined results: a null text has no words. A null or unknown language has no reference. Rows with equal ids are judged one
-by one. An empty table gives an empty result.
+by one. An empty table gives an empty result. A table without a language column has no references. Other columns pass through,
+whatever their names; columns called like a result (``_tw_n_words`` and so on) make place for it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WHITE, WORD_GAP
+from .common import ROW, WHITE, WORD_GAP, from_row, quoted, with_row
 
 # Common words of each language, written in lower case.
 COMMON = {
@@ -30,8 +31,22 @@ COMMON = {
 }
 #: Counted in what is left of a text without lower-case letters and white space.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r"[.,;:!?'\"()\-]", "symbol": r"[#*$%&|<>@+=_/\\~^{}\[\]`]"}
+# Of a thousand characters in words of general prose, how many are lower-case letters, then of each class, then
+# others; and of a thousand words, how many are each common word. Rounded; the rest of the words are others.
+CLASS_SHARES = {
+    "de": [915, 60, 3, 22, 0, 0],
+    "en": [945, 25, 2, 28, 0, 0],
+    "es": [945, 25, 3, 27, 0, 0],
+    "fr": [945, 22, 3, 28, 0, 2],
+}
+WORD_SHARES = {
+    "de": [33, 33, 29, 17, 13, 10, 11, 9, 8, 8, 7, 9],
+    "en": [61, 30, 28, 26, 21, 22, 10, 11, 9, 7, 7, 9],
+    "es": [65, 41, 32, 29, 27, 27, 18, 14, 11, 10, 11, 9],
+    "fr": [55, 29, 25, 24, 20, 17, 15, 12, 11, 10, 9, 8],
+}
 MIN_WORDS, MIN_CHARS = 60, 200
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.28
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.29
 BASE_MIN_WORDS, BASE_MAX_REPEAT = 10, 20
 
 
@@ -57,13 +72,16 @@ def _with_repeated_words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_tw_n_repeat_words", F.coalesce(_total(covered), F.lit(0).cast("long")))
 
 
-def with_histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with _tw_words (array), _tw_classes and _tw_common (arrays of long counts; null without a word list)."""
+def _by_language(lang: Column, values: dict[str, list]) -> Column:
+    """An array of literals for each listed language, else null."""
+    return reduce(lambda w, k: w.when(lang == k, F.array(*map(F.lit, values[k]))), values, F)
+
+
+def with_histograms(rows: DataFrame) -> DataFrame:
+    """Rows with _tw_text and _tw_lang plus _tw_words (array), _tw_rest, _tw_word_chars, _tw_classes and _tw_common (arrays of long counts; null without a word list)."""
     longest = max(len(w.encode()) for words in COMMON.values() for w in words)
-    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    trimmed = F.trim(raw, F.lit(WHITE))
-    lists = reduce(lambda w, k: w.when(F.col(lang) == k, F.array(*map(F.lit, COMMON[k]))), COMMON, F)
-    out = docs.withColumns({"_tw_trim": trimmed, "_tw_rest": F.regexp_replace(raw, r"[\p{Ll}\x20\x09-\x0D]+", ""), "_tw_list": lists})
+    raw = F.col("_tw_text")
+    out = rows.withColumns({"_tw_trim": F.trim(raw, F.lit(WHITE)), "_tw_rest": F.regexp_replace(raw, r"[\p{Ll}\x20\x09-\x0D]+", ""), "_tw_list": _by_language(F.col("_tw_lang"), COMMON)})
     out = out.withColumn("_tw_words", F.when(F.col("_tw_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_tw_trim", WORD_GAP)))
     out = out.withColumns({"_tw_word_chars": F.length(F.array_join("_tw_words", "")).cast("long"), "_tw_found": F.filter("_tw_words", lambda w: (F.octet_length(w) <= longest) & F.array_contains(F.col("_tw_list"), w))})
     counted = [_call("regexp_count", F.col("_tw_rest"), F.lit(p)).cast("long") for p in CLASSES.values()]
@@ -75,14 +93,6 @@ def with_histograms(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     return out.withColumns({"_tw_classes": classes, "_tw_common": F.when(F.col("_tw_list").isNotNull(), F.concat(each, F.array(others)))}).drop("_tw_trim", "_tw_list", "_tw_found")
 
 
-def references(histograms: DataFrame, lang: str = "lang") -> DataFrame:
-    """(_tw_lang, _tw_ref_classes, _tw_ref_common): sums over all documents of each listed language."""
-    n_class, n_word = len(CLASSES) + 2, len(next(iter(COMMON.values()))) + 1
-    sums = [F.sum(F.get("_tw_classes", F.lit(k))).alias(f"c{k}") for k in range(n_class)] + [F.sum(F.get("_tw_common", F.lit(k))).alias(f"w{k}") for k in range(n_word)]
-    total = histograms.filter(F.col(lang).isin(*COMMON)).groupBy(F.col(lang).alias("_tw_lang")).agg(*sums)
-    return total.select("_tw_lang", F.array(*[f"c{k}" for k in range(n_class)]).alias("_tw_ref_classes"), F.array(*[f"w{k}" for k in range(n_word)]).alias("_tw_ref_common"))
-
-
 def distance(counts: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of two arrays of counts, base 2; null if either has no counts."""
     n, m = _total(counts).cast("double"), _total(reference).cast("double")
@@ -96,15 +106,19 @@ def distance(counts: Column, reference: Column) -> Column:
     return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(summed / 2, F.lit(0.0))))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs plus _tw_n_words, _tw_word_chars, _tw_n_symbols, _tw_n_dup_lines, _tw_n_repeat_words, _tw_base_failed, _tw_class_distance, _tw_word_distance and _tw_kept."""
-    with_lang = docs if lang in docs.columns else docs.withColumn(lang, F.lit(None).cast("string"))
-    refs = references(with_histograms(with_lang.select(text, lang), text, lang), lang)
-    rows = with_histograms(with_lang, text, lang).join(F.broadcast(refs), F.col(lang) == F.col("_tw_lang"), "left")
+RESULTS = ("_tw_n_words", "_tw_word_chars", "_tw_n_symbols", "_tw_n_dup_lines", "_tw_n_repeat_words", "_tw_class_distance", "_tw_word_distance", "_tw_base_failed", "_tw_kept")
+
+
+def _judged(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """ROW (docs without the text), _tw_text (as it was) and RESULTS."""
+    language = F.col(quoted(lang)).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    rows = with_row(docs, (text,), _tw_given=F.col(quoted(text)), _tw_text=F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")), _tw_lang=language)
+    words = {k: [*v, 1000 - sum(v)] for k, v in WORD_SHARES.items()}
+    rows = with_histograms(rows).withColumns({"_tw_ref_classes": _by_language(F.col("_tw_lang"), CLASS_SHARES), "_tw_ref_common": _by_language(F.col("_tw_lang"), words)})
     n = F.size("_tw_words")
-    words = F.col("_tw_words")
-    hashes = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)]))).otherwise(F.array().cast("array<bigint>"))
-    lines = F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n"), lambda x: F.trim(x, F.lit(WHITE)) != "")
+    each = F.col("_tw_words")
+    hashes = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(each, i + k) for k in range(5)]))).otherwise(F.array().cast("array<bigint>"))
+    lines = F.filter(F.split("_tw_text", "\n"), lambda x: F.trim(x, F.lit(WHITE)) != "")
     rows = rows.withColumns({"_tw_hashes": hashes, "_tw_lines": lines})
     rows = _with_repeated_words(rows).withColumns(
         {
@@ -118,18 +132,22 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     failed = (F.col("_tw_n_words") < BASE_MIN_WORDS) | (100 * F.col("_tw_n_repeat_words") > BASE_MAX_REPEAT * F.col("_tw_n_words"))
     guarded = (F.col("_tw_n_words") >= MIN_WORDS) & (F.col("_tw_word_chars") >= MIN_CHARS)
     diverges = guarded & ((F.coalesce("_tw_class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("_tw_word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE))
-    extra = ["_tw_n_words", "_tw_word_chars", "_tw_n_symbols", "_tw_n_dup_lines", "_tw_n_repeat_words", "_tw_class_distance", "_tw_word_distance"]
-    return rows.select(*[F.col(c) for c in docs.columns], *extra, failed.alias("_tw_base_failed"), (~failed & ~diverges).alias("_tw_kept"))
+    return rows.select(ROW, "_tw_given", *RESULTS[:-2], failed.alias("_tw_base_failed"), (~failed & ~diverges).alias("_tw_kept"))
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs plus RESULTS: the counts, the distances (null without a reference), and the verdicts."""
+    return from_row(_judged(docs, text, lang), docs.columns, **{text: "_tw_given"}, **{c: c for c in RESULTS})
 
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs without those that are rejected.
 
     The row number only keeps Catalyst from pushing the filter below the columns it is computed from, which would copy
-    their expressions into one predicate many times over.
+    their expressions into one predicate many times over; a written table would do so too, but cost a copy of the corpus.
     """
-    judged = judge(docs, text, lang).withColumn("_tw_row", F.monotonically_increasing_id())
-    return judged.filter("_tw_kept and _tw_row >= 0").select(docs.columns)
+    judged = _judged(docs, text, lang).withColumn("_tw_row_number", F.monotonically_increasing_id())
+    return from_row(judged.filter("_tw_kept and _tw_row_number >= 0"), docs.columns, **{text: "_tw_given"})
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -420,3 +420,43 @@ def test_quality_against_restatement(spark):
         assert r._tw_n_symbols == len(re.findall(r"[#*$%&|<>]", text or ""))
         assert r._tw_base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and (not r._tw_base_failed or not r._tw_kept)
     assert quality.keep(docs(spark, [])).count() == 0
+
+
+def js_distance(counts, reference):
+    p, q = np.array(counts) / sum(counts), np.array(reference) / sum(reference)
+    bits = lambda x: sum(v * np.log2(2 * v / (a + b)) for v, a, b in zip(x, p, q) if v > 0)
+    return np.sqrt(max(0.0, (bits(p) + bits(q)) / 2))
+
+
+def test_quality_distances_and_verdicts_against_restatement(spark):
+    import regex
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        lang = ["en", "de", "es", "fr"][k % 4]
+        common = quality.COMMON[lang]
+        text = " ".join(common[int(x)] if x < 12 and k % 3 else f"Wört{int(x)}#" if k % 5 == 0 else f"word{int(x)}," for x in rng.integers(0, 60, 40 + 5 * k))
+        rows.append((k, text, lang))
+    rows.append((99, rows[9][1], "xx"))
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows)).collect()}
+    verdicts = collections.Counter()
+    for k, text, lang in rows:
+        w, r = text.split(), got[k]
+        rest = regex.sub(r"[\p{Ll}\s]", "", text)
+        classes = [len(regex.findall(p, rest)) for p in quality.CLASSES.values()]
+        classes = [sum(map(len, w)) - len(rest), *classes, len(rest) - sum(classes)]
+        far = False
+        if lang == "xx":
+            assert r._tw_class_distance is None and r._tw_word_distance is None
+        else:
+            listed = [w.count(x) for x in quality.COMMON[lang]]
+            shares = quality.WORD_SHARES[lang]
+            a, b = js_distance(classes, quality.CLASS_SHARES[lang]), js_distance([*listed, len(w) - sum(listed)], [*shares, 1000 - sum(shares)])
+            assert abs(r._tw_class_distance - a) < 1e-9 and abs(r._tw_word_distance - b) < 1e-9
+            far = len(w) >= quality.MIN_WORDS and (a > quality.MAX_CLASS_DISTANCE or b > quality.MAX_WORD_DISTANCE)
+        assert r._tw_kept == (not r._tw_base_failed and not far)
+        verdicts[r._tw_kept] += 1
+    assert min(verdicts[True], verdicts[False]) >= 5
+    alone = quality.judge(docs(spark, rows[:1])).collect()[0]
+    assert (alone._tw_class_distance, alone._tw_word_distance, alone._tw_kept) == (got[0]._tw_class_distance, got[0]._tw_word_distance, got[0]._tw_kept)
