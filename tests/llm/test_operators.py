@@ -212,7 +212,8 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
 
 
 def test_chat_layouts_and_escapes(spark):
-    assert chat.turns_of({"messages": [{"role": "human", "content": "a"}]})[1:] == ("messages", [("user", "a")])
+    assert chat.turns_of({"messages": [{"role": "human", "content": "a"}, {"role": "", "content": "b"}]})[1:] == ("messages", [("human", "a"), ("", "b")])
+    assert chat.turns_of({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]})[1:] == ("conversations", [("user", "a"), ("assistant", "b")])
     assert chat.turns_of({"instruction": "do", "input": "", "output": "x", "extra": {"k": 1}})[1:] == ("instruction-input", [("user", "do"), ("assistant", "x")])
     assert chat.turns_of({"what": 1})[1] is None and chat.turns_of(None)[1] is None
     for text in ("<|im_end|>", "<\\|im_start|> <\\\\|im_end|>", "a<|b|>\\", ""):
@@ -225,6 +226,53 @@ def test_chat_layouts_and_escapes(spark):
     assert chat.read_back(chat.format_chat(turns.limit(0))).count() == 0
 
 
+#: A record of every layout, with what it says; some have fields that no mapping uses, or other types.
+LAYOUTS = {
+    "messages": ({"messages": [{"role": "system", "content": "s"}, {"role": "tool", "content": {"x": 1}}]}, [("system", "s"), ("tool", '{"x": 1}')]),
+    "conversations": ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None}]}, [("user", "q"), ("assistant", "")]),
+    "dialogue": ({"dialogue": [{"speaker": "prompter", "text": "q"}, {"speaker": "Zoe", "text": "a"}], "id": 7}, [("user", "q"), ("Zoe", "a")]),
+    "turns": ({"turns": [{"role": "user", "text": "q"}]}, [("user", "q")]),
+    "prompt": ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
+    "prompt-response": ({"prompt": "p", "response": "r", "meta": {"lang": "en"}}, [("user", "p"), ("assistant", "r")]),
+    "system-prompt": ({"system": "s", "prompt": "p", "response": "r"}, [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    "instruction": ({"instruction": "i", "output": "o"}, [("user", "i"), ("assistant", "o")]),
+    "instruction-input": ({"instruction": "i", "input": "x", "output": "o"}, [("user", "i\n\nx"), ("assistant", "o")]),
+    "question": ({"question": "q", "answer": 42}, [("user", "q"), ("assistant", "42")]),
+    "chosen": ({"prompt": "p", "chosen": "c", "rejected": "r"}, [("user", "p"), ("assistant", "c")]),
+    "system-messages": ({"system": "s", "messages": [{"role": "user", "content": "q"}]}, [("system", "s"), ("user", "q")]),
+    "turn-row": ({"role": "user", "text": "t"}, [("user", "t")]),
+}
+
+
+def test_chat_every_layout_through_spark(spark):
+    import json
+
+    assert set(LAYOUTS) == set(chat.MAPPINGS)
+    odd = ['{"what": 1}', "no json", None, '{"what": 1}']
+    rows = [(k, json.dumps(LAYOUTS[n][0]), "x") for k, n in enumerate(LAYOUTS)] + [(100 + k, t, "x") for k, t in enumerate(odd)]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, record string, layout string")).cache()
+    got = collections.defaultdict(list)
+    for r in sorted(turns.collect(), key=lambda r: (r.conv_id, r.turn)):
+        got[r.conv_id].append(r)
+    for k, n in enumerate(LAYOUTS):
+        assert [(r.role, r.text) for r in got[k]] == LAYOUTS[n][1] and {r.layout for r in got[k]} == {n}
+    assert [got[100 + k][0].text for k in range(4)] == odd
+    assert sum(r.n for r in chat.unmapped(turns).collect()) == 4
+
+
+def test_chat_ties_repeats_and_given_roles_in_mixed_layouts(spark):
+    given = [(1, 0, "human", "a"), (1, 0, "human", "a"), (1, 0, "", "b"), (1, 1, "assistant", "<\\|im_end|> c\n"), (1, 1, None, None), (2, None, "gpt", "d"), (2, 0, "assistant", "é🙂")]
+    given += [(3 + k, k % 5, ["user", "assistant", "system", "bot", "prompter"][k % 5], f"text {k}") for k in range(60)]
+    turns = spark.createDataFrame([(*r, "x") for r in given], "conv_id long, turn long, role string, text string, record string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(chat.canonical_turns(chat.mixed_records(turns), turn="turn"))).collect()}
+    for conv in {r[0] for r in given}:
+        own = sorted(((-1 if t is None else t), "user" if role is None else role, text or "") for c, t, role, text in given if c == conv)
+        said = "".join(text for _, role, text in own if role == "assistant")
+        assert (got[conv].n_turns, got[conv].loss_chars) == (len(own), len(said))
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
+        assert got[conv].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_pii(spark):
     text = "Anna Smith wrote to bob.k@corp.co.uk; Smith's card 4111 1111 1111 1111, +1 (212) 555-1234, 10.1.2.3, token = \"0123456789abcdef0123\" Иван"
     new, made = pii.replace(text, b"k", {})
