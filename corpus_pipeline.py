@@ -42,12 +42,17 @@ STAGES = [
     ("benchmark decontamination", decontaminate),
     ("packing", pack),
 ]
-#: No SQL for Golay keys, WAND and packing: the rows are tested against a brute-force version.
+#: No SQL for Golay keys, WAND and packing: tests/llm/test_pipeline.py compares the rows with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents that all stages keep. Each stage's intermediate tables, and its input, are deleted after it."""
     docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with common.scratch(spark) as kept:
+            before, docs = docs, common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(docs)
+        if k:
+            common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,6 +21,13 @@ def _small_star(e: DataFrame) -> DataFrame:
     return joined.union(least.select("u", F.col("m").alias("v")))
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges are stars already: no node has two links down, or links both down and up."""
+    ends = e.select("u", F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.agg(F.count_if(F.expr("down > 1 or (down > 0 and up > 0)"))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) of longs to (node, root): each node of an edge with the least node it can reach.
 
@@ -29,13 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     left out; no edges give no rows. The tables of earlier rounds are deleted.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = written(e, "links"), None
-    while True:
-        print_ = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if print_ == before:
-            break
-        before, last = print_, e
-        e = written(_small_star(_large_star(e).filter("u <> v").distinct()).filter("u <> v").distinct(), "links")
+    e = written(e, "links")
+    while not _settled(e):
+        last, e = e, written(_small_star(_large_star(e).filter("u <> v").distinct()).filter("u <> v").distinct(), "links")
         discard(last)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select("root", "root").distinct())

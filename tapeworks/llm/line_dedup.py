@@ -13,7 +13,8 @@ fingerprints, document counts and last ids; documents probe those arrays, so lin
 
 Defined results: a null or empty text is one empty line. A row is a document: rows with equal ids count one by one, and
 if they hold the largest id, all of them keep the line. A null id counts as smaller than any other. Keys shorter than
-``min_chars`` code points are never dropped. Other columns pass through unchanged.
+``min_chars`` code points are never dropped. Other columns pass through unchanged, whatever their names; columns called
+``_tw_n_lines`` or ``_tw_n_dropped`` make place for the results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WHITE, id_key, shuffle_partitions, written
+from .common import ROW, WHITE, from_row, id_key, shuffle_partitions, with_row, written
 from .mph import PerfectHash
 
 _STRIP = WHITE.encode()
@@ -116,9 +117,8 @@ def _rewrite(batches: Iterator[pa.RecordBatch], min_chars: int, schema: pa.Schem
             else:
                 n_dropped.append(0)
                 kept.append(text.as_py() or b"")
-        columns = {n: batch.column(n) for n in batch.schema.names if n not in ("_tw_text", "_tw_drop", "_tw_id")}
-        columns |= {"_tw_kept": pa.array(kept, pa.binary()), "_tw_n_lines": pa.array(n_lines, pa.int64()), "_tw_n_dropped": pa.array(n_dropped, pa.int64())}
-        yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+        columns = [batch.column(ROW).cast(schema.field(0).type), pa.array(kept, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def shared_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 3, min_chars: int = 20) -> DataFrame:
@@ -152,17 +152,15 @@ def shared_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """docs with ``text`` cleaned, plus ``_tw_n_lines`` (before) and ``_tw_n_dropped``."""
-    drops = shared_lines(docs, text, doc_id, min_docs, min_chars)
-    others = [c for c in docs.columns if c != text]
-    keyed = docs.select(id_key(doc_id).alias("_tw_id"), F.col(text).cast("string").cast("binary").alias("_tw_text"), *[docs[c] for c in others])
-    fields = [docs.schema[c] for c in others] + [T.StructField("_tw_kept", T.BinaryType()), T.StructField("_tw_n_lines", T.LongType()), T.StructField("_tw_n_dropped", T.LongType())]
-    schema = T.StructType(fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    drops = shared_lines(docs, text, doc_id, min_docs, min_chars)
+    rows = with_row(docs, (text,), _tw_id=id_key(doc_id), _tw_text=F.col(text).cast("string").cast("binary")).join(drops, "_tw_id", "left")
+    fields = [T.StructField("_tw_kept", T.BinaryType()), T.StructField("_tw_n_lines", T.LongType()), T.StructField("_tw_n_dropped", T.LongType())]
+    schema = T.StructType([rows.schema[ROW], *fields])
     arrow = to_arrow_schema(schema)
-    joined = keyed.join(drops, "_tw_id", "left")
-    out = joined.mapInArrow(lambda it: _rewrite(it, min_chars, arrow), schema)
-    return out.select(*[F.col("_tw_kept").cast("string").alias(c) if c == text else F.col(c) for c in docs.columns], "_tw_n_lines", "_tw_n_dropped")
+    out = rows.select(ROW, "_tw_text", "_tw_drop").mapInArrow(lambda it: _rewrite(it, min_chars, arrow), schema)
+    return from_row(out, docs.columns, **{text: F.col("_tw_kept").cast("string"), "_tw_n_lines": "_tw_n_lines", "_tw_n_dropped": "_tw_n_dropped"})
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -236,9 +236,10 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _forest(batches: Iterator[pa.RecordBatch], limit: float, similarity: float | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks x and y (without y, x and x) to links that join their like texts without a common root, without cycles.
+    """Pairs of blocks x and y (without y, x and x) to links that join the roots of their like texts.
 
     Alike are texts with an estimate of at least ``limit``, whose sets of hashes have at least ``similarity`` if it is given.
+    Each joined root is linked to the least of those it is joined with, so the links of a pair of blocks are stars.
     """
     for batch in batches:
         out_a, out_b = [], []
@@ -250,7 +251,8 @@ def _forest(batches: Iterator[pa.RecordBatch], limit: float, similarity: float |
             like[a[:, None] == b] = 0
             if y is x:
                 like = np.triu(like)
-            label = np.unique(np.concatenate([_column(x, "root"), _column(y, "root")]), return_inverse=True)[1]
+            roots, label = np.unique(np.concatenate([_column(x, "root"), _column(y, "root")]), return_inverse=True)
+            own = label.copy()
             row, col = label[: len(a)], label[len(a) :]  # views: a merge changes both
             sets = [[np.frombuffer(h.as_buffer(), np.uint64) for h in s.field("hashes")] for s in (x, y)] if similarity else None
             every = np.arange(len(a))
@@ -263,10 +265,14 @@ def _forest(batches: Iterator[pa.RecordBatch], limit: float, similarity: float |
                 for i, j in zip(at.tolist(), best[at].tolist()):
                     like[i, j] = 0
                     if row[i] != col[j] and (sets is None or jaccard(sets[0][i], sets[1][j]) >= similarity - 1e-9):
-                        label[label == col[j]] = row[i]
-                        out_a.append(a[i])
-                        out_b.append(b[j])
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                        label[label == max(row[i], col[j])] = min(row[i], col[j])
+            joined_at = np.unique(own[own != label])
+            of = np.zeros(len(roots), np.int64)
+            of[own] = label
+            out_a.append(roots[joined_at])
+            out_b.append(roots[of[joined_at]])
+        ends = [pa.array(np.concatenate([np.empty(0, np.int64), *out])) for out in (out_a, out_b)]
+        yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:

@@ -9,9 +9,12 @@ in its trust plus distrust is above ``MAX_SHARE``; a host without evidence is al
 Pages are only ever joined by host with one row for each host; a host with a third of all pages is on the side that Spark
 may split. Links are counted by pair of hosts with partial sums before any exchange.
 
+Links are the absolute ones of a page (``href`` of ``http:``, ``https:`` or ``//``); a relative link stays on its host and gives no
+edge between hosts.
+
 Defined results: a null url, or one without ``://``, has empty host and path; no rule with a host fits it and it is
 allowed. Null html has no links. Repeated rows are judged one by one; repeated rules count once; of rules of equal length
-the one that blocks wins.
+the one that blocks wins. Other columns pass through, whatever their names; columns called like a result make place for it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, discard, from_row, with_row, written
 
 #: TOLERANCE is the largest change of any host's score, as a share of it, at which rounds end.
 DAMPING, TOLERANCE = 0.85, 1e-4
@@ -71,7 +74,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) ->
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), "dst", "src", "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     moves = written(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "host-moves")
-    score = start.withColumnRenamed("seed", "score")
+    score = start_score = start.withColumnRenamed("seed", "score")
     if moves.isEmpty():
         rounds = 0
     for _ in count() if rounds is None else range(rounds):
@@ -81,6 +84,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) ->
         new, old = F.coalesce("new", F.lit(0.0)), F.coalesce("score", F.lit(0.0))
         moved_by = F.when(F.greatest(new, old) > 0, F.abs(new - old) / F.greatest(new, old))
         change = after.withColumnRenamed("score", "new").join(score, ["kind", "host"], "full").agg(F.max(moved_by)).first()[0]
+        if score is not start_score:
+            discard(score)
         score = after
         if (change or 0) < TOLERANCE:
             break
@@ -90,25 +95,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) ->
 
 def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html") -> DataFrame:
     """pages without the html column, plus _tw_host, _tw_path, _tw_rule, _tw_verdict, _tw_trust and _tw_distrust."""
-    spark = pages.sparkSession
-    located = pages.withColumns({"_tw_host": host_of(F.col(url).cast("string")), "_tw_path": path_of(F.col(url).cast("string"))})
-    rows = located.drop(html)
+    spark, said = pages.sparkSession, F.col(url).cast("string")
+    located = with_row(pages, (html,), _tw_host=host_of(said), _tw_path=path_of(said))
     hosts = located.select(F.col("_tw_host").alias("host")).distinct()
-    ruled = written(rules_by_host(hosts, rule_table(spark, rules)), "host-rules")
+    ruled = written(rules_by_host(hosts, rule_table(spark, rules)).withColumnsRenamed({"host": "_tw_host", "rules": "_tw_rules"}), "host-rules")
 
     def judged(side: DataFrame) -> DataFrame:
-        fits = F.filter("rules", lambda r: F.col("_tw_path").startswith(r.prefix))
-        return side.join(ruled.withColumnRenamed("host", "_tw_host"), "_tw_host", "left").withColumn("_tw_best", F.array_max(fits)).drop("rules")
+        fits = F.filter("_tw_rules", lambda r: F.col("_tw_path").startswith(r.prefix))
+        return side.join(ruled, "_tw_host", "left").withColumn("_tw_best", F.array_max(fits))
 
-    counts = judged(rows.select("_tw_host", "_tw_path")).groupBy(F.col("_tw_host").alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col("_tw_best.verdict") == "allow").alias("allowed"), F.count_if(F.col("_tw_best.verdict") == "block").alias("blocked"))
+    counts = judged(located.select("_tw_host", "_tw_path")).groupBy(F.col("_tw_host").alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col("_tw_best.verdict") == "allow").alias("allowed"), F.count_if(F.col("_tw_best.verdict") == "block").alias("blocked"))
     seeds = counts.filter("host <> ''").select("host", (2 * F.col("allowed") > F.col("n")).cast("double").alias("trust"), (2 * F.col("blocked") > F.col("n")).cast("double").alias("distrust"))
-    scores = propagate(host_edges(located, html) if html in pages.columns else spark.createDataFrame([], "src string, dst string, n long"), written(seeds, "host-counts"))
+    edges = spark.createDataFrame([], "src string, dst string, n long")
+    if html in pages.columns:
+        edges = host_edges(pages.select(host_of(said).alias("_tw_host"), F.col(html).cast("string").alias("html")))
+    scores = propagate(edges, written(seeds, "host-counts"))
     scores = scores.select(F.col("host").alias("_tw_host"), F.col("trust").alias("_tw_trust"), F.col("distrust").alias("_tw_distrust"))
-    suspect = (F.col("_tw_distrust") > MAX_SHARE * (F.col("_tw_trust") + F.col("_tw_distrust")))
+    suspect = F.col("_tw_distrust") > MAX_SHARE * (F.col("_tw_trust") + F.col("_tw_distrust"))
     by_method = F.when(F.coalesce(suspect, F.lit(False)), "block").otherwise("allow")
-    out = judged(rows).join(scores, "_tw_host", "left")
-    extra = [F.col("_tw_host"), F.col("_tw_path"), F.col("_tw_best.rule").alias("_tw_rule"), F.coalesce("_tw_best.verdict", by_method).alias("_tw_verdict"), "_tw_trust", "_tw_distrust"]
-    return out.select(*[F.col(c) for c in pages.columns if c != html], *extra)
+    out = judged(located).join(scores, "_tw_host", "left").withColumns({"_tw_rule": F.col("_tw_best.rule"), "_tw_verdict": F.coalesce("_tw_best.verdict", by_method)})
+    results = ("_tw_host", "_tw_path", "_tw_rule", "_tw_verdict", "_tw_trust", "_tw_distrust")
+    return from_row(out, [c for c in pages.columns if c != html], **{c: c for c in results})
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -9,18 +9,21 @@ line separator is an empty gzip member, which every reader skips.
 Reading. Files are read by Spark's binary source. A record counts as sound if its member's checksum, its version line, its
 headers, its length and its digests are right. After a failed check the reader searches for the next gzip member that
 decompresses, or in a plain file for the next version line, goes on from there, and logs the bytes in between as a
-quarantined gap. So one damaged record never costs another, and sound records plus gaps cover a file exactly.
+quarantined gap. So one damaged record never costs another, and sound records plus gaps cover a file exactly. Where the headers
+of a damaged record are sound and its stated end is followed by another record, the search goes on there, so that a record
+inside its payload is not taken for one of the archive. Digests are SHA-1 in hexadecimal or base 32.
 Inside a member that holds several records it searches for the next version line too: such a gap has length 0 in the file, and
 its reason names the inflated bytes. Of a damaged member, which is a gap, the records that inflate and whose own block digests
 hold are sound, but not one that ends exactly where the file cuts its member.
 
 Defined results: a null payload is empty. A null url gives a record without a target. Rows with equal ids and payloads are
-all of the same type. A null id counts as smaller than any other. An empty table gives an empty folder of archives. Files
-must fit in memory (the writer's partitions bound them).
+all of the same type. A null id counts as smaller than any other. An empty table gives an empty folder of archives. Other columns
+of the pages are not written. Files must fit in memory (the writer's partitions bound them).
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -39,7 +42,7 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_BYTES = 1000
 _STEP = 1 << 15
-_DIGEST = re.compile(rb"(?i)\r\nwarc-block-digest:[ \t]*(?-i:sha1):[0-9a-f]{40}[ \t]*\r\n")
+_DIGEST = re.compile(rb"(?i)\r\nwarc-block-digest:[ \t]*(?-i:sha1):(?:[0-9a-f]{40}|(?-i:[A-Z2-7]{32}))[ \t]*\r\n")
 RECORD = "path string, offset long, kind string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 GAP = "path string, start long, length long, reason string"
 
@@ -93,8 +96,18 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     out.write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
-    """(fields, end) of the record at ``at``, or why there is none."""
+def _digest(header: str) -> str | None:
+    """The hexadecimal form of a ``sha1:`` header, empty if it is damaged; None for no or another digest."""
+    if not header.startswith("sha1:"):
+        return None
+    said = header.removeprefix("sha1:")
+    if re.fullmatch("[A-Z2-7]{32}", said):
+        return base64.b32decode(said).hex()
+    return said.lower() if re.fullmatch("[0-9a-fA-F]{40}", said) else ""
+
+
+def _headers(data: bytes, at: int) -> tuple[dict, int, int] | str:
+    """(headers, start and end of the block) of the record at ``at``, or why there is none."""
     if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         return "no version line"
     end = data.find(b"\r\n\r\n", at)
@@ -108,16 +121,34 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
         head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
     if not head.get(b"content-length", "").isdigit():
         return "no length"
-    stop = end + 4 + int(head[b"content-length"])
+    return head, end + 4, end + 4 + int(head[b"content-length"])
+
+
+def _resume(data: bytes, at: int) -> int:
+    """Where to search on after a damaged record: its stated end if a record or nothing follows there, else right behind its start."""
+    said = _headers(data, at)
+    if not isinstance(said, str):
+        end = said[2] + 4
+        if data[end - 4 : end] == b"\r\n\r\n" and (end == len(data) or data.startswith((b"WARC/1.", b"\x1f\x8b\x08"), end)):
+            return end
+    return at + 1
+
+
+def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
+    """(fields, end) of the record at ``at``, or why there is none."""
+    said = _headers(data, at)
+    if isinstance(said, str):
+        return said
+    head, start, stop = said
     if data[stop : stop + 4] != b"\r\n\r\n":
         return "wrong length"
-    block = data[end + 4 : stop]
-    if (want := head.get(b"warc-block-digest", "")).startswith("sha1:") and len(want) == 45 and want[5:] != hashlib.sha1(block).hexdigest():
+    block = data[start:stop]
+    if (want := _digest(head.get(b"warc-block-digest", ""))) is not None and want != hashlib.sha1(block).hexdigest():
         return "wrong block digest"
     http = block.find(b"\r\n\r\n") if "application/http" in head.get(b"content-type", "") else -4
     payload = block[http + 4 :]
-    kind, digest = head.get(b"warc-type", ""), head.get(b"warc-payload-digest", "").removeprefix("sha1:")
-    if kind != "revisit" and len(digest) == 40 and digest != hashlib.sha1(payload).hexdigest():
+    kind, digest = head.get(b"warc-type", ""), _digest(head.get(b"warc-payload-digest", ""))
+    if kind != "revisit" and digest is not None and digest != hashlib.sha1(payload).hexdigest():
         return "wrong payload digest"
     known = lambda name: int(v[12:-1]) if (v := head.get(name, "")).startswith("<urn:x-page:") else None
     if kind == "revisit" and http < 0:
@@ -163,7 +194,7 @@ def _inside(body: bytes, whole: bool | None) -> tuple[list[dict], list[tuple[int
         if isinstance(one, str):
             if bad is None:
                 bad, reason = pos, one
-            pos = body.find(b"WARC/1.", pos + 1)
+            pos = body.find(b"WARC/1.", _resume(body, pos))
             pos = len(body) if pos < 0 else pos
             continue
         if bad is not None:
@@ -216,7 +247,8 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, object]]:
             bad, reason = at, why
         for r in records:
             yield "record", at, r
-        marks = [m for m in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", max(at + 1, seen))) if m >= 0]
+        on = _resume(data, at)
+        marks = [m for m in (data.find(b"\x1f\x8b\x08", on), data.find(b"WARC/1.", max(on, seen))) if m >= 0]
         at = min(marks, default=n)
     if bad is not None:
         yield gap(n)

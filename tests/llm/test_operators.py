@@ -495,6 +495,35 @@ def test_warc_salvage_inside_members():
             assert sum(w[0] for kind, _, w in found if kind == "gap") == len(data)
 
 
+def test_warc_damaged_record_does_not_release_what_its_payload_holds():
+    import base64
+
+    one = lambda k, text: warc._record("response", k, "http://x", text, hashlib.sha1(text).hexdigest(), len(text))
+    holder = bytearray(one(1, b"look: " + one(77, b"inner") + b" and more"))
+    holder[holder.index(b"look")] ^= 1
+    ids = lambda found: [w["page_id"] for kind, _, w in found if kind == "record"]
+    for pack in (lambda x: x, gzip.compress):
+        data = pack(one(0, b"first") + bytes(holder) + one(2, b"third"))
+        assert ids(warc.salvage(data)) == [0, 2]
+    data = one(0, b"first") + bytes(holder)[:-3] + one(2, b"third")  # its end is lost too, so all that is sound is reported
+    assert ids(warc.salvage(data)) == [0, 77, 2]
+    b32 = lambda d: base64.b32encode(bytes.fromhex(d)).decode()
+    text = b"a payload"
+    sha = hashlib.sha1(text).hexdigest()
+    record = one(5, text).replace(f"WARC-Payload-Digest: sha1:{sha}".encode(), f"WARC-Payload-Digest: sha1:{b32(sha)}".encode())
+    assert warc.parse_record(record)[0]["payload_digest"] == sha
+    wrong = record.replace(b32(sha).encode(), b32("0" * 40).encode())
+    assert warc.parse_record(wrong) == "wrong payload digest"
+
+
+def test_warc_of_an_empty_table_and_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a", "x" * 2000, 5), (1, "http://a", "x" * 2000, 6)], "page_id long, url string, html string, _tw_id int")
+    warc.write_warc(pages, str(tmp_path / "a"))
+    assert [r.kind for r in warc.records(warc.read_warc(spark, str(tmp_path / "a"))).collect()] == ["response"] * 2
+    warc.write_warc(pages.limit(0), str(tmp_path / "b"))
+    assert warc.read_warc(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_url_verdicts_are_the_same_among_many_seeds_and_far_away(spark):
     to = lambda host: f'<a href="http://{host}/x">b</a>'
     rows = [(0, "http://bad.org/", ""), *((k, f"http://links{k}.org/", to("bad.org")) for k in range(1, 1301))]
@@ -508,6 +537,23 @@ def test_url_verdicts_are_the_same_among_many_seeds_and_far_away(spark):
     assert out.filter("_tw_verdict = 'block'").count() == 24
 
 
+def test_page_rank_against_a_dense_matrix(spark):
+    rng = np.random.default_rng(9)
+    n = 40
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (160, 2)) if a != b} | {(k, (k + 1) % 10) for k in range(10)}  # with a cycle
+    rows = [(f"h{a}", f"h{b}", int(rng.integers(1, 5))) for a, b in sorted(pairs)]
+    seeds = [(f"h{k}", float(k < 4), float(4 <= k < 7)) for k in range(n)]
+    got = {r.host: r for r in url_filter.propagate(spark.createDataFrame(rows, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust double, distrust double")).collect()}
+    m = np.zeros((n, n))
+    for a, b, c in rows:
+        m[int(a[1:]), int(b[1:])] = c
+    for kind, w, jump in (("trust", m, [s[1] for s in seeds]), ("distrust", m.T, [s[2] for s in seeds])):
+        share = w / np.maximum(w.sum(1, keepdims=True), 1)
+        want = np.linalg.solve(np.eye(n) - 0.85 * share.T, 0.15 * np.array(jump))
+        for k in range(n):
+            assert abs((getattr(got[f"h{k}"], kind) if f"h{k}" in got else 0.0) - want[k]) <= 2e-3 * want[k] + 1e-12
+
+
 def test_url_rules_and_propagation(spark):
     link = '<a href="http://bad.org/x">b</a>'
     rows = [(1, "http://www.Example.com/en/a?q", ""), (2, "https://a.example.com/en/x", ""), (3, "http://x.net/fr/", None), (4, None, None), (5, "nohost", ""), (6, "http://links.org/p", link), (7, "http://c.com", ""), (8, "http://bad.org/", "")]
@@ -576,3 +622,61 @@ def test_quality_distances_and_verdicts_against_restatement(spark):
     assert min(verdicts[True], verdicts[False]) >= 5
     alone = quality.judge(docs(spark, rows[:1])).collect()[0]
     assert (alone._tw_class_distance, alone._tw_word_distance, alone._tw_kept) == (got[0]._tw_class_distance, got[0]._tw_word_distance, got[0]._tw_kept)
+
+
+OWN_NAMES = ["_tw_row", "_tw_id", "_tw_key", "_tw_text", "_tw_hash", "_tw_words", "_tw_n_words", "_tw_hits", "_tw_entities", "_tw_host", "_tw_best", "_tw_drop", "_tw_n_lines", "_tw_html", "_tw_main", "rules", "host", "sketch", "node", "row"]
+
+
+def clashing(spark, rows, schema):
+    """A table with columns called like the operators' own, one of them with a point in its name."""
+    more = [*OWN_NAMES, "a.b"]
+    return spark.createDataFrame([(*r, *range(len(more))) for r in rows], schema + ", " + ", ".join(f"`{n}` int" for n in more)), more
+
+
+@pytest.mark.parametrize("name", ["line dedup", "near-dedup", "decontamination", "quality", "keep", "pii", "html", "url", "packing", "leaks"])
+def test_columns_of_clashing_names(spark, name):
+    long = " ".join(f"the word{k} of" for k in range(60))
+    table, more = clashing(spark, [(1, long, "en"), (2, "of and the " * 40, "en"), (None, None, None)], "doc_id long, text string, lang string")
+    pages, _ = clashing(spark, [(1, "http://a.com/x", "<p>hello there</p>"), (None, None, None)], "page_id long, url string, html string")
+    bench = spark.createDataFrame([(1, "What is the name of it? It is a hill.")], "item_id long, text string")
+    out, made, n = {
+        "line dedup": lambda: (line_dedup.dedup_lines(table), ["_tw_n_lines", "_tw_n_dropped"], 3),
+        "near-dedup": lambda: (simhash.one_of_each(table), [], 3),
+        "decontamination": lambda: (decontam.clean(table, bench), [], 3),
+        "leaks": lambda: (decontam.find_leaks(table, bench), ["_tw_hits"], 3),
+        "quality": lambda: (quality.judge(table), list(quality.RESULTS), 3),
+        "keep": lambda: (quality.keep(table), [], 1),
+        "pii": lambda: (pii.pseudonymise(table), ["_tw_entities"], 3),
+        "html": lambda: (html_text.extract_text(pages), ["_tw_main"], 2),
+        "url": lambda: (url_filter.filter_urls(pages), ["_tw_host", "_tw_path", "_tw_rule", "_tw_verdict", "_tw_trust", "_tw_distrust"], 2),
+        "packing": lambda: (packing.pack(table), packing._PIECE.replace(",", "").split()[::2], 3),
+    }[name]()
+    rows = out.collect()
+    if name == "packing":
+        assert out.columns == made and len({r.doc_id for r in rows}) == n
+        return
+    given = [c for c in (pages if name in ("html", "url") else table).columns if c != "html"]
+    assert sorted(out.columns) == sorted({*given, *made}) and len(rows) == n
+    assert all(r[c] == k for r in rows for k, c in enumerate(more) if c not in made)
+
+
+def test_packing_of_null_and_equal_ids(spark):
+    rows = [(None, "one two three", "en"), (7, "a " * 3000, "en"), (7, "b " * 10, "en"), (7, "a " * 3000, "en")]
+    by_doc = collections.Counter()
+    for p in packing.pack(docs(spark, rows)).collect():
+        by_doc[p.doc_id, p.doc_tokens] += p.length
+    assert sum(by_doc.values()) == sum(k[1] * (2 if k == (7, max(t for d, t in by_doc if d == 7)) else 1) for k in by_doc) and len(by_doc) == 3
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import pathlib
+
+    base = pathlib.Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(base.iterdir())
+    table = docs(spark, [(k, f"{LONG} {k % 3}\nline {k}", "en") for k in range(9)])
+    with common.scratch(spark) as kept:
+        kept.append(common.written(line_dedup.dedup_lines(table), "kept"))
+        assert len(set(base.iterdir()) - before) > 1
+    assert [str(p) for p in set(base.iterdir()) - before] == [kept[0]._tw_path.removeprefix("file:")]
+    common.discard(kept[0])
+    assert set(base.iterdir()) == before
