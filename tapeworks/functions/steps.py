@@ -6,6 +6,7 @@ A step holds plain numbers and takes one price at a time; ``state()`` and ``load
 from __future__ import annotations
 
 import math
+from collections import deque
 
 
 def rounded(x: float, precision: int) -> float:
@@ -93,3 +94,31 @@ class Macd(Step):
         line = rounded(fast.push(x) - slow.push(x), self.precision)
         mean = signal.push(line)
         return line, mean, rounded((line - mean) * 1000.0, self.precision)
+
+
+class Mean(Step):
+    """Moving average; 0.0 before ``period`` values have been seen."""
+
+    def __init__(self, period: int, precision: int = 4):
+        if period < 1:
+            raise ValueError("period must be 1 or more")
+        self.period, self.precision, self.held = period, precision, deque(maxlen=period)
+
+    def push(self, x: float) -> float:
+        self.held.append(x)
+        return rounded(math.fsum(self.held) / self.period, self.precision) if len(self.held) == self.period else 0.0
+
+
+class Bands(Mean):
+    """(upper, middle, lower): the population deviation about the rounded middle, times ``k``."""
+
+    def __init__(self, period: int = 20, k: float = 2.0, precision: int = 4):
+        super().__init__(period, precision)
+        self.k = k
+
+    def push(self, x: float) -> tuple[float, float, float]:
+        middle = super().push(x)
+        if len(self.held) < self.period:
+            return 0.0, 0.0, 0.0
+        width = self.k * math.sqrt(math.fsum((v - middle) ** 2 for v in self.held) / self.period)
+        return rounded(middle + width, self.precision), middle, rounded(middle - width, self.precision)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import is_valid_symbol, trim_whitespace
+from ..sources.io import staged
 from .indicators import by_symbol
 
 MAX_PRICE = 1_000_000.0
 
 
+# The messages of the checks.
 def reject_reason(now: Column) -> Column:
     """Null for a valid quote; the first failing rule wins; a NaN price passes."""
     return (
@@ -44,9 +46,9 @@ def judged(quotes: DataFrame, now: Column) -> DataFrame:
 
 
 def quarantine_split(quotes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantined)."""
-    rows = judged(quotes, now)
-    return rows.filter("quarantine_reason is null").drop("quarantine_reason"), rows.filter("quarantine_reason is not null")
+    """(good, quarantined). The checks run once: rows are written in two folders, and each result reads its own."""
+    rows = staged(judged(quotes, now).withColumn("bad", F.col("quarantine_reason").isNotNull()), "quarantine", "bad")
+    return rows.filter("not bad").drop("bad", "quarantine_reason"), rows.filter("bad").drop("bad")
 
 
 def fill_missing(quotes: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
 """Technical indicators over quotes (symbol, ts, seq, price), for all symbols at once.
 
 Moving averages and bands are window functions over one window. Recurrences that are rounded at each step (EMA, RSI, MACD) are
-an ordered fold: after the windows, rows stay grouped and sorted by symbol, and an iterator-style ``applyInPandas`` carries the
-state from batch to batch, so a symbol of any length takes the memory of one batch. A symbol's fold is serial by nature;
-symbols run in parallel.
+an ordered fold: after the windows, rows stay together and sorted by symbol, and ``mapInArrow`` reads a partition's symbols one after the
+other, with a new state for each, so a symbol of any length takes the memory of one batch. Only symbol, time and price are looked
+at; all other columns pass through as Arrow data. A symbol's fold is serial by nature; symbols run in parallel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.expr import round_to
-from ..functions.steps import Ema, Macd, Rsi
+from ..functions.steps import Bands, Ema, Macd, Mean, Rsi
 
 ORDER = ("ts", "seq")
 
@@ -56,25 +58,55 @@ def bollinger(quotes: DataFrame, period: int = 20, k: float = 2.0, precision: in
     return quotes.withColumns({"bb_upper": band(1), "bb_middle": moving_average_column(period, precision), "bb_lower": band(-1)})
 
 
+class _Segments:
+    """Cuts sorted batches into runs of one symbol; says whether a run goes on from the batch before, and checks the order."""
+
+    def __init__(self):
+        self.last = None
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[bool, int, int]]:
+        if not batch.num_rows:
+            return
+        symbols = batch.column("symbol").to_pylist()
+        ts = batch.column("ts").cast(pa.int64()).to_numpy(zero_copy_only=False)
+        seq = batch.column("seq").to_numpy(zero_copy_only=False)
+        same = np.array([a == b for a, b in zip(symbols, symbols[1:])], bool)
+        if (same & ((ts[1:] < ts[:-1]) | (ts[1:] == ts[:-1]) & (seq[1:] < seq[:-1]))).any():
+            raise ValueError("rows of a symbol are out of order")
+        goes_on = self.last is not None and self.last[0] == symbols[0]
+        if goes_on and (ts[0], seq[0]) < self.last[1:]:
+            raise ValueError("rows of a symbol are out of order")
+        self.last = symbols[-1], ts[-1], seq[-1]
+        cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(symbols)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield goes_on and a == 0, a, b
+
+
+def _in_order(quotes: DataFrame, arrange: bool) -> DataFrame:
+    """Rows of a symbol in one partition and in order; the sort costs nothing after windows that have left them so."""
+    return (quotes.repartition("symbol") if arrange else quotes).sortWithinPartitions("symbol", *ORDER)
+
+
 def fold(quotes: DataFrame, make, columns: str, arrange: bool = True) -> DataFrame:
-    """quotes plus ``columns`` (DDL) from a step: make() gives a function of a price to a tuple of values."""
-    names = [c.strip().split()[0] for c in columns.split(",")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in quotes.schema.fields] + [columns])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        push, before = make(), None
-        for rows in batches:
-            at = list(zip(rows["ts"], rows["seq"]))
-            for key in at:
-                if before is not None and key < before:
-                    raise ValueError("rows of a symbol are out of order")
-                before = key
-            values = [push(x) for x in rows["price"]]
-            yield rows.assign(**{n: [v[k] for v in values] for k, n in enumerate(names)})
-
-    if arrange:
-        quotes = quotes.repartition("symbol").sortWithinPartitions("symbol", *ORDER)
-    return quotes.groupBy("symbol").applyInPandas(run, schema)
+    """quotes plus ``columns`` (DDL, all double) from a step: make() gives a function of a price to a tuple of values.
+
+    Without ``arrange`` the rows of a symbol must be in one partition already, as after a window by symbol.
+    """
+    schema = T.StructType([*quotes.schema.fields, *T._parse_datatype_string(columns).fields])
+    arrow, n = to_arrow_schema(schema), len(quotes.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments, push = _Segments(), None
+        for batch in batches:
+            prices, values = batch.column("price").to_numpy(zero_copy_only=False).tolist(), []
+            for goes_on, a, b in segments(batch):
+                push = push if goes_on else make()
+                values += [push(x) for x in prices[a:b]]
+            made = np.array(values, float).reshape(-1, len(schema) - n)
+            kept = [batch.column(f.name).cast(f.type) for f in list(arrow)[:n]]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c) for c in made.T)], schema=arrow)
+
+    return _in_order(quotes, arrange).mapInArrow(run, schema)
 
 
 def ema(quotes: DataFrame, period: int, precision: int = 4) -> DataFrame:
@@ -139,20 +171,47 @@ def all_indicators(quotes: DataFrame, rsi_period: int = 14, sma_short: int = 20,
     return fold(out, make, "rsi double, macd double, macd_signal double, macd_histogram double" + ", macd_before double" * bool(lag), arrange=False)
 
 
+#: Parameters of a strategy with their defaults, and how many strategies may be run at once.
+PARAMETERS = {"rsi_period": 14, "sma_short": 20, "sma_long": 50, "macd_fast": 12, "macd_slow": 26, "macd_signal": 9, "bb_period": 20, "bb_k": 2.0}
+MAX_STRATEGIES = 1_000
+_BY_STRATEGY = "sma_short double, sma_long double, rsi double, macd double, macd_signal double, macd_histogram double, bb_upper double, bb_middle double, bb_lower double"
+
+
 def indicators_by_strategy(quotes: DataFrame, strategies: DataFrame) -> DataFrame:
-    """RSI for each strategy's ``rsi_period`` parameter: quotes times a strategies table, which is small by its nature."""
-    pick = strategies.select(F.col("id").alias("strategy"), F.coalesce(F.col("params")["rsi_period"], F.lit(14.0)).cast("int").alias("rsi_period"))
-    rows = quotes.crossJoin(F.broadcast(pick)).withColumn("symbol", F.concat_ws("\x1f", "symbol", "strategy"))
-    rows = rows.repartition("symbol").sortWithinPartitions("symbol", *ORDER)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", rsi double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = None
-        for part in batches:
-            step = step or Rsi(int(part["rsi_period"].iloc[0]))
-            yield part.assign(rsi=[step.push(x) for x in part["price"]])
-
-    return rows.groupBy("symbol").applyInPandas(run, schema).withColumn("symbol", F.substring_index("symbol", "\x1f", 1))
+    """All indicators with each strategy's own PARAMETERS: (symbol, strategy, ts, seq, price, indicators).
+
+    strategies (id, params) has at most MAX_STRATEGIES rows, which are sent to the tasks. Quotes are shuffled once, whatever the
+    number of strategies; each task runs all strategies over a symbol side by side.
+    """
+    rows = strategies.select("id", "params").limit(MAX_STRATEGIES + 1).collect()
+    if len(rows) > MAX_STRATEGIES:
+        raise ValueError(f"more than {MAX_STRATEGIES} strategies")
+    chosen = [(r.id, {k: (r.params or {}).get(k, v) for k, v in PARAMETERS.items()}) for r in rows]
+    for _, p in chosen:
+        _check(*(p[k] for k in PARAMETERS if k != "bb_k"))
+    source = quotes.select("symbol", "ts", "seq", "price")
+    schema = T.StructType([source.schema["symbol"], T.StructField("strategy", T.StringType()), *source.schema.fields[1:], *T._parse_datatype_string(_BY_STRATEGY).fields])
+    arrow = to_arrow_schema(schema)
+
+    def make(p: dict):
+        whole = {k: int(p[k]) for k in PARAMETERS if k != "bb_k"}
+        short, long, bands = Mean(whole["sma_short"]), Mean(whole["sma_long"]), Bands(whole["bb_period"], p["bb_k"])
+        index, lines = Rsi(whole["rsi_period"]), Macd(whole["macd_fast"], whole["macd_slow"], whole["macd_signal"])
+        return lambda x: (short.push(x), long.push(x), index.push(x), *lines.push(x), *bands.push(x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments, pushes = _Segments(), None
+        for batch in batches:
+            prices, runs = batch.column("price").to_numpy(zero_copy_only=False).tolist(), []
+            for goes_on, a, b in segments(batch):
+                pushes = pushes if goes_on else [make(p) for _, p in chosen]
+                runs.append((a, b, [[push(x) for x in prices[a:b]] for push in pushes]))
+            for k, (name, _) in enumerate(chosen):
+                made = np.array([v for _, _, of in runs for v in of[k]], float).reshape(-1, 9)
+                own = {f.name: batch.column(f.name).cast(f.type) if f.name != "strategy" else pa.array([name] * batch.num_rows, pa.string()) for f in list(arrow)[:5]}
+                yield pa.RecordBatch.from_arrays([*own.values(), *(pa.array(c) for c in made.T)], schema=arrow)
+
+    return _in_order(source, True).mapInArrow(run, schema)
 
 
 def rolling_volatility(quotes: DataFrame, k: int = 20) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import expr as X
@@ -31,7 +28,6 @@ def _query(sql: str | None = None):
 
 
 def _quotes(spark: SparkSession, d: str, calm: bool = False) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return S.quotes_from_events(spark, d, calm)
 
 
@@ -66,21 +62,37 @@ def _ma(n: int) -> str:
 
 
 _EMA = lambda n, v="price": f"SELECT symbol, rn, {v} AS v FROM r WHERE rn = 1 UNION ALL SELECT r.symbol, r.rn, {_r(f'(r.{v} - e.v) * (2::DOUBLE / {n + 1}::DOUBLE) + e.v')} FROM e{n} e JOIN r ON r.symbol = e.symbol AND r.rn = e.rn + 1"
-_RSI = f"""rsi0 AS (
+
+
+def _rsi_sql(p: int = 14, name: str = "rsi") -> str:
+    step = lambda side: f"CASE WHEN r.rn < {p + 1} THEN x.{side[0]} + greatest({side[1]}, 0::DOUBLE) WHEN r.rn = {p + 1} THEN (x.{side[0]} + greatest({side[1]}, 0::DOUBLE)) / {p}::DOUBLE ELSE (x.{side[0]} * {p - 1}::DOUBLE + greatest({side[1]}, 0::DOUBLE)) / {p}::DOUBLE END"
+    return f"""{name}0 AS (
       SELECT symbol, rn, 0::DOUBLE AS g, 0::DOUBLE AS l FROM r WHERE rn = 1
-      UNION ALL SELECT r.symbol, r.rn,
-        CASE WHEN r.rn < 15 THEN x.g + greatest(r.move, 0::DOUBLE) WHEN r.rn = 15 THEN (x.g + greatest(r.move, 0::DOUBLE)) / 14::DOUBLE ELSE (x.g * 13::DOUBLE + greatest(r.move, 0::DOUBLE)) / 14::DOUBLE END,
-        CASE WHEN r.rn < 15 THEN x.l + greatest(-r.move, 0::DOUBLE) WHEN r.rn = 15 THEN (x.l + greatest(-r.move, 0::DOUBLE)) / 14::DOUBLE ELSE (x.l * 13::DOUBLE + greatest(-r.move, 0::DOUBLE)) / 14::DOUBLE END
-      FROM rsi0 x JOIN r ON r.symbol = x.symbol AND r.rn = x.rn + 1),
-    rsi AS (SELECT symbol, rn, CASE WHEN rn < 15 THEN 0.0::DOUBLE WHEN l = 0 THEN 100.0::DOUBLE ELSE {_r('100::DOUBLE - 100::DOUBLE / (1::DOUBLE + g / l)')} END AS rsi FROM rsi0)"""
-_MACD = f"""macd AS (
+      UNION ALL SELECT r.symbol, r.rn, {step(("g", "r.move"))}, {step(("l", "-r.move"))}
+      FROM {name}0 x JOIN r ON r.symbol = x.symbol AND r.rn = x.rn + 1),
+    {name} AS (SELECT symbol, rn, CASE WHEN rn < {p + 1} THEN 0.0::DOUBLE WHEN l = 0 THEN 100.0::DOUBLE ELSE {_r('100::DOUBLE - 100::DOUBLE / (1::DOUBLE + g / l)')} END AS rsi FROM {name}0)"""
+
+
+def _macd_sql(fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd") -> str:
+    weight = lambda n: f"(2::DOUBLE / {n + 1}::DOUBLE)"
+    return f"""{name} AS (
       SELECT symbol, rn, price AS f, price AS s, 0::DOUBLE AS line, 0::DOUBLE AS sig FROM r WHERE rn = 1
-      UNION ALL SELECT symbol, rn, f, s, line, {_r('(line - sig) * (2::DOUBLE / 10::DOUBLE) + sig')} FROM (
+      UNION ALL SELECT symbol, rn, f, s, line, {_r(f'(line - sig) * {weight(signal)} + sig')} FROM (
         SELECT symbol, rn, f, s, {_r('f - s')} AS line, sig FROM (
-          SELECT r.symbol, r.rn, {_r('(r.price - m.f) * (2::DOUBLE / 13::DOUBLE) + m.f')} AS f, {_r('(r.price - m.s) * (2::DOUBLE / 27::DOUBLE) + m.s')} AS s, m.sig
-          FROM macd m JOIN r ON r.symbol = m.symbol AND r.rn = m.rn + 1)))"""
+          SELECT r.symbol, r.rn, {_r(f'(r.price - m.f) * {weight(fast)} + m.f')} AS f, {_r(f'(r.price - m.s) * {weight(slow)} + m.s')} AS s, m.sig
+          FROM {name} m JOIN r ON r.symbol = m.symbol AND r.rn = m.rn + 1)))"""
 
 
+def _bands_sql(n: int, k: float, name: str) -> str:
+    w = f"(PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    edge = lambda sign: f"CASE WHEN rn >= {n} THEN {_r(f'middle {sign} {k}::DOUBLE * sqrt(v + (a - middle) * (a - middle))')} ELSE 0 END"
+    return f"""{name} AS (SELECT symbol, rn, middle AS bb_middle, {edge('+')} AS bb_upper, {edge('-')} AS bb_lower
+      FROM (SELECT symbol, rn, {_ma(n)} AS middle, avg(price) OVER {w} AS a, var_pop(price) OVER {w} AS v FROM r))"""
+
+
+_RSI, _MACD = _rsi_sql(), _macd_sql()
+_HISTOGRAM = _r("(line - sig) * 1000::DOUBLE")
+
 # Windows -------------------------------------------------------------------------------------------------------------
 
 
@@ -126,18 +138,29 @@ def w7_rsi_signals(spark, d):
     return W.rsi_signals(_quotes(spark, d)).select("symbol", "seq", "rsi", "signal")
 
 
+_ALL = ["sma_short", "sma_long", "rsi", "macd", "macd_signal", "macd_histogram", "bb_upper", "bb_middle", "bb_lower"]
+
+
 @_query(
-    f"WITH RECURSIVE {_with()}, {_RSI}, {_MACD}, m AS (SELECT symbol, rn, seq, {_ma(20)} AS sma_short, {_ma(50)} AS sma_long FROM r) "
-    "SELECT symbol, seq, sma_short, sma_long, sma_short AS bb_middle, rsi, line AS macd, sig AS macd_signal FROM m JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn)"
+    f"WITH RECURSIVE {_with()}, {_RSI}, {_MACD}, {_bands_sql(20, 2.0, 'bands')}, m AS (SELECT symbol, rn, seq, {_ma(20)} AS sma_short, {_ma(50)} AS sma_long FROM r) "
+    f"SELECT symbol, seq, sma_short, sma_long, rsi, line AS macd, sig AS macd_signal, {_HISTOGRAM} AS macd_histogram, bb_upper, bb_middle, bb_lower FROM m JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn) JOIN bands USING (symbol, rn)"
 )
 def w8_all_indicators(spark, d):
-    return W.all_indicators(_quotes(spark, d)).select("symbol", "seq", "sma_short", "sma_long", "bb_middle", "rsi", "macd", "macd_signal")
+    return W.all_indicators(_quotes(spark, d)).select("symbol", "seq", *_ALL)
 
 
-@_query(f"WITH RECURSIVE {_with()}, {_RSI} SELECT symbol, s.strategy, seq, rsi FROM rsi JOIN r USING (symbol, rn), (VALUES ('a'), ('b')) s(strategy)")
+_FAST = {"rsi_period": 7.0, "sma_short": 5.0, "sma_long": 30.0, "macd_fast": 5.0, "macd_slow": 13.0, "macd_signal": 4.0, "bb_period": 10.0, "bb_k": 1.5}
+
+
+@_query(
+    f"WITH RECURSIVE {_with()}, {_RSI}, {_MACD}, {_bands_sql(20, 2.0, 'bands')}, {_rsi_sql(7, 'rsi7')}, {_macd_sql(5, 13, 4, 'macd5')}, {_bands_sql(10, 1.5, 'bands10')}, "
+    f"m AS (SELECT symbol, rn, seq, {_ma(20)} AS s20, {_ma(50)} AS s50, {_ma(5)} AS s5, {_ma(30)} AS s30 FROM r) "
+    f"SELECT symbol, 'default' AS strategy, seq, s20 AS sma_short, s50 AS sma_long, rsi, line AS macd, sig AS macd_signal, {_HISTOGRAM} AS macd_histogram, bb_upper, bb_middle, bb_lower FROM m JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn) JOIN bands USING (symbol, rn) "
+    f"UNION ALL SELECT symbol, 'fast', seq, s5, s30, rsi, line, sig, {_HISTOGRAM}, bb_upper, bb_middle, bb_lower FROM m JOIN rsi7 USING (symbol, rn) JOIN macd5 USING (symbol, rn) JOIN bands10 USING (symbol, rn)"
+)
 def w9_strategies(spark, d):
-    s = spark.createDataFrame([("a", {"rsi_period": 14.0}), ("b", {})], "id string, params map<string,double>")
-    return W.indicators_by_strategy(_quotes(spark, d), s).select("symbol", "strategy", "seq", "rsi")
+    s = spark.createDataFrame([("default", {}), ("fast", _FAST)], "id string, params map<string,double>")
+    return W.indicators_by_strategy(_quotes(spark, d), s).select("symbol", "strategy", "seq", *_ALL)
 
 
 @_query(
@@ -191,9 +214,20 @@ def a7_analysis_wild(spark, d):
     return _analysis(spark, d, False)
 
 
-@_query()
+_NESTED = _analysis_sql(True).partition("    SELECT symbol, n, round(volatility")[0]
+
+
+@_query(
+    f"""{_NESTED}, k AS (SELECT r.symbol, r.rn, rsi, {_ma(20)} AS s20, {_ma(50)} AS s50, line FROM r JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn)),
+    x AS (SELECT symbol, rn, unnest(['RSI(14)', 'SMA(20)', 'SMA(50)', 'MACD(12,26,9)']) AS name, unnest([rsi, s20, s50, line]) AS value FROM k)
+    SELECT x.symbol, name, rn - 1 AS position, value, CASE WHEN name = 'RSI(14)' THEN CASE WHEN value > 70 THEN 'Sell' WHEN value < 30 THEN 'Buy' ELSE 'Hold' END END AS signal,
+      round(volatility, 6) AS volatility, round(max_drawdown, 6) AS max_drawdown, CASE WHEN buy > s THEN 'Buy' WHEN s > buy THEN 'Sell' ELSE 'Hold' END AS recommendation FROM x JOIN w USING (symbol)"""
+)
 def a7_analysis_nested(spark, d):
-    return A.analyse(_quotes(spark, d, True), nested=True).drop("analyzed_at")
+    out = A.analyse(_quotes(spark, d, True), nested=True).select("symbol", "risk_metrics", "recommendation", F.explode("indicators").alias("i"))
+    each = out.select("*", F.posexplode("i.values").alias("position", "value"))
+    risk = [F.round(f"risk_metrics.{c}", 6).alias(c) for c in ("volatility", "max_drawdown")]
+    return each.select("symbol", F.col("i.name").alias("name"), F.col("position").cast("long").alias("position"), "value", F.get("i.signals", "position").alias("signal"), *risk, "recommendation")
 
 
 @_query(
@@ -242,47 +276,67 @@ def s3_normalise(spark, d):
     return _quotes(spark, d).select("symbol", "seq", "price", "volume", *[F.round(c, 4).alias(c) for c in ("bid", "ask", "open", "high", "low")])
 
 
-def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_folder = S.shared_folder
 
 
-@_query(f"WITH {_with()} SELECT symbol, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, price, volume FROM quotes")
+@_query(f"WITH {_with()} SELECT symbol, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, price, volume, round(open, 4) AS open, round(high, 4) AS high, round(CASE WHEN seq % 3 <> 0 THEN low END, 4) AS low FROM quotes")
 def s4_csv_export(spark, d):
     path = _folder(spark, "csv")
-    S.export_csv(_quotes(spark, d), path)
+    S.export_csv(_quotes(spark, d).withColumn("low", F.when(F.col("seq") % 3 != 0, F.col("low"))), path)
     schema = "symbol string, timestamp string, price double, volume bigint, open double, high double, low double"
-    return spark.read.option("header", True).schema(schema).csv(f"{path}/*/").select("symbol", "timestamp", "price", "volume")
+    back = spark.read.option("header", True).schema(schema).csv(f"{path}/*/")
+    return back.select("symbol", "timestamp", "price", "volume", *[F.round(c, 4).alias(c) for c in ("open", "high", "low")])
 
 
-@_query(f"WITH {_with()} SELECT symbol, price, volume, round(bid, 4) AS bid, round(low, 4) AS low FROM quotes")
+@_query(f"WITH {_with()} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, price, volume, round(CASE WHEN seq % 3 <> 0 THEN bid END, 4) AS bid, round(ask, 4) AS ask, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low FROM quotes")
 def s5_json_export(spark, d):
     path = _folder(spark, "json")
-    S.export_json(_quotes(spark, d), path)
-    return spark.read.schema(QUOTE).json(f"{path}/*/").select("symbol", "price", "volume", F.round("bid", 4).alias("bid"), F.round("low", 4).alias("low"))
+    S.export_json(_quotes(spark, d).withColumn("bid", F.when(F.col("seq") % 3 != 0, F.col("bid"))), path)
+    back = spark.read.schema(QUOTE).json(f"{path}/*/")
+    return back.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "price", "volume", *[F.round(c, 4).alias(c) for c in ("bid", "ask", "open", "high", "low")])
 
 
-@_query("""SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS json FROM events""")
+@_query(
+    """SELECT '{"event_id":' || event_id || ',"event_type":' || CASE WHEN event_id % 4 = 0 THEN 'null' ELSE '"' || event_type || '"' END || ',"half":' || (event_id % 1000) || '.5,"at":"'
+    || strftime(ts, '%Y-%m-%d') || '","flag":' || (event_id % 2 = 0)::VARCHAR || ',"list":[' || event_id || ',null]}' AS json FROM events"""
+)
 def s6_rows_to_json(spark, d):
-    return S.rows_to_json(_table(spark, d, "events").select("event_id", "event_type"))
+    e, k = _table(spark, d, "events"), F.col("event_id")
+    kind = F.when(k % 4 != 0, F.col("event_type")).alias("event_type")
+    return S.rows_to_json(e.select("event_id", kind, (k % 1000 + 0.5).alias("half"), F.to_date("ts").alias("at"), (k % 2 == 0).alias("flag"), F.array("event_id", F.lit(None).cast("long")).alias("list")))
 
 
-def _streamed(spark, rows: DataFrame, schema, pipeline, name: str) -> DataFrame:
-    """Run a streaming pipeline over rows written as files, to its end, and read its Parquet sink."""
+def _streamed(spark, rows: DataFrame, pipeline, name: str, parts: int = 3, last: DataFrame | None = None) -> DataFrame:
+    """Run a streaming pipeline over rows that arrive in parts by time, and read its Parquet sink.
+
+    After every part the query ends; the next part is read by a new query from the same checkpoint, so state is carried over
+    micro-batches and restarts. ``last`` is a part of its own.
+    """
     T.use_rocksdb(spark)
     base = _folder(spark, name)
-    rows.repartition(4).write.mode("overwrite").parquet(f"{base}/in")
-    out = pipeline(spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/in"))
-    query = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start(f"{base}/out")
-    query.awaitTermination()
+    cuts = rows.select(F.percentile_approx(F.unix_micros("ts"), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    at = F.unix_micros("ts")
+    edges = [None, *cuts, None]
+    arrivals = [rows.filter((F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)) for a, b in zip(edges, edges[1:])]
+    for part in [*arrivals, *([last] if last is not None else [])]:
+        part.repartition(4).write.mode("append").parquet(f"{base}/in")
+        out = pipeline(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        query = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start(f"{base}/out")
+        query.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
-@_query(f"WITH {_with()} SELECT symbol, seq, price FROM quotes WHERE price > 0")
+@_query(f"WITH {_with()} SELECT symbol, seq, price, 'test' AS source, '1' AS version, NULL AS quarantine_reason FROM quotes WHERE price > 0 AND seq % 50 <> 0 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, CASE WHEN seq % 50 = 0 THEN 'Message does not fit the schema' ELSE 'Price must be positive' END FROM quotes WHERE seq % 50 = 0 OR price <= 0")
 def s7_topic_ingest(spark, d):
-    quotes = _quotes(spark, d)
-    flow = lambda s: V.validate(s, F.to_timestamp(F.lit("2100-01-01"))).filter("reject_reason is null").drop("reject_reason")
-    return _streamed(spark, quotes, quotes.schema, flow, "ingest").select("symbol", "seq", "price")
+    """JSON messages, one in fifty of them broken, to the good rows with their envelope and the quarantined ones with their reason."""
+    base, rows = _folder(spark, "topic"), _quotes(spark, d)
+    message = F.when(F.col("seq") % 50 == 0, F.lit('{"symbol": 5')).otherwise(F.to_json(F.struct(*rows.columns)))
+    rows.select(message.alias("value")).write.text(f"{base}/raw_quotes")
+    S.ingest_topic(S.topic_stream(spark, "quotes", path=base), F.to_timestamp(F.lit("2100-01-01")), "test", f"{base}/normalized_quotes", f"{base}/quarantine", f"{base}/c")
+    good, bad = (spark.read.parquet(f"{base}/{n}") for n in ("normalized_quotes", "quarantine"))
+    none = F.lit(None).cast("string")
+    sound = good.filter("ingest_ts is not null and length(payload_hash) = 64").select("symbol", "seq", "price", "source", "version", none.alias("quarantine_reason"))
+    return sound.unionByName(bad.select("quarantine_reason"), allowMissingColumns=True)
 
 
 @_query(f"WITH {_with()} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n, sum(volume)::BIGINT AS volume FROM quotes GROUP BY ALL")
@@ -324,6 +378,13 @@ def f5_page(spark, d):
     return L.page(_quotes(spark, d), 50, 2, F.col("price") > 10).select("symbol", "seq")
 
 
+@_query(f"WITH {_with()}, a AS (SELECT ts, seq FROM quotes ORDER BY ts, seq LIMIT 1 OFFSET 100) SELECT symbol, q.seq FROM quotes q, a WHERE price > 10 AND (q.ts > a.ts OR q.ts = a.ts AND q.seq > a.seq) ORDER BY q.ts, q.seq LIMIT 50")
+def f5_next_page(spark, d):
+    quotes = _quotes(spark, d)
+    last = L.page(quotes, 1, 100).select("ts", "seq").first()
+    return L.next_page(quotes, 50, F.lit(last.ts), F.lit(last.seq), F.col("price") > 10).select("symbol", "seq")
+
+
 @_query(f"WITH {_with(True)}, {_RISK} SELECT symbol, round(volatility, 6) AS volatility FROM risk ORDER BY volatility DESC, symbol LIMIT 10")
 def f6_top_symbols(spark, d):
     return L.top_symbols(A.risk_metrics(_quotes(spark, d, True)), "volatility", 10).select("symbol", F.round("volatility", 6).alias("volatility"))
@@ -340,9 +401,9 @@ def x1_x3_numbers(spark, d):
 
 @_query("SELECT event_id, strftime(make_timestamp(event_id * 1000000), '%Y-%m-%d %H:%M:%S') AS at, strftime(ts + to_days(CASE isodow(ts) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END), '%Y-%m-%d %H:%M:%S') AS next_session FROM events")
 def x4_x6_times(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     f = "yyyy-MM-dd HH:mm:ss"
-    return _table(spark, d, "events").select("event_id", F.date_format(X.from_epoch_millis(F.col("event_id") * 1000), f).alias("at"), F.date_format(X.next_trading_day(F.col("ts").cast("timestamp")), f).alias("next_session"))
+    at = F.to_utc_timestamp(X.from_epoch_millis(F.col("event_id") * 1000), F.current_timezone())
+    return _table(spark, d, "events").select("event_id", F.date_format(at, f).alias("at"), F.date_format(X.next_trading_day(F.col("ts").cast("timestamp")), f).alias("next_session"))
 
 
 @_query(
@@ -448,7 +509,7 @@ def t1_changes(spark, d):
 @_query(_TICKS)
 def t1_changes_stream(spark, d):
     q = _quotes(spark, d)
-    return _changes(_streamed(spark, q, q.schema, T.stream_tick_changes, "changes"))
+    return _changes(_streamed(spark, q, T.stream_tick_changes, "changes"))
 
 
 _SUBS = "subs AS (SELECT c AS client_id, symbol FROM (SELECT DISTINCT symbol FROM quotes), range(3) t(c) WHERE symbol::INT % 3 = c OR c = 0)"
@@ -489,13 +550,13 @@ def t3_fan_out(spark, d):
 def t4_dedup_stream(spark, d):
     q = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("symbol"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
     rows = V.payload_hash(q, ["symbol", "event_type"])
-    return _streamed(spark, rows, rows.schema, lambda s: T.dedup_stream(s, "400 days"), "dedup").select("symbol", "event_type")
+    return _streamed(spark, rows, lambda s: T.dedup_stream(s, "400 days"), "dedup").select("symbol", "event_type")
 
 
-@_query(f"WITH RECURSIVE {_with()}, {_RSI}, {_MACD} SELECT symbol, seq, {_ma(20)} AS sma, rsi, line AS macd, sig AS macd_signal FROM r JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn)")
+@_query(f"WITH RECURSIVE {_with()}, {_RSI}, {_MACD}, e12 AS ({_EMA(12)}) SELECT symbol, seq, {_ma(20)} AS sma, e12.v AS ema, rsi, line AS macd, sig AS macd_signal, {_HISTOGRAM} AS macd_histogram FROM r JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn) JOIN e12 USING (symbol, rn)")
 def t5_live_indicators(spark, d):
     q = _quotes(spark, d)
-    return _streamed(spark, q, q.schema, T.stream_indicators, "live").select("symbol", "seq", "sma", "rsi", "macd", "macd_signal")
+    return _streamed(spark, q, T.stream_indicators, "live").select("symbol", "seq", "sma", "ema", "rsi", "macd", "macd_signal", "macd_histogram")
 
 
 _ALERTS = "alerts AS (SELECT symbol || '_' || (1704067200 + k) AS alert_id, symbol, CASE k WHEN 0 THEN 'above' ELSE 'below' END AS alert_type, CASE k WHEN 0 THEN avg(price) * 2 ELSE avg(price) / 4 END AS target FROM quotes, range(2) t(k) GROUP BY symbol, k)"
@@ -521,13 +582,15 @@ def t6_alerts(spark, d):
 def t6_alerts_stream(spark, d):
     q = _quotes(spark, d)
     table = _alerts(q)
-    return _streamed(spark, q, q.schema, lambda s: T.fire_once(s, table), "alerts").select("alert_id", "price")
+    return _streamed(spark, q, lambda s: T.fire_once(s, table), "alerts").select("alert_id", "price")
 
 
-@_query()
+@_query(SQL["a9_bars"].replace(", round(sum(price * volume) / sum(volume), 4) AS vwap", ""))
 def t7_bars_stream(spark, d):
+    """All bars, the last day's too: a closing row ends the stream."""
     q = _quotes(spark, d)
-    return _streamed(spark, q, q.schema, T.stream_bars, "bars").drop("start")
+    bars = _streamed(spark, q, T.stream_bars, "bars", last=T.closing_row(q)).filter("symbol <> ''")
+    return bars.select("symbol", F.date_format("start", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume")
 
 
 # Relational surface --------------------------------------------------------------------------------------------------
@@ -547,13 +610,38 @@ def _sql(name: str, spark_text: str, duck_text: str | None = None, oracle: bool
 
 
 _sql("q2_filter", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN 'high' ELSE 'low' END AS kind FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.02 AND 0.08 AND l_returnflag IN ('A', 'R') AND l_linestatus LIKE 'F%'")
-_sql("q3_joins", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+_sql(
+    "q3_joins",
+    """SELECT 'left' AS kind, c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey
+    UNION ALL SELECT 'inner', c_custkey, count(*) FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey
+    UNION ALL SELECT 'right', o_orderkey, count(c_custkey) FROM (SELECT * FROM customer WHERE c_nationkey < 5) c RIGHT JOIN orders ON c_custkey = o_custkey GROUP BY o_orderkey
+    UNION ALL SELECT 'full', coalesce(s_nationkey, c_nationkey), count(*) FROM (SELECT * FROM supplier WHERE s_nationkey < 15) s FULL JOIN (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey > 10) c ON s_nationkey = c_nationkey GROUP BY coalesce(s_nationkey, c_nationkey)""",
+)
 _sql("q4_semi_anti", "SELECT c_custkey, true AS has FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT c_custkey, false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 _sql("q5_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, s_suppkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey JOIN supplier ON s_nationkey = a.n_nationkey")
+_sql("q5_cross", "SELECT r_name, n_name, r_regionkey = n_regionkey AS own FROM region CROSS JOIN nation")
+_sql("q5_range_join", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_acctbal BETWEEN n_nationkey * 400 - 1000 AND n_nationkey * 400 - 500")
 _sql("q6_group", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 2) AS avg_price, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
-_sql("q7_grouping_sets", "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name, n_name), (r_name), ())")
+_REGIONS = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_sql("q7_grouping_sets", f"SELECT r_name, n_name, count(*) AS n FROM {_REGIONS} GROUP BY GROUPING SETS ((r_name, n_name), (r_name), ())")
+_sql("q7_cube", f"SELECT r_name, c_mktsegment, count(*) AS n, CAST(grouping(r_name) AS INT) AS all_regions FROM {_REGIONS} GROUP BY CUBE (r_name, c_mktsegment)")
+_sql("q7_rollup", f"SELECT r_name, n_name, round(sum(c_acctbal), 2) AS balance FROM {_REGIONS} GROUP BY ROLLUP (r_name, n_name)")
 _sql("q8_approximate", "SELECT event_type, approx_count_distinct(user_id) AS users, percentile_approx(value, 0.5) AS middle FROM events GROUP BY event_type", oracle=False)
-_sql("q9_windows", "SELECT o_custkey, o_orderkey, rank() OVER w AS place, ntile(4) OVER (ORDER BY o_totalprice, o_orderkey) AS quarter, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
+_sql(
+    "q8_tolerance",
+    """SELECT event_type, abs(approx_count_distinct(user_id, 0.02) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS users_near,
+    sum(CASE WHEN value <= middle THEN 1 ELSE 0 END) BETWEEN 0.49 * count(*) AND 0.51 * count(*) + 1 AS middle_near
+    FROM events JOIN (SELECT event_type AS t, percentile_approx(value, 0.5, 1000) AS middle FROM events GROUP BY event_type) m ON event_type = t GROUP BY event_type""",
+    "SELECT event_type, true AS users_near, true AS middle_near FROM events GROUP BY event_type",
+)
+_sql(
+    "q9_windows",
+    """SELECT o_custkey, o_orderkey, row_number() OVER w AS number, rank() OVER w AS place, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS dense, ntile(4) OVER w AS quarter,
+    lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2) OVER w AS after, first_value(o_orderkey) OVER w AS first, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last,
+    count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 20000 PRECEDING AND 20000 FOLLOWING) AS near, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS around
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""",
+)
+_sql("q9_top_per_group", "SELECT o_custkey, o_orderkey, n FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) x WHERE n <= 3")
 _sql("q10_top", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10 OFFSET 5")
 _sql("q11_sets", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)")
 _sql("q12_subqueries", "WITH m AS (SELECT o_custkey AS c, avg(o_totalprice) AS a FROM orders GROUP BY o_custkey) SELECT o_orderkey FROM orders JOIN m ON o_custkey = c WHERE o_totalprice > a AND o_totalprice > (SELECT min(o_totalprice) FROM orders)")
@@ -564,6 +652,13 @@ _sql(
 )
 
 
+_sql(
+    "q13_nested",
+    "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, array_max(array(event_id, user_id, 500)) AS top, element_at(map('a', event_id, 'b', user_id), 'b') AS b, size(map_keys(map('a', 1, 'b', 2))) AS keys, array_join(array_sort(array(event_type, 'm')), '-') AS sorted, array_contains(split(event_type, 'i'), 'cl') AS cut FROM events",
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, list_max([event_id, user_id, 500]) AS top, map {'a': event_id, 'b': user_id}['b'] AS b, 2 AS keys, array_to_string(list_sort([event_type, 'm']), '-') AS sorted, list_contains(string_split(event_type, 'i'), 'cl') AS cut FROM events",
+)
+
+
 @_query("SELECT 1 AS test_column, count(*)::BIGINT AS n FROM events")
 def q1_adhoc(spark, d):
     S.register_history(spark, f"{d}/events.parquet")
@@ -575,3 +670,17 @@ def u1_table_functions(spark, d):
     Q.register_table_functions(spark)
     _quotes(spark, d).createOrReplaceTempView("quotes")
     return Q.query(spark, "SELECT symbol, seq, ema FROM ema(TABLE(SELECT symbol, ts, seq, price FROM quotes) PARTITION BY symbol ORDER BY (ts, seq))")
+
+
+def _table_function(name: str, columns: str, sql: str):
+    def run(spark, d):
+        Q.register_table_functions(spark)
+        _quotes(spark, d).createOrReplaceTempView("quotes")
+        return Q.query(spark, f"SELECT symbol, seq, {columns} FROM {name}(TABLE(SELECT symbol, ts, seq, price FROM quotes) PARTITION BY symbol ORDER BY (ts, seq))")
+
+    run.__name__ = f"u1_{name}_table_function"
+    _query(sql)(run)
+
+
+_table_function("rsi", "rsi", SQL["w4_rsi"])
+_table_function("macd", "macd, macd_signal, macd_histogram", SQL["w6_macd"])

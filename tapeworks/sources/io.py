@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.expr import from_epoch_millis
 from ..operators.filters import by_symbols, time_range
 from ..schema import QUOTE, STOCK_QUOTES
 
+# The columns of the CSV export.
 CSV_COLUMNS = ("symbol", "timestamp", "price", "volume", "open", "high", "low")
+#: Rows of a file at most, where a day or a symbol has more.
+FILE_ROWS = 5_000_000
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write once and read again, for results that several plans start from; ``by`` partitions the files."""
+    path = shared_folder(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def register_history(spark: SparkSession, path: str, name: str = "historical_data") -> DataFrame:
@@ -52,20 +76,28 @@ def _chosen(quotes: DataFrame, symbols, start, end) -> DataFrame:
 
 
 def csv_rows(quotes: DataFrame) -> DataFrame:
-    """The seven exported columns; the time in RFC 3339."""
-    return quotes.select("symbol", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), "price", "volume", "open", "high", "low")
+    """The seven exported columns; the time in RFC 3339, in UTC."""
+    utc = F.to_utc_timestamp("ts", F.current_timezone())
+    return quotes.withColumn("timestamp", F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")).select(*CSV_COLUMNS)
+
+
+def _by_symbol(rows: DataFrame, *order: str) -> DataFrame:
+    """Dealt by symbol and time, so that a symbol with a large share of all rows has several tasks and files."""
+    return rows.repartitionByRange("symbol_dir", *order).sortWithinPartitions("symbol_dir", *order)
 
 
 def export_csv(quotes: DataFrame, path: str, symbols=None, start: Column | None = None, end: Column | None = None) -> None:
     """A folder of CSV files for each symbol, header included, missing values empty."""
     rows = csv_rows(_chosen(quotes, symbols, start, end)).withColumn("symbol_dir", F.col("symbol"))
-    rows.repartition("symbol_dir").sortWithinPartitions("symbol_dir", "timestamp").write.partitionBy("symbol_dir").option("header", True).option("nullValue", "").mode("overwrite").csv(path)
+    out = _by_symbol(rows, "timestamp").write.partitionBy("symbol_dir").option("maxRecordsPerFile", FILE_ROWS)
+    out.option("header", True).option("nullValue", "").mode("overwrite").csv(path)
 
 
 def export_json(quotes: DataFrame, path: str, symbols=None, start: Column | None = None, end: Column | None = None) -> None:
     """JSON lines for each symbol, with nulls."""
     rows = _chosen(quotes, symbols, start, end).drop("seq").withColumn("symbol_dir", F.col("symbol"))
-    rows.repartition("symbol_dir").write.partitionBy("symbol_dir").option("ignoreNullFields", False).mode("overwrite").json(path)
+    out = _by_symbol(rows, "ts").write.partitionBy("symbol_dir").option("maxRecordsPerFile", FILE_ROWS)
+    out.option("ignoreNullFields", False).mode("overwrite").json(path)
 
 
 def rows_to_json(df: DataFrame) -> DataFrame:
@@ -79,18 +111,41 @@ def with_envelope(rows: DataFrame, source: str, version: str = "1", ingest_ts: C
 
 
 def topic_stream(spark: SparkSession, topic: str, servers: str | None = None, path: str | None = None, schema=QUOTE) -> DataFrame:
-    """A raw topic as a stream: Kafka messages of JSON, or a folder of JSON files."""
+    """A raw topic as a stream of its messages' fields and ``raw``, the message: Kafka, or a folder of text files with a message in a line.
+
+    A message that is no JSON of the schema has only nulls beside ``raw``.
+    """
     if servers:
         raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", f"raw_{topic}").load()
-        return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("q")).select("q.*")
-    return spark.readStream.schema(schema).json(f"{path}/raw_{topic}")
+    else:
+        raw = spark.readStream.text(f"{path}/raw_{topic}")
+    said = raw.select(F.col("value").cast("string").alias("raw"))
+    return said.select(F.from_json("raw", schema).alias("q"), "raw").select("q.*", "raw")
+
+
+def ingest_topic(messages: DataFrame, now: Column, source: str, good: str, bad: str, checkpoint: str) -> None:
+    """Run a topic's messages to their end: rows that pass all checks go to ``good`` with an envelope, the others to ``bad`` with the reason."""
+    from ..operators.checks import judged
+
+    def sink(batch: DataFrame, number: int) -> None:
+        rows = judged(batch, now).withColumn("quarantine_reason", F.when(F.col("symbol").isNull() | F.col("price").isNull() | F.col("ts").isNull(), "Message does not fit the schema").otherwise(F.col("quarantine_reason")))
+        rows = rows.persist()  # both sinks read it
+        sound = rows.filter("quarantine_reason is null").drop("quarantine_reason", "raw")
+        with_envelope(sound, source).write.mode("overwrite").parquet(f"{good}/batch={number}")
+        rows.filter("quarantine_reason is not null").select("raw", "quarantine_reason").write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        rows.unpersist()
+
+    messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def write_lake(quotes: DataFrame, path: str, exchange: Column, overwrite: bool = False) -> None:
-    """Parquet by exchange and day, sorted by symbol inside the files; ``overwrite`` replaces only the days it has."""
+    """Parquet by exchange and day, sorted by symbol inside the files; ``overwrite`` replaces only the days it has.
+
+    Rows are dealt by ranges of exchange, day, symbol and time, so a day or symbol with a large share of all rows is split.
+    """
+    order = ("exchange", "dt", "symbol", "ts", "seq")
     rows = quotes.withColumns({"exchange": exchange, "dt": F.to_date("ts")})
-    rows = rows.repartition("exchange", "dt").sortWithinPartitions("exchange", "dt", "symbol", "ts", "seq")
-    out = rows.write.partitionBy("exchange", "dt")
+    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("exchange", "dt").option("maxRecordsPerFile", FILE_ROWS)
     (out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else out.mode("append")).parquet(path)
 
 

@@ -173,3 +173,10 @@ def stream_bars(quotes: DataFrame, width: str = "1 day", delay: str = "1 hour")
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume")
     )
     return out.select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
+
+
+def closing_row(quotes: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """One row without a symbol behind all others: appended to a bounded stream, its watermark closes every bar; its own stays open."""
+    end = quotes.agg(F.max("ts").alias("end")).select((F.col("end") + F.expr(f"INTERVAL {width}") + F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL {width}")).alias("ts"))
+    blank = {"string": F.lit(""), "timestamp": F.col("ts")}
+    return end.filter("ts is not null").select(*[blank.get(f.dataType.simpleString(), F.lit(0).cast(f.dataType)).alias(f.name) for f in quotes.schema.fields])

@@ -6,7 +6,7 @@ import pytest
 
 from tapeworks.plans.queries import QUERIES, SQL
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("QUERY_DATA", "/root/testdata/sf0.001")
 
 
 def plain(v):
