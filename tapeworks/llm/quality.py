@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ROW, WHITE, WORD_GAP, from_row, quoted, with_row
+from .common import LOWER, ROW, WHITE, WORD_GAP, from_row, quoted, with_row
 
 # Common words of each language, written in lower case.
 COMMON = {
@@ -84,26 +84,31 @@ def with_histograms(rows: DataFrame) -> DataFrame:
     out = rows.withColumns({"_tw_trim": F.trim(raw, F.lit(WHITE)), "_tw_rest": F.regexp_replace(raw, r"[\p{Ll}\x20\x09-\x0D]+", ""), "_tw_list": _by_language(F.col("_tw_lang"), COMMON)})
     out = out.withColumn("_tw_words", F.when(F.col("_tw_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_tw_trim", WORD_GAP)))
     out = out.withColumns({"_tw_word_chars": F.length(F.array_join("_tw_words", "")).cast("long"), "_tw_found": F.filter("_tw_words", lambda w: (F.octet_length(w) <= longest) & F.array_contains(F.col("_tw_list"), w))})
+    # One letter for each common word that is found, so that each is counted by scanning a short string.
+    out = out.withColumn("_tw_letters", F.array_join(F.transform("_tw_found", lambda w: F.substr(F.lit(LOWER), F.array_position("_tw_list", w).cast("int"), F.lit(1))), ""))
     counted = [_call("regexp_count", F.col("_tw_rest"), F.lit(p)).cast("long") for p in CLASSES.values()]
     n_rest = F.length("_tw_rest").cast("long")
     classes = F.array(F.col("_tw_word_chars") - n_rest, *counted, n_rest - reduce(lambda a, b: a + b, counted))
     n_listed = len(next(iter(COMMON.values())))
-    each = F.array(*[(F.size("_tw_found") - F.size(F.array_remove("_tw_found", F.get("_tw_list", F.lit(k))))).cast("long") for k in range(n_listed)])
-    others = (F.size("_tw_words") - F.size("_tw_found")).cast("long")
-    return out.withColumns({"_tw_classes": classes, "_tw_common": F.when(F.col("_tw_list").isNotNull(), F.concat(each, F.array(others)))}).drop("_tw_trim", "_tw_list", "_tw_found")
+    n_found = F.length("_tw_letters")
+    each = F.array(*[(n_found - F.length(F.replace("_tw_letters", F.lit(LOWER[k]), F.lit("")))).cast("long") for k in range(n_listed)])
+    others = (F.size("_tw_words") - n_found).cast("long")
+    return out.withColumns({"_tw_classes": classes, "_tw_common": F.when(F.col("_tw_list").isNotNull(), F.concat(each, F.array(others)))}).drop("_tw_trim", "_tw_list", "_tw_found", "_tw_letters")
 
 
-def distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of counts, base 2; null if either has no counts."""
-    n, m = _total(counts).cast("double"), _total(reference).cast("double")
+def distance(counts: Column, total: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of an array of counts with this total to an array of shares; null without either.
 
-    def term(c, r):
-        p, q = c / n, r / m
+    ``total`` should be a column: inside the lambda an expression would be evaluated again for every element.
+    """
+
+    def term(c, q):
+        p = c / total
         half = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / half)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / half)).otherwise(0.0)
 
-    summed = F.aggregate(F.zip_with(counts, reference, term), F.lit(0.0), lambda a, x: a + x)
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(summed / 2, F.lit(0.0))))
+    summed = F.aggregate(F.zip_with(counts, shares, term), F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.sqrt(F.greatest(summed / 2, F.lit(0.0))))
 
 
 RESULTS = ("_tw_n_words", "_tw_word_chars", "_tw_n_symbols", "_tw_n_dup_lines", "_tw_n_repeat_words", "_tw_class_distance", "_tw_word_distance", "_tw_base_failed", "_tw_kept")
@@ -113,8 +118,9 @@ def _judged(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """ROW (docs without the text), _tw_text (as it was) and RESULTS."""
     language = F.col(quoted(lang)).cast("string") if lang in docs.columns else F.lit(None).cast("string")
     rows = with_row(docs, (text,), _tw_given=F.col(quoted(text)), _tw_text=F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")), _tw_lang=language)
+    shares = lambda of: {k: [x / sum(v) for x in v] for k, v in of.items()}
     words = {k: [*v, 1000 - sum(v)] for k, v in WORD_SHARES.items()}
-    rows = with_histograms(rows).withColumns({"_tw_ref_classes": _by_language(F.col("_tw_lang"), CLASS_SHARES), "_tw_ref_common": _by_language(F.col("_tw_lang"), words)})
+    rows = with_histograms(rows).withColumns({"_tw_ref_classes": _by_language(F.col("_tw_lang"), shares(CLASS_SHARES)), "_tw_ref_common": _by_language(F.col("_tw_lang"), shares(words)), "_tw_n_words": F.size("_tw_words").cast("long")})
     n = F.size("_tw_words")
     each = F.col("_tw_words")
     hashes = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(each, i + k) for k in range(5)]))).otherwise(F.array().cast("array<bigint>"))
@@ -122,11 +128,10 @@ def _judged(docs: DataFrame, text: str, lang: str) -> DataFrame:
     rows = rows.withColumns({"_tw_hashes": hashes, "_tw_lines": lines})
     rows = _with_repeated_words(rows).withColumns(
         {
-            "_tw_n_words": n.cast("long"),
             "_tw_n_symbols": _call("regexp_count", F.col("_tw_rest"), F.lit(r"[#*$%&|<>]")).cast("long"),
             "_tw_n_dup_lines": (F.size("_tw_lines") - F.size(F.array_distinct("_tw_lines"))).cast("long"),
-            "_tw_class_distance": distance(F.col("_tw_classes"), F.col("_tw_ref_classes")),
-            "_tw_word_distance": distance(F.col("_tw_common"), F.col("_tw_ref_common")),
+            "_tw_class_distance": distance(F.col("_tw_classes"), F.col("_tw_word_chars"), F.col("_tw_ref_classes")),
+            "_tw_word_distance": distance(F.col("_tw_common"), F.col("_tw_n_words"), F.col("_tw_ref_common")),
         }
     )
     failed = (F.col("_tw_n_words") < BASE_MIN_WORDS) | (100 * F.col("_tw_n_repeat_words") > BASE_MAX_REPEAT * F.col("_tw_n_words"))
