@@ -108,7 +108,7 @@ def distance(counts: Column, total: Column, shares: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / half)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / half)).otherwise(0.0)
 
     summed = F.aggregate(F.zip_with(counts, shares, term), F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.sqrt(F.greatest(summed / 2, F.lit(0.0))))
+    return F.when((total > 0) & shares.isNotNull(), F.sqrt(F.greatest(summed / 2, F.lit(0.0))))
 
 
 RESULTS = ("_tw_n_words", "_tw_word_chars", "_tw_n_symbols", "_tw_n_dup_lines", "_tw_n_repeat_words", "_tw_class_distance", "_tw_word_distance", "_tw_base_failed", "_tw_kept")
