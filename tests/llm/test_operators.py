@@ -78,6 +78,36 @@ def test_golay_keys_meet_within_two_bits():
         assert all(x & y for x, y in zip(of(ra, ka), of(rb, kb)))
 
 
+def test_simhash_fingerprints_and_components_against_brute_force(spark):
+    import xxhash
+
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(None, None, "en"), (0, "", "en"), (900, "One", "en"), (901, "one two", "en"), (5, "A\x0bb\u00a0c D e " * 9, "en")]
+    for k in range(60):
+        own = list(base)
+        for _ in range(k % 4):
+            own[int(rng.integers(0, 400))] = f"x{k}"
+        rows.append((10 + k, " ".join(own), "en"))
+    got = {(r._tw_id, i): r for i, r in enumerate(sorted(simhash.near_duplicates(docs(spark, rows), words=3).collect(), key=lambda r: (r._tw_id is not None, r._tw_id)))}
+    fps = []
+    for _, text, _ in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(str.maketrans(common.UPPER, common.LOWER)))
+        said = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in said]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if bin(fps[a] ^ fps[b]).count("1") <= 2:
+                root = [root[a] if r == root[b] else r for r in root]
+    least = collections.defaultdict(list)
+    for (k, _, _), r in zip(rows, root):
+        least[r] += [k] if k is not None else []
+    want = sorted(((k, fp if fp < 1 << 63 else fp - (1 << 64), min(least[r], default=None)) for (k, _, _), fp, r in zip(rows, fps, root)), key=repr)
+    assert sorted(((r._tw_id, r._tw_fp, r._tw_component) for r in got.values()), key=repr) == want
+
+
 @pytest.mark.parametrize("bucket", [64, 1])
 def test_simhash_links_against_brute_force(spark, bucket):
     rng = np.random.default_rng(3)
@@ -636,7 +666,7 @@ def clashing(spark, rows, schema):
 @pytest.mark.parametrize("name", ["line dedup", "near-dedup", "decontamination", "quality", "keep", "pii", "html", "url", "packing", "leaks"])
 def test_columns_of_clashing_names(spark, name):
     long = " ".join(f"the word{k} of" for k in range(60))
-    table, more = clashing(spark, [(1, long, "en"), (2, "of and the " * 40, "en"), (None, None, None)], "doc_id long, text string, lang string")
+    table, more = clashing(spark, [(1, long, "xx"), (2, "of and the " * 40, "en"), (None, None, None)], "doc_id long, text string, lang string")
     pages, _ = clashing(spark, [(1, "http://a.com/x", "<p>hello there</p>"), (None, None, None)], "page_id long, url string, html string")
     bench = spark.createDataFrame([(1, "What is the name of it? It is a hill.")], "item_id long, text string")
     out, made, n = {
