@@ -144,3 +144,60 @@ def test_entry_imports_without_the_corpus_operators():
 
     code = "import sys; sys.modules['tapeworks.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'w1_sma' in q and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_fold_refuses_rows_out_of_order_and_starts_anew_for_each_symbol(spark):
+    import pyarrow as pa
+
+    from tapeworks.operators.indicators import _Segments
+
+    batch = lambda rows: pa.RecordBatch.from_pydict({"symbol": [r[0] for r in rows], "ts": pa.array([r[1] for r in rows], pa.timestamp("us")), "seq": [r[2] for r in rows]})
+    cut = _Segments()
+    assert list(cut(batch([("a", 1, 1), ("a", 1, 2), ("b", 0, 1)]))) == [(False, 0, 2), (False, 2, 3)]
+    assert list(cut(batch([("b", 0, 1), ("c", 5, 1)]))) == [(True, 0, 1), (False, 1, 2)]
+    with pytest.raises(ValueError):
+        list(cut(batch([("c", 4, 9)])))
+    with pytest.raises(ValueError):
+        list(_Segments()(batch([("a", 2, 1), ("a", 1, 1)])))
+
+
+def test_too_many_strategies_are_refused(spark, monkeypatch):
+    from tapeworks.operators import indicators
+
+    monkeypatch.setattr(indicators, "MAX_STRATEGIES", 2)
+    quotes = spark.createDataFrame([("a", None, 1, 2.0)], "symbol string, ts timestamp, seq bigint, price double")
+    many = spark.createDataFrame([(str(k), {}) for k in range(3)], "id string, params map<string,double>")
+    with pytest.raises(ValueError):
+        indicators.indicators_by_strategy(quotes, many)
+    with pytest.raises(ValueError):
+        indicators.indicators_by_strategy(quotes, spark.createDataFrame([("x", {"sma_short": 0.0})], "id string, params map<string,double>"))
+
+
+def test_a_hot_day_of_the_lake_is_dealt_to_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tapeworks.sources import io
+
+    rows = spark.range(20000).select(F.lit("hot").alias("symbol"), F.timestamp_seconds(1704067200 + F.col("id")).alias("ts"), F.col("id").alias("seq"), F.lit(1.5).alias("price"))
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        io.write_lake(rows, str(tmp_path / "lake"), F.lit("X"), overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert len(list((tmp_path / "lake" / "exchange=X" / "dt=2024-01-01").glob("*.parquet"))) > 1
+    io.recompute(rows.filter("seq < 5"), str(tmp_path / "lake"), ["2024-01-01"], F.lit("X"))
+    assert spark.read.parquet(str(tmp_path / "lake")).count() == 5
+
+
+def test_local_folders_only_in_local_sessions():
+    from tapeworks.sources import io
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        io.shared_folder(Session, "x")
