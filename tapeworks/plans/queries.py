@@ -341,9 +341,11 @@ def s7_topic_ingest(spark, d):
 
 @_query(f"WITH {_with()} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n, sum(volume)::BIGINT AS volume FROM quotes GROUP BY ALL")
 def s8_s9_lake(spark, d):
+    """The lake's first day is written with wrong volumes, and recomputed."""
     path, quotes = _folder(spark, "lake"), _quotes(spark, d)
-    S.write_lake(quotes, path, F.lit("X"), overwrite=True)
     first = quotes.agg(F.date_format(F.min("ts"), "yyyy-MM-dd")).first()[0]
+    wrong = F.when(F.to_date("ts") == F.lit(first).cast("date"), F.col("volume") + 7).otherwise(F.col("volume"))
+    S.write_lake(quotes.withColumn("volume", wrong), path, F.lit("X"), overwrite=True)
     S.recompute(quotes, path, [first], F.lit("X"))
     return spark.read.parquet(path).groupBy(F.date_format("dt", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 

@@ -201,3 +201,14 @@ def test_local_folders_only_in_local_sessions():
 
     with pytest.raises(ValueError):
         io.shared_folder(Session, "x")
+
+
+def test_normalise_maps_closes_and_epoch_times_and_leaves_the_rest_null(spark):
+    from tapeworks.sources import io
+
+    raw = spark.createDataFrame([("AAPL", 1704067200123, 101.5, 7)], "s string, at bigint, c double, v bigint")
+    out = io.normalise(raw, symbol="s", ts="at", close="c", volume="v")
+    assert [f.name for f in out.schema.fields] == [f.name for f in QUOTE.fields]
+    r = out.first()
+    assert (r.symbol, r.price, r.volume, r.seq, r.bid, r.low) == ("AAPL", 101.5, 7, None, None, None)
+    assert out.select(F.unix_millis("ts").alias("m")).first().m == 1704067200123
