@@ -43,6 +43,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_tokens_of_words_with_all_kinds_of_signs():
+    from tokenizers import Tokenizer
+
+    tok, ours = Tokenizer.from_file(packing.default_vocabulary()), packing.Tokens(packing.default_vocabulary())
+    said = ["word", "Wörter,", "naïve.", "x!", "..", ".", "!?", "don't", "it's.", "a1,", "Ж;", "ünï\u0308,", "ª.", "ⅷ.", "日本語。", "日本.", "\u0301.", "é\u200d,", "<|endoftext|>,", "٣,", "ǅ:", "a\u00a0b,", "\u00a0.", "ß!"]
+    for w in said:
+        text = f"one {w} two {w}"
+        assert np.frombuffer(ours.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, w
+
+
 def test_packing_is_exact(spark):
     from tokenizers import Tokenizer
 
