@@ -127,7 +127,7 @@ def _persons(text: str) -> Iterator[tuple[int, int, str, str]]:
         word = m[0]
         named = _NAME_OF.get(word)
         gap = text[after : m.start()] if after is not None and m.start() - after < 40 else None
-        if named is not None and not (gap is not None and gap.strip() == "" and not titled and named[1] in surnames):
+        if named is not None:
             yield *m.span(), "given", named[1]
             after, titled = m.end(), False
         elif word in TITLES:
