@@ -25,6 +25,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +54,10 @@ class Lce:
 
     def __init__(self, ids: np.ndarray):
         self.n, width = len(ids), len(COVER)
-        self.padded = np.concatenate([ids, np.zeros(2 * MOD, ids.dtype)]).astype(">u4")  # 0 stands behind the end, and sorts first
+        self.padded = np.concatenate([ids, np.zeros(2 * MOD, ids.dtype)]).astype(np.int32)  # 0 stands behind the end, and sorts first
         at = (np.arange(self.n // MOD + 1)[:, None] * MOD + np.array(COVER)).ravel()
         at = at[at <= self.n]
-        first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.padded, MOD)[at])
+        first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.padded.astype(">u4"), MOD)[at])
         levels, step = [_ranks(first.view(f"V{4 * MOD}").ravel())], width
         while levels[-1].max() + 1 < len(at):
             follow = np.zeros(len(at), np.int64)
@@ -139,8 +140,8 @@ def find_runs(ids: np.ndarray) -> np.ndarray:
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
-    seen: dict[bytes, int] = {}
-    return np.fromiter((seen.setdefault(w, len(seen) + 1) for w in words), np.int64, len(words))
+    """Each word's first place in the text, from 1."""
+    return np.array(list(map({}.setdefault, words, count(1))), np.int64)
 
 
 def kept(n: int, runs: np.ndarray) -> np.ndarray:
