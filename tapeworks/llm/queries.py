@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, line_dedup, packing, pii, quality, runs, simhash, url_filter, warc
+from . import chat, decontam, html_text, line_dedup, packing, pii, quality, runs, simhash, topk, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         html_text.op8_html_text,
         url_filter.op9_url_filter,
         quality.op10_quality,
+        topk.op12_exact_top_k,
         runs.op13_periodic_runs,
     )
 }
-ORACLES = line_dedup.SQL | warc.SQL | chat.SQL
+ORACLES = line_dedup.SQL | warc.SQL | chat.SQL | topk.SQL
