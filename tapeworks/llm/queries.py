@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, line_dedup, packing, pii, quality, runs, simhash, topk, url_filter, warc
+from . import chat, decontam, html_text, line_dedup, packing, pii, quality, runs, simhash, topk, url_filter, variants, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         html_text.op8_html_text,
         url_filter.op9_url_filter,
         quality.op10_quality,
+        variants.op11_spelling_variants,
         topk.op12_exact_top_k,
         runs.op13_periodic_runs,
     )
