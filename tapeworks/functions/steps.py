@@ -104,6 +104,13 @@ class Mean(Step):
             raise ValueError("period must be 1 or more")
         self.period, self.precision, self.held = period, precision, deque(maxlen=period)
 
+    def state(self) -> tuple:
+        return tuple(self.held)
+
+    def load(self, state) -> "Mean":
+        self.held = deque(state, self.period)
+        return self
+
     def push(self, x: float) -> float:
         self.held.append(x)
         return rounded(math.fsum(self.held) / self.period, self.precision) if len(self.held) == self.period else 0.0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import expr as X
 from ..functions.expr import round_to as r
-from ..operators import checks as V, filters as L, indicators as W, risk as A, search as D
+from ..operators import checks as V, filters as L, incremental as I, indicators as W, risk as A, search as D, text_index as TI
 from ..schema import QUOTE
 from ..sources import io as S
 from ..streaming import stream as T
@@ -350,6 +350,25 @@ def s8_s9_lake(spark, d):
     return spark.read.parquet(path).groupBy(F.date_format("dt", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
+_REFRESHED = ["ema", "rsi", "macd", "macd_signal", "macd_histogram"]
+_REFRESHED_SQL = f"WITH RECURSIVE {_with()}, {_RSI}, {_MACD}, e12 AS ({_EMA(12)}) SELECT symbol, seq, {_ma(20)} AS sma, e12.v AS ema, rsi, line AS macd, sig AS macd_signal, {_HISTOGRAM} AS macd_histogram FROM r JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn) JOIN e12 USING (symbol, rn)"
+
+
+@_query(_REFRESHED_SQL)
+def s9_incremental(spark, d):
+    """Indicators of a lake that first lacks some quotes and has a day of wrong prices; both are mended, each followed by a refresh."""
+    lake, out, quotes = _folder(spark, "lake"), _folder(spark, "refreshed"), _quotes(spark, d)
+    middle = quotes.agg(F.date_format(F.timestamp_micros(F.percentile_approx(F.unix_micros("ts"), 0.5)), "yyyy-MM-dd")).first()[0]
+    on = F.to_date("ts") == F.lit(middle).cast("date")
+    late = on & (F.col("seq") % 3 == 0)
+    S.write_lake(quotes.filter(~late).withColumn("price", F.when(on, F.col("price") + 1).otherwise(F.col("price"))), lake, F.lit("X"))
+    I.refresh(spark, lake, out, buckets=4)
+    for rows in (quotes.filter(~late), quotes):
+        S.recompute(rows, lake, [middle], F.lit("X"))
+        I.refresh(spark, lake, out, buckets=4)
+    return I.results(spark, out).select("symbol", "seq", "sma", *_REFRESHED)
+
+
 # Filters -------------------------------------------------------------------------------------------------------------
 
 
@@ -494,6 +513,39 @@ def d1_search(spark, d):
     return D.search(_table(spark, d, "documents"), wanted).select("query_id", "rank", "doc_id", "score")
 
 
+def _indexed(spark, d, name: str) -> str:
+    """An index of all documents in two segments: the even ids, then the odd ones."""
+    path, docs = _folder(spark, name), _table(spark, d, "documents")
+    for k in (0, 1):
+        TI.add_segment(docs.filter(F.pmod("doc_id", F.lit(2)) == k), path)
+    return path
+
+
+@_query(SQL["d1_search"])
+def d1_index_search(spark, d):
+    """The same answers from a stored index of two segments."""
+    path = _indexed(spark, d, "index")
+    return TI.search_index(spark, path, spark.createDataFrame(_WANTED, "query_id int, query string")).select("query_id", "rank", "doc_id", "score")
+
+
+@_query(SQL["d1_search"])
+def d1_index_merged(spark, d):
+    """And after the segments have been merged and the old files deleted."""
+    path = _indexed(spark, d, "merged")
+    TI.merge_segments(spark, path)
+    TI.vacuum(spark, path)
+    return TI.search_index(spark, path, spark.createDataFrame(_WANTED, "query_id int, query string")).select("query_id", "rank", "doc_id", "score")
+
+
+@_query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents), t AS (SELECT term, doc_id, count(*) AS tf FROM w GROUP BY ALL)
+    SELECT term, count(*)::BIGINT AS documents, sum(tf)::BIGINT AS occurrences, max(tf)::BIGINT AS most FROM t GROUP BY term"""
+)
+def d1_index_terms(spark, d):
+    """Every term that the index knows."""
+    return TI.term_statistics(spark, _indexed(spark, d, "terms"))
+
+
 # Streams -------------------------------------------------------------------------------------------------------------
 
 _TICKS = f"WITH {_with()} SELECT symbol, seq, round(move, 6) AS change, round(move / prev * 100, 6) AS change_percent FROM r"
