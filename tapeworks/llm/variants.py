@@ -73,12 +73,12 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dam
     return each.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= times)
 
 
-_SPOT = "number long, way int, depth int, node long, next string"
+_SPOT = "number long, way int, depth int, node long, next int"
 
 
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every prefix of at least DEPTH letters of a word read forwards and backwards, with the letter that follows it."""
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+    """Every prefix of at least DEPTH letters of a word read forwards and backwards, with the letter that follows it, 0 at its end."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
     for batch in batches:
         out = []
         for number, word in zip(batch.column("number").to_pylist(), batch.column("word").to_pylist()):
@@ -86,7 +86,7 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node = xxhash.xxh64(letters[:DEPTH].encode(), way)
                 for depth in range(DEPTH, len(letters) + 1):
                     after = letters[depth : depth + 1]
-                    out.append((number, way, depth, node.intdigest() - (1 << 63), after))
+                    out.append((number, way, depth, node.intdigest() - (1 << 63), ord(after) if after else 0))
                     node.update(after.encode())
                 if len(out) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in _SPOT.split(", ")])
@@ -99,14 +99,18 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b, 1) == 1)
 
 
+#: Stands for a word's end among the letters that may follow a node.
+_END = "."
+
+
 def _trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(number, word, n) to the edges (node, label, child, near, near_n) and the first states of every word and way.
+    """(number, word, n) to the edges (node, label, child, near, near_n, first, after) and the first states of every word and way.
 
-    An edge ends in a node (child) or in a word (near).
+    An edge ends in a node (child) or in a word (near). ``first`` is the label's first letter, ``after`` all those that may follow it.
     """
     spots = written(words.select("number", "word").mapInArrow(_spots, _SPOT), "spots")
     forks = spots.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b")).filter("a <> b").select("node")
-    paths = spots.join(forks, "node").groupBy("number", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
+    paths = spots.join(forks.hint("shuffle_hash"), "node").groupBy("number", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
     letters = F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word"))
     paths = written(paths.join(words, "number").withColumn("letters", letters), "paths")
 
@@ -117,6 +121,9 @@ def _trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = F.element_at("path", -1)
     ends = paths.select(last.node.alias("node"), text(last.depth, F.length("letters")).alias("label"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     edges = written(inner.unionByName(ends, allowMissingColumns=True).withColumn("first", F.substring("label", 1, 1)), "edges")
+    letter = F.when(F.col("first") == "", _END).otherwise(F.col("first"))
+    after = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(letter), "").alias("after"))
+    edges = written(edges.join(after.hint("shuffle_hash"), "child", "left"), "edges-after")
 
     half = F.floor(F.length("word") / 2).cast("int")
     shared = F.when(F.col("way") == 0, half).otherwise(F.length("word") - half)
@@ -131,22 +138,34 @@ def _trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States to those after one edge more, and the neighbours that are reached (near is not null).
 
-    ``firm`` letters of the rest must match before an edit may be spent.
+    ``firm`` letters of the rest must match before an edit may be spent. A state with a spent edit is kept only if what is left of the
+    word begins with a letter that may follow. Edges are the side that is hashed: a node has one for each letter at most, so
+    however many states wait at a node, that side stays small and the other can be split.
     """
-    rest, label, n = F.col("rest"), F.col("label"), F.length("label")
-    fresh = states.filter("edits = 0").join(edges, "node").filter(F.substring(label, F.lit(1), F.col("firm")) == F.substring(rest, F.lit(1), F.least("firm", n)))
-    spent = states.filter("edits = 1").withColumn("first", F.substring("rest", 1, 1)).join(edges.filter("child is null or first <> ''"), ["node", "first"])
-
-    part = lambda k: F.substring(rest, F.lit(1), k)
-    option = lambda ok, k, edits: F.when(ok & (F.length(rest) >= k), F.struct(k.alias("k"), F.lit(edits).alias("edits")))
-    options = [option(part(n) == label, n, 0), *(option(_one_edit(label, part(k)), k, 1) for k in (n, n + 1, n - 1))]
-    on = lambda rows: rows.select("word", "n", F.substring(rest, F.col("o.k") + 1, F.length(rest)).alias("rest"), F.greatest(F.lit(0), F.col("firm") - F.col("o.k")).alias("firm"), F.col("child").alias("node"), F.col("o.edits").alias("edits"), F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n"))
-    hit = lambda rows: rows.select("word", "n", F.lit(None).cast("string").alias("rest"), F.lit(0).alias("firm"), F.lit(None).cast("long").alias("node"), F.lit(1).alias("edits"), "near", "near_n")
-
-    moved = on(fresh.filter("child is not null").withColumn("o", F.explode(F.filter(F.array(*options), lambda o: o.isNotNull()))))
-    follow = on(spent.filter((F.col("child").isNotNull()) & F.startswith(rest, label)).withColumn("o", F.struct(n.alias("k"), F.lit(1).alias("edits"))))
-    ends = hit(fresh.filter("child is null").filter(_one_edit(label, rest))).union(hit(spent.filter((F.col("child").isNull()) & (label == rest))))
-    return moved.union(follow).union(ends)
+    rest, label, n, edges = F.col("rest"), F.col("label"), F.length("label"), edges.hint("shuffle_hash")
+    fresh = states.filter("edits = 0").join(edges, "node").filter((F.col("firm") == 0) | (F.substring(label, F.lit(1), F.col("firm")) == F.substring(rest, F.lit(1), F.least("firm", n))))
+    spent = states.filter("edits = 1").withColumn("first", F.substring("rest", 1, 1)).join(edges, ["node", "first"])
+
+    # Letters of the rest that an edge takes, and whether an edit is spent. Where the first letters differ, that is the edit.
+    part = lambda a, k: F.substring(rest, F.lit(a), k)
+    alike, tail = F.col("first") == part(1, F.lit(1)), F.substring(label, F.lit(2), n)
+    edit = lambda k, moved: F.when(alike, F.levenshtein(label, part(1, k), 1) == 1).otherwise(moved)
+    ways = [
+        (n, 0, alike & (part(1, n) == label)),
+        (n, 1, edit(n, tail == part(2, n - 1))),
+        (n + 1, 1, edit(n + 1, label == part(2, n))),
+        (n - 1, 1, edit(n - 1, tail == part(1, n - 1))),
+    ]
+    option = lambda k, edits, ok: F.when((F.length(rest) >= k) & ok, F.struct(k.alias("k"), F.lit(edits).alias("edits")))
+    options = [option(k, edits, F.col("child").isNotNull() & ok) for k, edits, ok in ways]
+    options.append(option(F.lit(0), 1, F.col("child").isNull() & _one_edit(label, rest)))
+    moved = fresh.withColumn("o", F.explode(F.array(*options))).filter("o is not null")
+    follow = spent.filter(F.when(F.col("child").isNull(), label == rest).otherwise(F.startswith(rest, label))).withColumn("o", F.struct(n.alias("k"), F.lit(1).alias("edits")))
+    kept = ["word", "n", "rest", "firm", "child", "after", "o", "near", "near_n"]
+    on = moved.select(kept).union(follow.select(kept))
+    on = on.select("word", "n", F.substring(rest, F.col("o.k") + 1, F.length(rest)).alias("rest"), F.greatest(F.lit(0), F.col("firm") - F.col("o.k")).alias("firm"), F.col("child").alias("node"), F.col("o.edits").alias("edits"), "near", "near_n", "after")
+    next_letter = F.when(rest == "", _END).otherwise(F.substring(rest, 1, 1))
+    return on.filter(F.col("node").isNull() | (F.col("edits") == 0) | (F.instr(F.col("after"), next_letter) > 0)).drop("after")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
