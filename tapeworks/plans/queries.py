@@ -306,8 +306,8 @@ def s6_rows_to_json(spark, d):
     return S.rows_to_json(e.select("event_id", kind, (k % 1000 + 0.5).alias("half"), F.to_date("ts").alias("at"), (k % 2 == 0).alias("flag"), F.array("event_id", F.lit(None).cast("long")).alias("list")))
 
 
-def _streamed(spark, rows: DataFrame, pipeline, name: str, parts: int = 3, last: DataFrame | None = None) -> DataFrame:
-    """Run a streaming pipeline over rows that arrive in parts by time, and read its Parquet sink.
+def _streamed(spark, rows: DataFrame, pipeline, name: str, parts: int = 3, last: DataFrame | None = None, arrivals: list[DataFrame] | None = None) -> DataFrame:
+    """Run a streaming pipeline over rows that arrive in parts by time, or as ``arrivals`` says, and read its Parquet sink.
 
     After every part the query ends; the next part is read by a new query from the same checkpoint, so state is carried over
     micro-batches and restarts. ``last`` is a part of its own.
@@ -317,7 +317,7 @@ def _streamed(spark, rows: DataFrame, pipeline, name: str, parts: int = 3, last:
     cuts = rows.select(F.percentile_approx(F.unix_micros("ts"), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
     at = F.unix_micros("ts")
     edges = [None, *cuts, None]
-    arrivals = [rows.filter((F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)) for a, b in zip(edges, edges[1:])]
+    arrivals = arrivals or [rows.filter((F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)) for a, b in zip(edges, edges[1:])]
     for part in [*arrivals, *([last] if last is not None else [])]:
         part.repartition(4).write.mode("append").parquet(f"{base}/in")
         out = pipeline(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
@@ -548,6 +548,7 @@ def d1_index_terms(spark, d):
 
 # Streams -------------------------------------------------------------------------------------------------------------
 
+_DAY = 24 * T.HOUR
 _TICKS = f"WITH {_with()} SELECT symbol, seq, round(move, 6) AS change, round(move / prev * 100, 6) AS change_percent FROM r"
 
 
@@ -563,7 +564,31 @@ def t1_changes(spark, d):
 @_query(_TICKS)
 def t1_changes_stream(spark, d):
     q = _quotes(spark, d)
-    return _changes(_streamed(spark, q, T.stream_tick_changes, "changes"))
+    out = _streamed(spark, q, lambda s: T.stream_tick_changes(s, width=_DAY), "changes", last=T.closing_row(q))
+    return _changes(out.filter("symbol <> '' and not late"))
+
+
+@_query(_TICKS)
+def t1_shuffled_stream(spark, d):
+    """Each part holds rows of all times in no order, within the lateness that is allowed: the changes are those of the ordered ticks."""
+    q = _quotes(spark, d)
+    parts = [q.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == k) for k in range(3)]
+    out = _streamed(spark, q, lambda s: T.stream_tick_changes(s, "400 days", _DAY), "shuffled", last=T.closing_row(q, delay="400 days"), arrivals=parts)
+    return _changes(out.filter("symbol <> '' and not late"))
+
+
+_LATE = "x AS (SELECT *, seq % 25 = 0 AND ts < (SELECT to_timestamp((epoch(min(ts)) + epoch(max(ts))) / 2) AT TIME ZONE 'UTC' FROM quotes) AS late FROM quotes)"
+
+
+@_query(f"WITH {_with()}, {_LATE}, y AS (SELECT *, price - lag(price) OVER (PARTITION BY symbol, late ORDER BY ts, seq) AS move FROM x) SELECT symbol, count(*) FILTER (late)::BIGINT AS late, count(*) FILTER (NOT late)::BIGINT AS on_time, round(coalesce(sum(abs(move)) FILTER (NOT late), 0), 4) AS moved FROM y GROUP BY symbol")
+def t1_late_rows(spark, d):
+    """Some rows of the first half arrive after all others: they are counted by symbol and change no other row."""
+    q = _quotes(spark, d)
+    low, high = q.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    late = F.coalesce((F.col("seq") % 25 == 0) & (F.unix_micros("ts") < F.lit(((low or 0) + (high or 0)) / 2)), F.lit(False))
+    out = _streamed(spark, q, lambda s: T.stream_tick_changes(s, width=_DAY), "late", last=T.closing_row(q), arrivals=[q.filter(~late), q.filter(late)]).filter("symbol <> ''")
+    moved = F.round(F.coalesce(F.sum(F.when(~F.col("late"), F.abs("change"))), F.lit(0.0)), 4).alias("moved")
+    return out.groupBy("symbol").agg(F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("on_time"), moved)
 
 
 _SUBS = "subs AS (SELECT c AS client_id, symbol FROM (SELECT DISTINCT symbol FROM quotes), range(3) t(c) WHERE symbol::INT % 3 = c OR c = 0)"
@@ -610,7 +635,8 @@ def t4_dedup_stream(spark, d):
 @_query(f"WITH RECURSIVE {_with()}, {_RSI}, {_MACD}, e12 AS ({_EMA(12)}) SELECT symbol, seq, {_ma(20)} AS sma, e12.v AS ema, rsi, line AS macd, sig AS macd_signal, {_HISTOGRAM} AS macd_histogram FROM r JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn) JOIN e12 USING (symbol, rn)")
 def t5_live_indicators(spark, d):
     q = _quotes(spark, d)
-    return _streamed(spark, q, T.stream_indicators, "live").select("symbol", "seq", "sma", "ema", "rsi", "macd", "macd_signal", "macd_histogram")
+    out = _streamed(spark, q, lambda s: T.stream_indicators(s, width=_DAY), "live", last=T.closing_row(q))
+    return out.filter("symbol <> '' and not late").select("symbol", "seq", "sma", "ema", "rsi", "macd", "macd_signal", "macd_histogram")
 
 
 _ALERTS = "alerts AS (SELECT symbol || '_' || (1704067200 + k) AS alert_id, symbol, CASE k WHEN 0 THEN 'above' ELSE 'below' END AS alert_type, CASE k WHEN 0 THEN avg(price) * 2 ELSE avg(price) / 4 END AS target FROM quotes, range(2) t(k) GROUP BY symbol, k)"
@@ -632,11 +658,32 @@ def t6_alerts(spark, d):
     return T.first_hits(q, _alerts(q)).select("alert_id", "price")
 
 
+def _alert_stream(spark, d, name: str, more: DataFrame | None = None) -> DataFrame:
+    """Hits of the alert book: alerts are set a day before the first tick, and arrive as a stream of their own; ``more`` are later actions."""
+    q = _quotes(spark, d)
+    table, first = _alerts(q).filter("active"), q.agg(F.min("ts").alias("first"))
+    said = table.join(first).select("symbol", (F.col("first") - F.expr("INTERVAL 1 DAY")).alias("ts"), "alert_id", F.col("alert_type").alias("action"), "target_price")
+    said = said if more is None else said.unionByName(more)
+    path = f"{_folder(spark, name)}/alerts"
+    said.write.parquet(path)
+    run = lambda s: T.fire_once(s, spark.readStream.schema(said.schema).parquet(path), width=_DAY)
+    return _streamed(spark, q, run, name, last=T.closing_row(q)).filter("symbol <> '' and not late").select("alert_id", "price")
+
+
 @_query(_HITS)
 def t6_alerts_stream(spark, d):
+    return _alert_stream(spark, d, "alerts")
+
+
+_CANCELLED = "CASE WHEN symbol::INT % 2 = 0 THEN (SELECT min(ts) FROM quotes) + INTERVAL 36 HOUR ELSE TIMESTAMP '2100-01-01' END"
+
+
+@_query(_HITS.replace("price <= target)))", f"price <= target)) AND r.ts < {_CANCELLED.replace('symbol', 'r.symbol')})"))
+def t6_alerts_cancelled(spark, d):
+    """The alerts of every other symbol are cancelled a day and a half after the first tick."""
     q = _quotes(spark, d)
-    table = _alerts(q)
-    return _streamed(spark, q, lambda s: T.fire_once(s, table), "alerts").select("alert_id", "price")
+    even = _alerts(q).filter("active and cast(symbol as int) % 2 = 0").join(q.agg((F.min("ts") + F.expr("INTERVAL 36 HOURS")).alias("ts")))
+    return _alert_stream(spark, d, "cancelled", even.select("symbol", "ts", "alert_id", F.lit("cancel").alias("action"), F.lit(None).cast("double").alias("target_price")))
 
 
 @_query(SQL["a9_bars"].replace(", round(sum(price * volume) / sum(volume), 4) AS vwap", ""))

@@ -1,19 +1,16 @@
 """Streams of ticks: enrichment, subscriptions, alerts, bars, live indicators, dedup and fan-out.
 
-Stateful functions need ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider (``use_rocksdb``). Rows of
-a symbol come in no promised order inside a micro-batch, so they are gathered and sorted by (ts, seq) before a step; rows
-behind the state's last (ts, seq) are late and dropped.
+Stateful functions need ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider (``use_rocksdb``). Those that
+depend on the order of rows are in ``ordered``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.expr import percent_change
-from ..functions.steps import Ema, Macd, Rsi
 from ..operators.indicators import by_symbol
+from .ordered import HOUR, Book, Changes, Live, _run, alert_events
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,75 +25,14 @@ def tick_changes(quotes: DataFrame) -> DataFrame:
     return quotes.withColumns({"change": F.col("price") - last, "change_percent": percent_change(last, F.col("price"))})
 
 
-def _in_order(rows, seen) -> pd.DataFrame:
-    batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-    return batch if seen is None else batch[[key > seen for key in zip(batch["ts"], batch["seq"])]]
-
-
-class _Changes(StatefulProcessor):
-    def init(self, handle):
-        self.last = handle.getValueState("last", "ts timestamp, seq bigint, price double")
-
-    def handleInputRows(self, key, rows, timers):
-        state = self.last.get() if self.last.exists() else None
-        batch = _in_order(rows, None if state is None else (pd.Timestamp(state[0]), state[1]))
-        if batch.empty:
-            return
-        before = batch["price"].shift(1)
-        if state is not None:
-            before.iloc[0] = state[2]
-        change = batch["price"] - before
-        percent = (change / before * 100).where(before != 0, 0.0).where(before.notna())
-        end = batch.iloc[-1]
-        self.last.update((end["ts"].to_pydatetime(), int(end["seq"]), float(end["price"])))
-        yield batch[["symbol", "ts", "seq", "price", "volume"]].assign(change=change, change_percent=percent)
-
-    def close(self):
-        pass
-
-
-def stream_tick_changes(quotes: DataFrame) -> DataFrame:
-    rows = quotes.select("symbol", "ts", "seq", "price", "volume")
-    return rows.groupBy("symbol").transformWithStateInPandas(_Changes(), "symbol string, ts timestamp, seq bigint, price double, volume bigint, change double, change_percent double", "Append", "None")
-
-
-class _Live(StatefulProcessor):
-    def __init__(self, window: int):
-        self.window = window
-
-    def init(self, handle):
-        fields = [*(f"e{k} double" for k in range(1)), "c bigint", "l double", "g double", "s double", "f double", "w double", "m double"]
-        self.kept = handle.getValueState("steps", "ts timestamp, seq bigint, " + ", ".join(fields))
-        self.prices = handle.getValueState("prices", "p array<double>")
-
-    def handleInputRows(self, key, rows, timers):
-        state = self.kept.get() if self.kept.exists() else None
-        ema, rsi, macd, prices = Ema(12), Rsi(14), Macd(), []
-        if state is not None:
-            ema.load(state[2:3]), rsi.load(state[3:7]), macd.load(state[7:10])
-            prices = list(self.prices.get()[0])
-        batch = _in_order(rows, None if state is None else (pd.Timestamp(state[0]), state[1]))
-        if batch.empty:
-            return
-        out = []
-        for p in batch["price"]:
-            prices = [*prices[1 - self.window :], p] if self.window > 1 else [p]
-            mean = round(sum(prices) / self.window, 4) if len(prices) == self.window else 0.0
-            out.append((mean, ema.push(p), rsi.push(p), *macd.push(p)))
-        end = batch.iloc[-1]
-        self.kept.update((end["ts"].to_pydatetime(), int(end["seq"]), *ema.state(), *rsi.state(), *macd.state()))
-        self.prices.update((prices,))
-        names = ["sma", "ema", "rsi", "macd", "macd_signal", "macd_histogram"]
-        yield batch[["symbol", "ts", "seq", "price"]].assign(**{n: [v[k] for v in out] for k, n in enumerate(names)})
-
-    def close(self):
-        pass
-
-
-def stream_indicators(quotes: DataFrame, window: int = 20) -> DataFrame:
-    """SMA(window), EMA(12), RSI(14) and MACD(12,26,9) of live quotes, by the step functions of the batch fold."""
-    schema = "symbol string, ts timestamp, seq bigint, price double, sma double, ema double, rsi double, macd double, macd_signal double, macd_histogram double"
-    return quotes.select("symbol", "ts", "seq", "price").groupBy("symbol").transformWithStateInPandas(_Live(window), schema, "Append", "None")
+def stream_tick_changes(quotes: DataFrame, delay: str = "1 hour", width: int = HOUR) -> DataFrame:
+    """The same for a stream, by event time; late rows come out marked, without change."""
+    return _run(quotes.select("symbol", "ts", "seq", "price", "volume"), Changes(width), delay)
+
+
+def stream_indicators(quotes: DataFrame, window: int = 20, delay: str = "1 hour", width: int = HOUR) -> DataFrame:
+    """SMA(window), EMA(12), RSI(14) and MACD(12,26,9) of live quotes, by event time, by the step functions of the batch fold."""
+    return _run(quotes.select("symbol", "ts", "seq", "price"), Live(window, width), delay)
 
 
 def current_subscriptions(messages: DataFrame) -> DataFrame:
@@ -142,29 +78,32 @@ def alert_hits(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def first_hits(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Batch: each alert's first hit."""
-    at = F.struct("ts", "seq")
-    return alert_hits(ticks, alerts).groupBy("alert_id").agg(F.min_by("symbol", at).alias("symbol"), F.min("ts").alias("ts"), F.min_by("price", at).alias("price"))
-
-
-class _Once(StatefulProcessor):
-    def init(self, handle):
-        self.fired = handle.getValueState("fired", "at timestamp")
-
-    def handleInputRows(self, key, rows, timers):
-        if not self.fired.exists():
-            first = _in_order(rows, None).iloc[[0]]
-            self.fired.update((first.iloc[0]["ts"].to_pydatetime(),))
-            yield first[["alert_id", "symbol", "ts", "price"]]
-
-    def close(self):
-        pass
-
-
-def fire_once(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Streaming: each alert fires at its first hit only."""
-    hits = alert_hits(ticks, alerts).select("alert_id", "symbol", "ts", "seq", "price")
-    return hits.groupBy("alert_id").transformWithStateInPandas(_Once(), "alert_id string, symbol string, ts timestamp, price double", "Append", "None")
+    """Batch: each active alert's first hit, (alert_id, symbol, ts, price), without comparing ticks with alerts.
+
+    An alert above is first met by a tick that is higher than all before it. In falling order of price these records and the targets
+    form one line, where an alert's first hit is the last record before it; below likewise, in rising order.
+    """
+    out = None
+    for side, top, order in (("above", F.max, F.desc), ("below", F.min, F.asc)):
+        before = top("price").over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))
+        further = F.col("price") > F.col("_before") if side == "above" else F.col("price") < F.col("_before")
+        records = ticks.select("symbol", "ts", "seq", "price").withColumn("_before", before).filter(F.col("_before").isNull() | further)
+        records = records.select("symbol", F.col("price").alias("value"), F.lit(0).alias("turn"), F.struct("ts", "seq", "price").alias("tick"))
+        open_ = alerts.filter(F.col("active") & (F.col("alert_type") == side) & F.col("target_price").isNotNull())
+        line = records.unionByName(open_.select("symbol", F.col("target_price").alias("value"), F.lit(1).alias("turn"), "alert_id"), allowMissingColumns=True)
+        near = Window.partitionBy("symbol").orderBy(order("value"), "turn").rowsBetween(Window.unboundedPreceding, 0)
+        met = line.withColumn("hit", F.last("tick", ignorenulls=True).over(near)).filter("turn = 1 and hit is not null")
+        met = met.select("alert_id", "symbol", "hit.ts", "hit.price")
+        out = met if out is None else out.union(met)
+    return out
+
+
+def fire_once(ticks: DataFrame, alerts: DataFrame, delay: str = "1 hour", width: int = HOUR) -> DataFrame:
+    """Streaming: alerts (symbol, ts, alert_id, action, target_price) are a stream too; each fires at its first hit while it is set.
+
+    (symbol, ts, alert_id, price, late). An action is ``above``, ``below`` or ``cancel``; setting an alert anew replaces it.
+    """
+    return _run(alert_events(ticks, alerts), Book(width), delay)
 
 
 def stream_bars(quotes: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
