@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import expr as X
 from ..functions.expr import round_to as r
-from ..operators import checks as V, filters as L, incremental as I, indicators as W, risk as A, search as D, text_index as TI
+from ..operators import calendar as C, checks as V, filters as L, incremental as I, indicators as W, risk as A, search as D, sketches as K, text_index as TI
 from ..schema import QUOTE
 from ..sources import io as S
 from ..streaming import stream as T
@@ -435,6 +435,47 @@ def x7_x10_texts(spark, d):
     return s.select("s_suppkey", X.safe_truncate(name, 12).alias("short"), X.trim_whitespace(name).alias("trimmed"), X.is_valid_symbol(name).alias("valid"), X.format_currency(F.col("s_acctbal"), F.lit("usd")).alias("money"))
 
 
+# A session calendar: weekdays without every month's 15th and last Friday of January 2024; symbols trade on it with gaps.
+_SESSIONS = f"""{_with()}, c AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM quotes), (SELECT max(ts)::DATE FROM quotes), INTERVAL 1 DAY))::DATE AS day)
+      WHERE isodow(day) < 6 AND day(day) <> 15 AND day <> DATE '2024-01-26'),
+    h AS (SELECT DISTINCT symbol, ts::DATE AS day FROM quotes), p AS (SELECT symbol, day, n FROM h JOIN c USING (day))"""
+
+
+def _calendar(spark, quotes):
+    first, last = quotes.agg(F.min(F.to_date("ts")).cast("string"), F.max(F.to_date("ts")).cast("string")).first()
+    span = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    holidays = spark.range(1).select(F.explode(span).alias("day")).filter((F.day("day") == 15) | (F.col("day") == F.lit("2024-01-26").cast("date")))
+    return C.sessions(spark, F.lit(first), F.lit(last), holidays)
+
+
+def _days(rows, *columns):
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in columns})
+
+
+@_query(f"WITH {_SESSIONS}, g AS (SELECT symbol, n, lag(n) OVER (PARTITION BY symbol ORDER BY n) AS before FROM p) SELECT symbol, strftime(a.day, '%Y-%m-%d') AS first_day, strftime(b.day, '%Y-%m-%d') AS last_day, (g.n - before - 1)::BIGINT AS sessions FROM g JOIN c a ON a.n = before + 1 JOIN c b ON b.n = g.n - 1 WHERE g.n - before > 1")
+def x6_missing_sessions(spark, d):
+    q = _quotes(spark, d)
+    return _days(C.missing_sessions(q, _calendar(spark, q)), "first_day", "last_day")
+
+
+@_query(f"WITH {_SESSIONS}, g AS (SELECT *, n - row_number() OVER (PARTITION BY symbol ORDER BY n) AS island FROM p) SELECT symbol, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day, count(*)::BIGINT AS sessions FROM g GROUP BY symbol, island")
+def x6_session_runs(spark, d):
+    q = _quotes(spark, d)
+    return _days(C.session_runs(q, _calendar(spark, q)), "first_day", "last_day")
+
+
+@_query(f"WITH {_SESSIONS} SELECT symbol, seq, strftime((SELECT min(day) FROM c WHERE day > ts::DATE), '%Y-%m-%d') AS next_session FROM quotes")
+def x6_next_session(spark, d):
+    q = _quotes(spark, d)
+    return _days(C.next_session(q, _calendar(spark, q)).select("symbol", "seq", "next_session"), "next_session")
+
+
+@_query(f"WITH {_SESSIONS} SELECT symbol, count(*)::BIGINT AS quotes FROM quotes WHERE ts::DATE NOT IN (SELECT day FROM c) GROUP BY symbol")
+def x6_off_session(spark, d):
+    q = _quotes(spark, d)
+    return C.off_session(q, _calendar(spark, q))
+
+
 # Quality -------------------------------------------------------------------------------------------------------------
 
 
@@ -735,6 +776,25 @@ _sql(
     FROM events JOIN (SELECT event_type AS t, percentile_approx(value, 0.5, 1000) AS middle FROM events GROUP BY event_type) m ON event_type = t GROUP BY event_type""",
     "SELECT event_type, true AS users_near, true AS middle_near FROM events GROUP BY event_type",
 )
+@_query(
+    """WITH w AS (SELECT event_type, user_id, value, ((ts::DATE - (SELECT min(ts)::DATE FROM events)) // 7)::INT AS week FROM events)
+    SELECT event_type, week, count(*)::BIGINT AS rows, min(value) AS low, max(value) AS high, true AS users_near, true AS middle_near FROM w GROUP BY ALL"""
+)
+def q8_merged_sketches(spark, d):
+    """Sketches by day and type, written, then merged by week; their estimates are held against the exact values of the week."""
+    e = _table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kept = S.staged(K.daily_sketches(e, ["event_type"], "ts", "user_id", "value"), "sketches")
+    first = kept.agg(F.min("day").cast("string")).first()[0]
+    week = lambda c: F.floor(F.date_diff(c, F.lit(first).cast("date")) / 7).cast("int").alias("week")
+    by = ["event_type", "week"]
+    found = K.estimates(K.merged(kept.withColumn("week", week(F.col("day"))), by), by, {"middle": 0.5})
+    exact = e.withColumn("week", week(F.to_date("ts")))
+    users = exact.groupBy(*by).agg(F.count_distinct("user_id").alias("users"))
+    below = exact.join(found.select(*by, "middle"), by).groupBy(*by).agg(F.count_if(F.col("value") <= F.col("middle")).alias("upto"), F.count_if(F.col("value") < F.col("middle")).alias("under"))
+    near = [(F.abs(F.col("distinct") - F.col("users")) <= 1 + 0.05 * F.col("users")).alias("users_near"), ((F.col("upto") >= 0.48 * F.col("rows") - 1) & (F.col("under") <= 0.52 * F.col("rows") + 1)).alias("middle_near")]
+    return found.join(users, by).join(below, by).select(*by, "rows", "low", "high", *near)
+
+
 _sql(
     "q9_windows",
     """SELECT o_custkey, o_orderkey, row_number() OVER w AS number, rank() OVER w AS place, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS dense, ntile(4) OVER w AS quarter,
@@ -766,18 +826,39 @@ def q1_adhoc(spark, d):
     return Q.query(spark, "SELECT 1 AS test_column, count(*) AS n FROM historical_data")
 
 
-@_query(SQL["w3_ema"].replace("ema_12", "ema"))
-def u1_table_functions(spark, d):
+def _quotes_view(spark, d) -> None:
     Q.register_table_functions(spark)
     _quotes(spark, d).createOrReplaceTempView("quotes")
-    return Q.query(spark, "SELECT symbol, seq, ema FROM ema(TABLE(SELECT symbol, ts, seq, price FROM quotes) PARTITION BY symbol ORDER BY (ts, seq))")
+
+
+@_query(SQL["w3_ema"].replace("ema_12", "ema"))
+def u1_table_functions(spark, d):
+    _quotes_view(spark, d)
+    return Q.query(spark, "SELECT symbol, seq, ema FROM ema(TABLE(SELECT symbol, ts, seq, price FROM quotes))")
+
+
+@_query(
+    f"WITH RECURSIVE {_with()}, e5 AS ({_EMA(5)}), e26 AS ({_EMA(26)}), {_rsi_sql(7, 'rsi7')}, {_bands_sql(10, 1.5, 'bands10')} SELECT symbol, seq, price, volume, event_type, e5.v AS fast, e26.v AS slow, rsi, bb_upper, bb_middle, bb_lower "
+    "FROM r JOIN e5 USING (symbol, rn) JOIN e26 USING (symbol, rn) JOIN rsi7 USING (symbol, rn) JOIN bands10 USING (symbol, rn)"
+)
+def u1_periods_of_table_functions(spark, d):
+    """Periods are the call's; all columns of the table stay, and calls nest."""
+    _quotes_view(spark, d)
+    _table(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type").createOrReplaceTempView("kinds")
+    return Q.query(
+        spark,
+        """WITH q AS (SELECT symbol, ts, seq, price AS last, volume, event_type FROM quotes JOIN kinds USING (seq)),
+        a AS (SELECT * EXCEPT (ema), ema AS fast FROM ema(TABLE(q), period => 5, price => 'last')),
+        b AS (SELECT * EXCEPT (ema), ema AS slow FROM ema(TABLE(a), period => 26, price => 'last')),
+        c AS (SELECT * FROM rsi(TABLE(b), price => 'last', period => 7))
+        SELECT symbol, seq, last AS price, volume, event_type, fast, slow, rsi, bb_upper, bb_middle, bb_lower FROM bollinger(TABLE(c), period => 10, k => 1.5, price => 'last')""",
+    )
 
 
 def _table_function(name: str, columns: str, sql: str):
     def run(spark, d):
-        Q.register_table_functions(spark)
-        _quotes(spark, d).createOrReplaceTempView("quotes")
-        return Q.query(spark, f"SELECT symbol, seq, {columns} FROM {name}(TABLE(SELECT symbol, ts, seq, price FROM quotes) PARTITION BY symbol ORDER BY (ts, seq))")
+        _quotes_view(spark, d)
+        return Q.query(spark, f"SELECT symbol, seq, {columns} FROM {name}(TABLE(SELECT symbol, ts, seq, price FROM quotes))")
 
     run.__name__ = f"u1_{name}_table_function"
     _query(sql)(run)
