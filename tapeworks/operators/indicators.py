@@ -200,16 +200,18 @@ def indicators_by_strategy(quotes: DataFrame, strategies: DataFrame) -> DataFram
         return lambda x: (short.push(x), long.push(x), index.push(x), *lines.push(x), *bands.push(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, pushes = _Segments(), None
+        segments, pushes = _Segments(), [None] * len(chosen)
         for batch in batches:
-            prices, runs = batch.column("price").to_numpy(zero_copy_only=False).tolist(), []
-            for goes_on, a, b in segments(batch):
-                pushes = pushes if goes_on else [make(p) for _, p in chosen]
-                runs.append((a, b, [[push(x) for x in prices[a:b]] for push in pushes]))
-            for k, (name, _) in enumerate(chosen):
-                made = np.array([v for _, _, of in runs for v in of[k]], float).reshape(-1, 9)
-                own = {f.name: batch.column(f.name).cast(f.type) if f.name != "strategy" else pa.array([name] * batch.num_rows, pa.string()) for f in list(arrow)[:5]}
-                yield pa.RecordBatch.from_arrays([*own.values(), *(pa.array(c) for c in made.T)], schema=arrow)
+            prices, runs = batch.column("price").to_numpy(zero_copy_only=False).tolist(), list(segments(batch))
+            own = [batch.column(f.name).cast(f.type) if f.name != "strategy" else None for f in list(arrow)[:5]]
+            for k, (name, p) in enumerate(chosen):  # a strategy's values leave before the next one's are made
+                values = []
+                for goes_on, a, b in runs:
+                    pushes[k] = pushes[k] if goes_on else make(p)
+                    values += map(pushes[k], prices[a:b])
+                made = np.array(values, float).reshape(-1, 9)
+                named = [pa.array([name] * batch.num_rows, pa.string()) if c is None else c for c in own]
+                yield pa.RecordBatch.from_arrays([*named, *(pa.array(c) for c in made.T)], schema=arrow)
 
     return _in_order(source, True).mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import safe_divide
+from ..sources.io import staged
 from .indicators import all_indicators, by_symbol, signal_of
 
 YEAR, RISK_FREE, LAG = 252.0, 0.02, 8
@@ -55,29 +56,37 @@ def confidence(*lengths: Column) -> Column:
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), full * 100.0 / len(lengths)))
 
 
-def analyse(quotes: DataFrame, nested: bool = False) -> DataFrame:
+#: Positions of a symbol that one row of the nested analysis holds at most.
+CHUNK = 65_536
+
+
+def analyse(quotes: DataFrame, nested: bool = False, chunk: int = CHUNK) -> DataFrame:
     """One row for each symbol: risk, recommendation and confidence; nested adds the indicators' arrays.
 
-    Full rows are shuffled once; what follows the fold are partial aggregates, or for ``nested`` the arrays themselves.
+    Full rows are shuffled once; what follows the fold are partial aggregates. The nested form has a row for each ``chunk`` positions of a
+    symbol (columns ``chunk``, from 0, and ``first``, the position its arrays begin with), so no row grows with a symbol's history; the
+    folded rows are written once, since both the risk and the arrays are made of them.
     """
     rows = all_indicators(_with_risk_columns(quotes), lag=LAG)
     at = F.struct("ts", "seq")
-    last = [F.max_by(c, at).alias(c) for c in ("rsi", "macd", "macd_before")]
-    arrays = []
     if nested:
-        point = F.struct("ts", "seq", "rsi", "sma_short", "sma_long", "macd", signal_of(F.col("rsi")).alias("signal"))
-        arrays = [F.array_sort(F.collect_list(point)).alias("points")]
-    out = rows.groupBy("symbol").agg(*_risk_aggregates(), *last, *arrays)
+        position = (F.row_number().over(by_symbol()) - 1).cast("long")
+        kept = ["symbol", "ts", "seq", "price", "ret", "drawdown", "rsi", "sma_short", "sma_long", "macd", "macd_before"]
+        rows = staged(rows.withColumn("position", position).select(*kept, "position"), "analysed")
+    last = [F.max_by(c, at).alias(c) for c in ("rsi", "macd", "macd_before")]
+    out = rows.groupBy("symbol").agg(*_risk_aggregates(), *last)
     vote = recommendation(F.col("rsi"), F.col("macd"), F.col("macd_before"), F.col("volatility"), F.col("max_drawdown"))
     count = F.col("n")
-    flat = ["symbol", "n", "volatility", _sharpe().alias("sharpe"), "max_drawdown", F.lit(None).cast("double").alias("beta"), vote.alias("recommendation"), confidence(count, count, count, count).alias("confidence")]
+    flat = out.select("symbol", "n", "volatility", _sharpe().alias("sharpe"), "max_drawdown", F.lit(None).cast("double").alias("beta"), vote.alias("recommendation"), confidence(count, count, count, count).alias("confidence"))
     if not nested:
-        return out.select(*flat)
+        return flat
+    point = F.struct("ts", "seq", "rsi", "sma_short", "sma_long", "macd", signal_of(F.col("rsi")).alias("signal"))
+    chunks = rows.withColumn("chunk", F.floor(F.col("position") / chunk)).groupBy("symbol", "chunk").agg(F.min("position").alias("first"), F.array_sort(F.collect_list(point)).alias("points"))
     none = F.lit(None).cast("array<string>")
     one = lambda name, c: F.struct(F.lit(name).alias("name"), F.col("points.ts").alias("timestamps"), F.col(f"points.{c}").alias("values"), (F.col("points.signal") if c == "rsi" else none).alias("signals"))
     tables = F.array(one("RSI(14)", "rsi"), one("SMA(20)", "sma_short"), one("SMA(50)", "sma_long"), one("MACD(12,26,9)", "macd")).alias("indicators")
     risk = F.struct("volatility", "sharpe", "max_drawdown", "beta").alias("risk_metrics")
-    return out.select(*flat, "points").select("symbol", F.current_timestamp().alias("analyzed_at"), tables, risk, "recommendation", "confidence")
+    return chunks.join(flat, "symbol").select("symbol", "chunk", "first", F.current_timestamp().alias("analyzed_at"), tables, risk, "recommendation", "confidence")
 
 
 def beta(quotes: DataFrame) -> DataFrame:

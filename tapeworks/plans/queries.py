@@ -8,7 +8,7 @@ from ..functions import expr as X
 from ..functions.expr import round_to as r
 from ..operators import calendar as C, checks as V, filters as L, incremental as I, indicators as W, risk as A, search as D, sketches as K, text_index as TI
 from ..schema import QUOTE
-from ..sources import io as S
+from ..sources import io as S, topics as TP
 from ..streaming import stream as T
 from . import sql as Q
 
@@ -224,10 +224,11 @@ _NESTED = _analysis_sql(True).partition("    SELECT symbol, n, round(volatility"
       round(volatility, 6) AS volatility, round(max_drawdown, 6) AS max_drawdown, CASE WHEN buy > s THEN 'Buy' WHEN s > buy THEN 'Sell' ELSE 'Hold' END AS recommendation FROM x JOIN w USING (symbol)"""
 )
 def a7_analysis_nested(spark, d):
-    out = A.analyse(_quotes(spark, d, True), nested=True).select("symbol", "risk_metrics", "recommendation", F.explode("indicators").alias("i"))
+    """In chunks of 40 positions, so that most symbols have several rows."""
+    out = A.analyse(_quotes(spark, d, True), nested=True, chunk=40).select("symbol", "first", "risk_metrics", "recommendation", F.explode("indicators").alias("i"))
     each = out.select("*", F.posexplode("i.values").alias("position", "value"))
     risk = [F.round(f"risk_metrics.{c}", 6).alias(c) for c in ("volatility", "max_drawdown")]
-    return each.select("symbol", F.col("i.name").alias("name"), F.col("position").cast("long").alias("position"), "value", F.get("i.signals", "position").alias("signal"), *risk, "recommendation")
+    return each.select("symbol", F.col("i.name").alias("name"), (F.col("first") + F.col("position")).alias("position"), "value", F.get("i.signals", "position").alias("signal"), *risk, "recommendation")
 
 
 @_query(
@@ -339,6 +340,48 @@ def s7_topic_ingest(spark, d):
     return sound.unionByName(bad.select("quarantine_reason"), allowMissingColumns=True)
 
 
+_MIXED = f"""WITH {_with()}, q AS (SELECT 'quotes' AS type, CASE WHEN seq % 31 = 0 THEN '9' ELSE (seq % 3 + 1)::VARCHAR END AS version, price AS amount,
+      CASE WHEN seq % 41 = 0 THEN 'Message is no envelope' WHEN seq % 31 = 0 THEN 'Unknown version' WHEN seq % 29 = 0 THEN 'Message does not fit the schema' WHEN price <= 0 THEN 'Price must be positive' WHEN seq % 3 > 0 AND seq % 23 = 0 THEN 'Bid is above ask' END AS reason, seq % 41 = 0 AS torn FROM quotes),
+    n AS (SELECT 'news' AS type, (doc_id % 2 + 1)::VARCHAR AS version, doc_id::DOUBLE AS amount, CASE WHEN doc_id % 7 = 0 OR trim(coalesce(text, ''), ' ') = '' THEN 'Text is empty' END AS reason, false AS torn FROM documents),
+    f AS (SELECT 'fundflow' AS type, (o_orderkey % 2 + 1)::VARCHAR AS version, round(o_totalprice, 2) AS amount, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 9 = 0 THEN 'Flow is negative' END AS reason, false AS torn FROM orders),
+    u AS (SELECT 'weather' AS type, '1' AS version, n_nationkey::DOUBLE AS amount, 'Unknown topic' AS reason, false AS torn FROM nation),
+    x AS (SELECT * FROM q UNION ALL SELECT * FROM n UNION ALL SELECT * FROM f UNION ALL SELECT * FROM u)
+    SELECT type, CASE WHEN torn THEN NULL ELSE version END AS version, reason, count(*)::BIGINT AS n, round(sum(CASE WHEN reason IS NULL THEN amount ELSE 0 END), 2) AS amount FROM x GROUP BY ALL"""
+
+
+@_query(_MIXED)
+def s7_domains(spark, d):
+    """Quotes in three versions, news and fund flows in two, and a topic that nobody knows, in one stream; some messages are bad."""
+    base, q = _folder(spark, "topics"), _quotes(spark, d)
+    envelope = lambda version, payload: F.to_json(F.struct(version.alias("version"), F.lit("test").alias("source"), payload.alias("payload")))
+    seq, ms = F.col("seq"), F.unix_millis("ts").alias("at_ms")
+    ask = F.when(seq % 23 == 0, F.col("bid") - 1).otherwise(F.col("ask")).alias("ask")
+    shapes = [
+        F.to_json(F.struct("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "seq", F.col("price").alias("price"), "volume", F.lit("x").alias("desk"))),
+        F.to_json(F.struct("symbol", ms, "seq", F.col("price").alias("last"), "volume", "bid", ask)),
+        F.to_json(F.struct(F.struct("symbol", F.lit("X").alias("exchange")).alias("instrument"), ms, "seq", F.col("price").alias("last"), F.col("volume").alias("size"), "bid", ask)),
+    ]
+    payload = F.when(seq % 3 == 0, shapes[0]).when(seq % 3 == 1, shapes[1]).otherwise(shapes[2])
+    payload = F.when(seq % 29 == 0, F.lit('{"symbol": {"deep": 1}, "instrument": 3, "at_ms": "x"}')).otherwise(payload)
+    said = F.when(seq % 41 == 0, F.lit("torn {")).otherwise(envelope(F.when(seq % 31 == 0, "9").otherwise((seq % 3 + 1).cast("string")), payload))
+    q.select(said.alias("value")).write.text(f"{base}/in/raw_quotes")
+    doc, body = _table(spark, d, "documents"), F.when(F.col("doc_id") % 7 != 0, F.col("text"))
+    news = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("doc_id").alias("id"), body.alias("text"), "lang"))).otherwise(F.to_json(F.struct(F.col("doc_id").alias("id"), body.alias("body"), F.col("lang").alias("language"), F.col("source").alias("origin"))))
+    doc.select(envelope((F.col("doc_id") % 2 + 1).cast("string"), news).alias("value")).write.text(f"{base}/in/raw_news")
+    o, key, total = _table(spark, d, "orders"), F.col("o_orderkey"), F.round("o_totalprice", 2)
+    who, day = F.col("o_custkey").cast("string").alias("symbol"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
+    flow = F.when(key % 2 == 0, F.to_json(F.struct(who, day, (-total).alias("net")))).otherwise(F.to_json(F.struct(who, day, F.when(key % 9 == 0, -1.0).otherwise(total).alias("inflow"), F.lit(0.0).alias("outflow"))))
+    o.select(envelope((key % 2 + 1).cast("string"), flow).alias("value")).write.text(f"{base}/in/raw_fundflow")
+    _table(spark, d, "nation").select(envelope(F.lit("1"), F.lit("{}")).alias("value")).write.text(f"{base}/in/raw_weather")
+    TP.ingest(TP.raw_topics(spark, f"{base}/in"), f"{base}/out", f"{base}/c")
+    amounts = {"quotes": F.col("price"), "news": F.col("id").cast("double"), "fundflow": F.col("inflow") + F.col("outflow")}
+    none = F.lit(None).cast("string").alias("reason")
+    rows = TP.quarantine_table(spark, f"{base}/out").select("type", "version", "reason", F.lit(0.0).alias("amount"))
+    for name, amount in amounts.items():
+        rows = rows.union(TP.normalized_table(spark, f"{base}/out", name).select(F.lit(name), "version", none, amount))
+    return rows.groupBy("type", "version", "reason").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
+
+
 @_query(f"WITH {_with()} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n, sum(volume)::BIGINT AS volume FROM quotes GROUP BY ALL")
 def s8_s9_lake(spark, d):
     """The lake's first day is written with wrong volumes, and recomputed."""
