@@ -17,9 +17,15 @@ cut into bands: texts that share a band and whose estimate is at most four devia
 clusters, and inside a cluster the whole sets of hashes decide: every link has the exact Jaccard similarity, and every pair of a
 cluster whose estimate allows it is verified unless both texts are linked already.
 
-Large bands and clusters are dealt to blocks of bounded size. All members meet a few centres first, then the blocks meet in
-pairs, but not those whose texts are linked already. A pair of blocks gives only the links that join unlinked texts (a
-forest), never its pairs. So no link is lost, output is linear, and only texts that no centre joins cost comparisons.
+Large clusters are dealt to blocks of bounded size, and all members meet a few centres first. What the centres leave apart is found by
+its rare shingles: with the shingles of a cluster in the order of their frequency in it, two sets of similarity s have one in common
+that is among the size - ceil(s * size) + 1 rarest of the larger and the size - ceil(2 s / (1 + s) * size) + 1 rarest of the smaller
+set. So only texts that meet in such a shingle, and are not linked yet, are compared; what a template gives to all its pages is
+none, unless the pages are alike. Shingles that stand for the same texts count once. A large band, whose texts need not be alike
+at all, is not compared: its texts are proposed as one chain. Blocks give only the links that join unlinked texts (a forest),
+never their pairs. So no link is lost and output is linear.
+
+Equal sets of hashes are one node. Sets are told apart by 128 bits; a node's number is that of its row in the table of distinct sets.
 
 Defined results: words are split at ``[\\x20\\x09-\\x0D]``, A-Z lower-cased. A text with fewer words than a shingle has one
 shingle, all of it; a null or empty text has fingerprint zero and is linked like any other. Rows with equal ids all appear;
@@ -163,18 +169,24 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             fps.append(fingerprint(h))
             h = np.unique(h)
             sketches.append(sketch(h).tobytes())
-            same.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
+            same.append(xxhash.xxh3_128_digest(h.tobytes()))
             sizes.append(len(h))
-        fps, same = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, same))
-        yield pa.RecordBatch.from_arrays([batch.column(0), fps, pa.array(sketches, pa.binary()), same, pa.array(sizes, pa.int64()), batch.column(2)], ["_tw_id", "_tw_fp", "sketch", "node", "size", "_tw_hash"])
+        fps = pa.array(np.array(fps, np.uint64).view(np.int64))
+        arrays = [batch.column(0), fps, pa.array(sketches, pa.binary()), *_halves(same), pa.array(sizes, pa.int64()), batch.column(2)]
+        yield pa.RecordBatch.from_arrays(arrays, ["_tw_id", "_tw_fp", "sketch", "high", "low", "size", "_tw_hash"])
+
+
+def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """Of 128 bits each."""
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Texts to their distinct shingle hashes, and the node of these as in ``_sketches``."""
+    """Texts to their distinct shingle hashes, and the 128 bits of these as in ``_sketches``."""
     for batch in batches:
         sets = [np.unique(shingle_hashes(t.as_py() or b"", words)).tobytes() for t in batch.column(0)]
-        same = np.array([xxhash.xxh64_intdigest(h, 1) for h in sets], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(same.view(np.int64)), pa.array(sets, pa.binary())], ["node", "hashes"])
+        yield pa.RecordBatch.from_arrays([*_halves([xxhash.xxh3_128_digest(h) for h in sets]), pa.array(sets, pa.binary())], ["high", "low", "hashes"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +297,78 @@ def _scores(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(k), x.field("node"), pa.array(score)], ["k", "node", "score"])
 
 
+def _slot(weight):
+    return F.pmod(F.xxhash64("node"), F.ceil(weight))
+
+
+def _met(members: DataFrame, limit: float, similarity: float) -> DataFrame:
+    """(k, node, root, rare, sketch, hashes, w) to links inside each k between texts of unlike roots, one of them ``rare``.
+
+    Members of more than a block meet in pairs of blocks: of one root each for roots that fill one, else mixed. Blocks of the same
+    single root do not meet, nor do two blocks without rare members.
+    """
+    names = ["node", "root", "sketch", "hashes"]
+    collect = F.collect_list(F.struct(*names))
+    forest = lambda pairs: pairs.mapInArrow(lambda it: _forest(it, limit, similarity), "a long, b long")
+    held = written(members.join(members.groupBy("k").agg(F.sum("w").alias("all")), "k"), "met")
+    small = forest(held.filter("all <= 1").groupBy("k").agg(collect.alias("x")).select("x"))
+    large = held.filter("all > 1")
+    counts = large.groupBy("k", "rare", "root").agg(F.sum("w").alias("c"))
+    open_ = counts.groupBy("k", "rare").agg(F.sum(F.when(F.col("c") <= 1, F.col("c"))).alias("mixed"))
+    dealt = large.join(counts.join(open_, ["k", "rare"]), ["k", "rare", "root"]).withColumn("whole", F.when(F.col("c") > 1, F.col("root")))
+    dealt = dealt.withColumn("slot", F.when(F.col("whole").isNull(), _slot(F.col("mixed"))).otherwise(_slot(F.col("c"))))
+    blocks = dealt.groupBy("k", "rare", "whole", "slot").agg(collect.alias("x"))
+    blocks = written(blocks.withColumn("block", F.xxhash64("k", "rare", "whole", "slot", F.col("whole").isNull())), "root-blocks")
+    heads = blocks.select("k", "rare", "block", "whole")
+    meet = heads.alias("p").join(heads.alias("q"), "k").filter("p.block <= q.block and (p.rare or q.rare) and not coalesce(p.whole = q.whole, false)")
+    meet = meet.select(F.col("p.block").alias("px"), F.col("q.block").alias("qx"))
+    pairs = meet.join(blocks.select(F.col("block").alias("px"), "x"), "px").join(blocks.select(F.col("block").alias("qx"), F.col("x").alias("y")), "qx").select("x", "y")
+    out = written(small.union(forest(pairs)), "links-of-rare-shingles")
+    discard(held, blocks)
+    return out
+
+
+_SHINGLE = "k long, node long, root long, size long, h long"
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of each set."""
+    for batch in batches:
+        sets = [np.frombuffer(h.as_buffer(), np.int64) for h in batch.column("hashes")]
+        lengths = [len(h) for h in sets]
+        own = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), lengths)) for c in ("k", "node", "root", "size")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], [f.split()[0] for f in _SHINGLE.split(", ")])
+
+
+def rare_links(members: DataFrame, limit: float, similarity: float) -> DataFrame:
+    """(k, node, root, size, sketch, hashes, w) to links (a, b) of at least this similarity that join the roots of each k.
+
+    A set's keys are its rarest shingles, by their frequency in k, as the module says: those that any similar set of at most its size
+    has, the first of which (``rare``) are met by similar sets of at least its size. Keys that are nobody's rare ones, or that only texts
+    of one root have, are left out, and of keys with the same texts one stays.
+    """
+    shingles = written(members.select("k", "node", "root", "size", "hashes").mapInArrow(_shingles, _SHINGLE), "shingles")
+    frequency = shingles.groupBy("k", "h").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("shared"))
+    ranked = shingles.join(frequency, ["k", "h"]).groupBy("k", "node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h", "shared"))).alias("s"))
+    among = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1).cast("int")
+    keys = ranked.select("k", "node", "root", among(2 * similarity / (1 + similarity)).alias("first"), F.posexplode(F.slice("s", F.lit(1), F.least(F.greatest(among(similarity), F.lit(1)), F.size("s")))).alias("at", "e"))
+    keys = written(keys.filter("e.shared").select("k", "node", "root", (F.col("at") < F.greatest("first", F.lit(1))).alias("rare"), F.col("e.h").alias("h")), "rare-shingles")
+    # Two hashes of the texts that have a key stand for them.
+    same = [F.bit_xor(F.xxhash64("node", "rare", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
+    groups = keys.groupBy("k", "h").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rare").alias("any"), *same).filter("n > 1 and lo < hi and any")
+    groups = groups.groupBy("k", "n", "s1", "s2").agg(F.min("h").alias("h")).select("k", "h")
+    named = keys.join(groups, ["k", "h"]).select(F.xxhash64("k", "h").alias("g"), "k", "node", "rare")
+    payload = members.select("k", "node", "root", "sketch", "hashes", "w")
+    out = _met(named.join(payload, ["k", "node"]).drop("k").withColumnRenamed("g", "k"), limit, similarity)
+    discard(shingles, keys)
+    return out
+
+
 def joined(members: DataFrame, limit: float, similarity: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(k, node, sketch, and with ``similarity`` size and hashes) to links (a, b) inside each k, as of ``_forest``.
+    """(k, node, sketch, and with ``similarity`` size and hashes) to links (a, b) inside each k.
 
-    They join all that is alike in a k, directly or in steps.
+    With ``similarity`` they join all that is alike in a k, directly or in steps, as of ``_forest``. Without, they are proposals:
+    a k of more than a block is one chain.
     """
     exact = similarity is not None
     share = F.lit(1 / block) + (F.col("size") * (8 / BLOCK_BYTES) if exact else 0)
@@ -296,7 +376,6 @@ def joined(members: DataFrame, limit: float, similarity: float | None = None, bl
     names = ["node", "root", "sketch", *["hashes"] * exact]
     collect = F.collect_list(F.struct(*names))
     forest = lambda pairs: pairs.mapInArrow(lambda it: _forest(it, limit, similarity), "a long, b long")
-    slot = lambda weight: F.pmod(F.xxhash64("node"), F.ceil(weight))
 
     sizes = members.groupBy("k").agg(F.count("*").alias("n"), F.sum("w").alias("all")).filter("n > 1")
     held = written(members.withColumn("root", F.col("node")).join(sizes, "k"), "members")
@@ -305,8 +384,13 @@ def joined(members: DataFrame, limit: float, similarity: float | None = None, bl
     if large.isEmpty():
         discard(held)
         return found
+    if not exact:
+        chained = large.join(large.groupBy("k").agg(F.min("node").alias("a")), "k").filter("node <> a")
+        chained = written(chained.select("a", F.col("node").alias("b")).distinct(), "links-of-large")
+        discard(held)
+        return found.union(chained)
 
-    blocks = written(large.groupBy("k", slot(F.col("all")).alias("slot")).agg(collect.alias("x")).select("k", "x"), "blocks")
+    blocks = written(large.groupBy("k", _slot(F.col("all")).alias("slot")).agg(collect.alias("x")).select("k", "x"), "blocks")
     first = large.groupBy("k", F.pmod("node", F.lit(CENTRES)).alias("of")).agg(F.min_by(F.struct(*names), "node").alias("c"))
     first = written(first.groupBy("k").agg(F.collect_list("c").alias("y")), "centres")
     scored = blocks.join(first, "k").select("k", "x", "y").mapInArrow(lambda it: _scores(it, limit), "k long, node long, score double")
@@ -316,21 +400,12 @@ def joined(members: DataFrame, limit: float, similarity: float | None = None, bl
     stars = written(forest(blocks.join(centres, "k").select("x", "y")), "links-of-centres")
     discard(blocks, first, centres)
 
-    # What the centres join has one root now. Blocks of one root each for roots that fill one; the others are mixed.
-    rooted = written(large.select("k", "node", "w").join(components(found.union(stars)), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    counts = rooted.groupBy("k", "root").agg(F.sum("w").alias("c"))
-    open_ = counts.groupBy("k").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("c") <= 1, F.col("c"))).alias("mixed")).filter("roots > 1")
-    whole = F.when(F.col("c") > 1, F.col("root"))
-    dealt = rooted.join(counts.join(open_, "k"), ["k", "root"]).withColumn("whole", whole)
-    dealt = dealt.select("k", "node", "root", "whole", F.when(F.col("whole").isNull(), slot(F.col("mixed"))).otherwise(slot(F.col("c"))).alias("slot"))
-    blocks = large.drop("root").join(dealt, ["k", "node"]).groupBy("k", "whole", "slot").agg(collect.alias("x"))
-    blocks = written(blocks.withColumn("block", F.xxhash64("k", "whole", "slot", F.col("whole").isNull())), "root-blocks")
-    heads = blocks.select("k", "block", "whole")
-    meet = heads.alias("p").join(heads.alias("q"), "k").filter("p.block <= q.block and not coalesce(p.whole = q.whole, false)")
-    meet = meet.select(F.col("p.block").alias("px"), F.col("q.block").alias("qx"))
-    pairs = meet.join(blocks.select(F.col("block").alias("px"), "x"), "px").join(blocks.select(F.col("block").alias("qx"), F.col("x").alias("y")), "qx").select("x", "y")
-    rest = written(forest(pairs), "links-of-blocks")
-    discard(held, rooted, blocks)
+    # What the centres join has one root now.
+    rooted = written(large.select("k", "node").join(components(found.union(stars)), "node", "left").select("k", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    open_ = rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("k")
+    apart = large.drop("root", "n", "all").join(rooted.join(open_, "k"), ["k", "node"])
+    rest = rare_links(apart, limit, similarity)
+    discard(held, rooted)
     return found.union(stars).union(rest)
 
 
@@ -362,9 +437,10 @@ def _grouped(docs: DataFrame, words: int, text: str, doc_id: str, similarity: fl
     """(_tw_id, _tw_hash, _tw_fp, first): documents, and the first of the documents that each is linked to."""
     body = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
     source = docs.select(F.col(doc_id).cast("long").alias("_tw_id"), body.alias("_tw_text"), F.xxhash64(body).alias("_tw_hash"))
-    kinds = "_tw_id long, _tw_fp long, sketch binary, node long, size long, _tw_hash long"
+    kinds = "_tw_id long, _tw_fp long, sketch binary, high long, low long, size long, _tw_hash long"
     each = written(source.mapInArrow(lambda it: _sketches(it, words), kinds), "sketches")
-    nodes = written(each.groupBy("node").agg(_first("_tw_hash").alias("first"), *[F.min(c).alias(c) for c in ("_tw_fp", "sketch", "size")]), "distinct-sketches")
+    nodes = each.groupBy("high", "low").agg(_first("_tw_hash").alias("first"), *[F.min(c).alias(c) for c in ("_tw_fp", "sketch", "size")])
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
 
     # One text stands for all of a fingerprint: what Golay keys link are pairs of those.
     of = written(nodes.groupBy("_tw_fp").agg(F.min("node").alias("node")), "fingerprints")
@@ -376,13 +452,14 @@ def _grouped(docs: DataFrame, words: int, text: str, doc_id: str, similarity: fl
     def sets(wanted: DataFrame) -> DataFrame:
         rows = nodes.join(wanted, "node", "left_semi").select(id_key("first.id").alias("_tw_key"), F.col("first._tw_hash").alias("_tw_hash"))
         texts = source.withColumn("_tw_key", id_key("_tw_id")).join(rows, ["_tw_key", "_tw_hash"], "left_semi")
-        return texts.select("_tw_text").mapInArrow(lambda it: _sets(it, words), "node long, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        found = texts.select("_tw_text").mapInArrow(lambda it: _sets(it, words), "high long, low long, hashes binary")
+        return found.join(nodes.join(wanted, "node", "left_semi").select("high", "low", "node"), ["high", "low"]).select("node", "hashes").dropDuplicates(["node"])
 
     found = similar(nodes.select("node", "sketch", "size"), sets, similarity, proposed)
-    rooted = nodes.select("node", "first").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("node", "high", "low", "first").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("of_root"))
-    named = rooted.join(firsts, "root").select("node", F.col("of_root").alias("first"))
-    return each.select("_tw_id", "_tw_hash", "_tw_fp", "node").join(named, "node").drop("node")
+    named = rooted.join(firsts, "root").select("high", "low", F.col("of_root").alias("first"))
+    return each.select("_tw_id", "_tw_hash", "_tw_fp", "high", "low").join(named, ["high", "low"]).drop("high", "low")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None) -> DataFrame:
