@@ -15,8 +15,9 @@ verified on the words around the passage: enough word 3-grams of the item's ques
 answer (its last sentence) must occur there in order.
 
 The index is built from at most about ``MAX_WORDS`` words of items at a time (more only by one item), which bounds what is
-collected and broadcast; a larger benchmark is searched in as many shards, one after the other. A document's hits never leave
-its row, so nothing is shuffled.
+collected and broadcast; a larger benchmark is searched in as many shards, one after the other. Document frequencies, the mean
+length and the stride are those of the whole benchmark, counted in Spark before it is cut, so a score does not depend on the shards.
+A document's hits never leave its row, so nothing is shuffled.
 
 Defined results: null or empty texts and items have no words and never match. Items of equal text are all reported; rows of
 equal id and text are one item. Null item ids are reported as null. Other columns pass through, whatever their names; a column
@@ -28,7 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ROW, from_row, with_row
+from .common import ROW, discard, from_row, with_row, written
 
 K1, B = 1.2, 0.75
 PART, BLOCK, MAX_WORDS = 64, 8, 1_000_000
@@ -76,10 +77,25 @@ def _share(part: list[str], near: list[str]) -> float:
     return len(own & _grams([w for w in near if w], n)) / len(own) if n else 1.0
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of a whole benchmark: items and words, the longest part, and how many items have each word (of those that are asked for)."""
+
+    items: int
+    words: int
+    stride: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, lists: list[list[str]]) -> "Statistics":
+        longest = max((-(-len(x) // -(-len(x) // PART)) for x in lists if x), default=0)
+        return cls(sum(map(bool, lists)), sum(map(len, lists)), longest, Counter(w for x in lists for w in set(x)))
+
+
 class Index:
-    """Postings with block maxima of items [(item_id, text)]."""
+    """Postings with block maxima of items [(item_id, text)]; they are the whole benchmark, or ``statistics`` are of that."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], statistics: Statistics | None = None):
         lists = words_of(pa.array([t or "" for _, t in items], pa.string())).to_pylist()
         said = [(k, t, w) for (k, t), x in zip(items, lists) if (w := [w for w in x if w])]
         self.ids, self.words = [k for k, _, _ in said], [w for _, _, w in said]
@@ -93,12 +109,12 @@ class Index:
         parts.sort(key=lambda p: len(p[1]))
         self.item = [k for k, _ in parts]
         self.whole = [len(self.words[k]) <= PART for k in self.item]
-        self.stride = max([8, *(len(x) for _, x in parts)])
+        of = statistics or Statistics.of(self.words)
+        self.stride = max(8, of.stride)
 
         self.vocabulary = sorted({w for _, x in parts for w in x})
         self.number = {w: k for k, w in enumerate(self.vocabulary)}
-        self.df = Counter(w for x in self.words for w in set(x))
-        self.mean = sum(map(len, self.words)) / max(1, len(self.words))
+        self.items, self.df, self.mean = of.items, of.df, of.words / max(1, of.items)
         rows = [(self.number[w], d, i) for d, (_, x) in enumerate(parts) for w, i in self._impacts(x).items()]
         rows.sort()
         term, part, impact = (np.array([r[c] for r in rows], t) for c, t in enumerate((np.int64, np.int64, float)))
@@ -115,7 +131,7 @@ class Index:
 
     def _impacts(self, words: list[str]) -> dict[str, float]:
         """A text's terms with their shares of its own BM25 score."""
-        n, made = len(self.words), {}
+        n, made = self.items, {}
         for w, tf in Counter(words).items():
             idf = np.log(1 + (n - self.df[w] + 0.5) / (self.df[w] + 0.5))
             made[w] = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / self.mean)))
@@ -131,6 +147,10 @@ class Index:
     def wand(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(passages, parts, scores) of all at or above the threshold; the terms of a passage lie together."""
         threshold -= _ROUNDING
+        if len(passage):  # Passages that cannot reach it leave before anything is sorted.
+            start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+            stay = np.repeat(np.add.reduceat(self.top[term], start) >= threshold - _ROUNDING, np.diff(np.r_[start, len(passage)]))
+            passage, term = passage[stay], term[stay]
         cursor = self.first[term]
         while len(passage):
             order = np.argsort(passage * self.span + cursor, kind="stable")
@@ -216,7 +236,7 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 def _search(batches: Iterator[pa.RecordBatch], broadcast, limits: tuple, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """ROW and _tw_text to these and _tw_hits; without that in the schema, only rows that have no hits."""
+    """ROW and _tw_text to these and _tw_hits, after those of earlier shards; without that in the schema, only rows that have no hits."""
     index = broadcast.value
     for batch in batches:
         texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
@@ -226,37 +246,55 @@ def _search(batches: Iterator[pa.RecordBatch], broadcast, limits: tuple, schema:
             yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array([not h for h in found], pa.bool_()))
         else:
             hits = [[{"item_id": index.ids[k], "score": s, "question": q, "answer": r, "passage_start": p} for k, (s, q, r, p) in sorted(h.items())] for h in found]
+            if batch.num_columns > 2:
+                hits = [before + own for before, own in zip(batch.column(2).to_pylist(), hits)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, schema.field(2).type)], schema=schema)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, shard) of items to their distinct words; a null word carries an item's length."""
+    for batch in batches:
+        words, shards, lengths = [], [], []
+        for shard, said in zip(batch.column(1).to_pylist(), words_of(batch.column(0)).to_pylist()):
+            own = [w for w in said if w]
+            for word in [*sorted(set(own)), *[None] * bool(own)]:
+                words.append(word), shards.append(shard), lengths.append(len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(shards, pa.int64()), pa.array(lengths, pa.int64())], ["word", "shard", "length"])
+
+
 def _shards(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Index]:
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).filter("text is not null").distinct()
     words = items.agg(F.sum(F.size(F.split("text", " "))).alias("n")).first()[0] or 0
     n = -(-words // MAX_WORDS) or 1
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("long"))
+    said = written(items.select("text", "shard").mapInArrow(_counted, "word string, shard long, length long"), "item-words")
+    longest = F.max(F.ceil(F.col("length") / F.ceil(F.col("length") / PART)))
+    items_n, words_n, stride = said.filter("word is null").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(longest, F.lit(0))).first()
+    df = said.filter("word is not null").groupBy("word").agg(F.count("*").alias("df"))
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Index(sorted(map(tuple, part.collect()), key=lambda x: (x[0] is None, x[0], x[1])))
+        own = said.filter((F.col("shard") == k) & F.col("word").isNotNull()).select("word").distinct()
+        known = {r.word: r.df for r in df.join(own, "word", "left_semi").collect()}  # as many as the shard has words
+        part = items.filter(F.col("shard") == k).select("item_id", "text").collect()
+        yield Index(sorted(map(tuple, part), key=lambda x: (x[0] is None, x[0], x[1])), Statistics(items_n, int(words_n), int(stride), known))
+    discard(said)
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, with_hits: bool, text: str, item_id: str, item_text: str, limits: tuple) -> Iterator[tuple]:
-    """For each shard a function of (ROW, _tw_text) rows to the rows that ``_search`` gives."""
+def _searched(rows: DataFrame, benchmark: DataFrame, with_hits: bool, item_id: str, item_text: str, limits: tuple) -> DataFrame:
+    """(ROW, _tw_text) rows through the shards, one after the other, as ``_search`` says."""
     for index in _shards(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(rows: DataFrame, shared=shared) -> DataFrame:
-            fields = [rows.schema[ROW], T.StructField("_tw_text", T.StringType())]
-            schema = T.StructType([*fields, T.StructField("_tw_hits", T._parse_datatype_string(HIT))] if with_hits else fields)
-            arrow = to_arrow_schema(schema)
-            return rows.mapInArrow(lambda it: _search(it, shared, limits, arrow), schema)
-
-        yield run
+        shared = rows.sparkSession.sparkContext.broadcast(index)
+        fields = [rows.schema[ROW], T.StructField("_tw_text", T.StringType())]
+        schema = T.StructType([*fields, T.StructField("_tw_hits", T._parse_datatype_string(HIT))] if with_hits else fields)
+        arrow = to_arrow_schema(schema)
+        rows = rows.mapInArrow(lambda it, shared=shared, arrow=arrow: _search(it, shared, limits, arrow), schema)
+    return rows
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
-    """docs plus _tw_hits, the benchmark items that each contains; a row for each shard of a benchmark over MAX_WORDS."""
+    """docs plus _tw_hits, the benchmark items that each contains."""
     rows = with_row(docs, (text,), _tw_text=F.col(text).cast("string"))
-    parts = [run(rows) for run in _searched(docs, benchmark, True, text, item_id, item_text, (threshold, min_question, min_answer))]
-    return from_row(reduce(DataFrame.unionByName, parts), docs.columns, **{text: "_tw_text", "_tw_hits": "_tw_hits"})
+    found = _searched(rows, benchmark, True, item_id, item_text, (threshold, min_question, min_answer))
+    return from_row(found, docs.columns, **{text: "_tw_text", "_tw_hits": "_tw_hits"})
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
@@ -268,9 +306,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **optio
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER) -> DataFrame:
     """docs without those that contain an item."""
     rows = with_row(docs, (text,), _tw_text=F.col(text).cast("string"))
-    for run in _searched(docs, benchmark, False, text, item_id, item_text, (threshold, min_question, min_answer)):
-        rows = run(rows)
-    return from_row(rows, docs.columns, **{text: "_tw_text"})
+    found = _searched(rows, benchmark, False, item_id, item_text, (threshold, min_question, min_answer))
+    return from_row(found, docs.columns, **{text: "_tw_text"})
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
