@@ -123,7 +123,9 @@ def _trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = written(inner.unionByName(ends, allowMissingColumns=True).withColumn("first", F.substring("label", 1, 1)), "edges")
     letter = F.when(F.col("first") == "", _END).otherwise(F.col("first"))
     after = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(letter), "").alias("after"))
-    edges = written(edges.join(after.hint("shuffle_hash"), "child", "left"), "edges-after")
+    # Edges to words have no child, so they stay out of the join: they would all wait at one key.
+    further = edges.filter("child is not null").join(after.hint("shuffle_hash"), "child")
+    edges = written(further.unionByName(edges.filter("child is null"), allowMissingColumns=True), "edges-after")
 
     half = F.floor(F.length("word") / 2).cast("int")
     shared = F.when(F.col("way") == 0, half).otherwise(F.length("word") - half)
