@@ -22,4 +22,4 @@ QUERIES = {
         runs.op13_periodic_runs,
     )
 }
-ORACLES = line_dedup.SQL | warc.SQL | chat.SQL | topk.SQL
+ORACLES = line_dedup.SQL | warc.SQL | chat.SQL | topk.SQL | variants.SQL

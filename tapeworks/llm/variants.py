@@ -219,3 +219,22 @@ def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
     return variant_groups(word_counts(read(spark, sf_dir, "documents"), damage=True))
+
+
+# The CRC is taken bit by bit; two words are near if they are equal without the letter at one place, or one is the other without a letter.
+SQL = {
+    "op11_spelling_variants": r"""WITH RECURSIVE x AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+    y AS MATERIALIZED (SELECT run, count(*) AS n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c), -1, -1, -1, -1, -1, -1, -1, -1] ELSE [195, -1, -1, -1, -1, -1, -1, -1, -1, unicode(c) - 64, -1, -1, -1, -1, -1, -1, -1, -1] END)) AS steps FROM x GROUP BY doc_id, run),
+    h AS MATERIALIZED (SELECT run, n, xor(list_reduce(steps, lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM y),
+    v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n AS times FROM h),
+    w AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+    d AS MATERIALIZED (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM w),
+    c AS MATERIALIZED (SELECT word, n, i, CASE WHEN i = length(word) THEN word ELSE substr(word, 1, i::INT) || substr(word, i::INT + 2) END AS part, i = length(word) AS whole FROM d),
+    p AS MATERIALIZED (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM c a JOIN c b USING (part) WHERE a.word <> b.word AND (a.whole <> b.whole OR a.i = b.i)),
+    k AS (SELECT word, count(*) AS n_near, max(near_n) AS best_n FROM p GROUP BY word),
+    b AS (SELECT p.word, min(near) AS best FROM p JOIN k ON p.word = k.word AND near_n = best_n GROUP BY p.word),
+    f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n FROM w LEFT JOIN k USING (word) LEFT JOIN b USING (word)),
+    r AS (SELECT word, word AS here, 0 AS steps FROM f UNION ALL SELECT r.word, f.form, steps + 1 FROM r JOIN f ON f.word = r.here WHERE form IS NOT NULL),
+    z AS (SELECT word, arg_max(here, steps) AS root FROM r GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)"""
+}
