@@ -221,8 +221,10 @@ class Index:
             there = set(near)
             score = sum(x for w, x in self._impacts(self.words[k]).items() if w in there)
         q, r = (_share(half, near) for half in (self.question[k], self.answer[k]))
-        if score >= threshold - _ROUNDING and q >= min_question and r >= min_answer and score > hits.get(k, (-1.0,))[0]:
-            hits[k] = (score, q, r, start)
+        if score >= threshold - _ROUNDING and q >= min_question and r >= min_answer:
+            best = hits.get(k)  # of equal scores the first passage, whatever the order of the search
+            if best is None or score > best[0] + _ROUNDING or score >= best[0] - _ROUNDING and start < best[3]:
+                hits[k] = (score, q, r, start)
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
