@@ -2,8 +2,7 @@
 
 from pyspark.sql import types as T
 
-_KINDS = {"string": T.StringType(), "timestamp": T.TimestampType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
-_KINDS |= {"strings": T.ArrayType(T.StringType()), "numbers": T.MapType(T.StringType(), T.DoubleType()), "texts": T.MapType(T.StringType(), T.StringType())}
+_KINDS = {"string": T.StringType(), "timestamp": T.TimestampType(), "bigint": T.LongType(), "double": T.DoubleType()}
 
 
 def _schema(text: str) -> T.StructType:
@@ -13,7 +12,3 @@ def _schema(text: str) -> T.StructType:
 
 QUOTE = _schema("symbol string!, ts timestamp!, seq bigint, price double!, volume bigint!, bid double, ask double, open double, high double, low double")
 STOCK_QUOTES = _schema("symbol string!, timestamp timestamp!, price double!, volume bigint!, open double, high double, low double")
-TICK = _schema("symbol string, price double, volume bigint, change double, change_percent double, timestamp timestamp")
-ALERT = _schema("alert_id string, symbol string, target_price double, alert_type string, created_at timestamp, active boolean")
-SUBSCRIPTION = _schema("client_id string, symbols strings, action string")
-STRATEGY = _schema("id string, name string, description string, params numbers, descriptions texts, indicators strings, created_at timestamp, updated_at timestamp")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,13 +30,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of ``staged`` in the order of their making, for ``scratch``.
+_staged: list[str] = []
+
+
 def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write once and read again, for results that several plans start from; ``by`` partitions the files."""
     path = shared_folder(df.sparkSession, name)
+    _staged.append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged inside it. Results are lazy and read what is staged, so write them inside."""
+    before = len(_staged)
+    try:
+        yield
+    finally:
+        for path in _staged[before:]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        del _staged[before:]
+
+
 def register_history(spark: SparkSession, path: str, name: str = "historical_data") -> DataFrame:
     df = spark.read.parquet(path)
     df.createOrReplaceTempView(name)

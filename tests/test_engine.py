@@ -13,6 +13,8 @@ from tapeworks.schema import QUOTE
 
 START = dt.datetime(2024, 1, 1)
 
+# Prices, texts and expected results of the literal cases that the engine must agree with.
+
 
 def quotes(spark, **prices):
     rows = [(s, START + dt.timedelta(days=k), k, float(p), 100 * (k + 1), None, None, None, None, None) for s, ps in prices.items() for k, p in enumerate(ps)]
@@ -212,3 +214,16 @@ def test_normalise_maps_closes_and_epoch_times_and_leaves_the_rest_null(spark):
     r = out.first()
     assert (r.symbol, r.price, r.volume, r.seq, r.bid, r.low) == ("AAPL", 101.5, 7, None, None, None)
     assert out.select(F.unix_millis("ts").alias("m")).first().m == 1704067200123
+
+
+def test_scratch_deletes_what_was_staged(spark):
+    from tapeworks.sources import io as S
+
+    before = len(S._staged)
+    with S.scratch(spark):
+        kept = S.staged(spark.range(5), "five")
+        assert kept.count() == 5 and len(S._staged) == before + 1
+        path = S._staged[-1]
+    assert len(S._staged) == before
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
