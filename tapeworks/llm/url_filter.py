@@ -19,14 +19,14 @@ the one that blocks wins. Other columns pass through, whatever their names; colu
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import ascii_lower, discard, from_row, with_row, written
 
-#: TOLERANCE is the largest change of any host's score, as a share of it, at which rounds end.
+#: TOLERANCE is the largest change of any host's score, as a share of it, at which rounds end early.
 DAMPING, TOLERANCE = 0.85, 1e-4
+#: Rounds at most: what a seed has not given away then is under 1e-4 of it (DAMPING ** ROUNDS), however long the paths are.
+ROUNDS = 57
 MAX_SHARE = 0.5
 _AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)\shref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
@@ -65,7 +65,7 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return pairs.filter("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """edges (src, dst, n), seeds (host, trust, distrust) to (host, trust, distrust) after personalised PageRank, of ``rounds`` at most."""
     edges = written(edges, "host-edges")
     scaled = [[F.lit(kind).alias("kind"), "host", F.col(kind).cast("double").alias("seed")] for kind in ("trust", "distrust")]
@@ -77,7 +77,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) ->
     score = start_score = start.withColumnRenamed("seed", "score")
     if moves.isEmpty():
         rounds = 0
-    for _ in count() if rounds is None else range(rounds):
+    for _ in range(rounds):
         moved = score.join(moves, (score.host == moves.src) & (score.kind == moves.kind)).select(moves.kind, moves.dst.alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"))
         jump = start.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("score"))
         after = written(moved.unionByName(jump).groupBy("kind", "host").agg(F.sum("score").alias("score")), "host-scores")
@@ -89,6 +89,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) ->
         score = after
         if (change or 0) < TOLERANCE:
             break
+    discard(edges)
     pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
     return score.groupBy("host").agg(pick("trust"), pick("distrust"))
 
@@ -124,5 +125,3 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     out = filter_urls(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", F.col("_tw_host").alias("host"), F.col("_tw_path").alias("path"), F.col("_tw_rule").alias("rule"), F.col("_tw_verdict").alias("verdict"))
 
-
-SQL = {}

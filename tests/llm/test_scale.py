@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tapeworks.llm import common, components, decontam, simhash
+from tapeworks.llm import common, components, decontam, simhash, url_filter
 
 
 def benchmark(spark, n=60):
@@ -156,3 +156,15 @@ def test_scratch_deletes_what_is_not_kept(spark):
     with pytest.raises(Exception):
         spark.read.parquet(a._tw_path).count()
     common.discard(b)
+
+
+def test_rounds_of_a_long_chain_are_bounded(spark, monkeypatch):
+    """Ninety hosts in a row: rounds end at the bound, and near scores are those of the closed form."""
+    made, plain = [], url_filter.written
+    monkeypatch.setattr(url_filter, "written", lambda df, name: made.append(name) or plain(df, name))
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(90)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {r.host: r.trust for r in url_filter.propagate(edges, seeds, 6).collect()}
+    assert made.count("host-scores") == 6
+    assert all(abs(got[f"h{k}"] - 0.15 * 0.85**k) < 1e-12 for k in range(6)) and set(got) == {f"h{k}" for k in range(7)}
+    assert url_filter.propagate.__defaults__ == (57,) and url_filter.DAMPING**57 < 1e-4
