@@ -3,8 +3,12 @@
 Schema fingerprinting. The nested field paths of a record (lists as ``[]``, types ignored) are sorted and hashed; the hash
 selects a declarative mapping: for each turn or list of turns a role and a path. A mapping may say how its own role names are
 mapped to ``system``, ``user`` and ``assistant``; all other roles are kept as they are given. A record whose paths are known only
-apart from fields no mapping uses is matched by the mapping that uses most of its paths; a record with no mapping becomes a
-single turn of null role with the record as its text and a null layout, so it is reported and never dropped.
+apart from fields no mapping uses is matched by the mapping that uses most of its paths, and the paths that it leaves out are
+listed with every turn (``unmapped``), so nothing is lost silently: a leaf is in a turn or its path is listed. A record with no mapping
+becomes a single turn of null role with the record as its text and a null layout, so it is reported and never dropped.
+
+A text may be given as a list of parts ``{"type": "text", "text": ...}``, which are joined by line breaks; with parts of other kinds the
+list stays as JSON. A history is a list of pairs of a user's and an assistant's text.
 
 Template. ``<|im_start|>role``, a line break, the text, ``<|im_end|>`` and a line break for each turn. A control string inside
 a role or text gets a backslash after its ``<`` (one more if it has some), which is reversible and leaves all other text as it
@@ -34,13 +38,15 @@ _ESCAPE = re.compile(r"<(\\*)(\|(?:im_start|im_end|endoftext)\|>)")
 _UNESCAPE = re.compile(r"<\\(\\*)(\|(?:im_start|im_end|endoftext)\|>)")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 #: Role names of layouts with names of their own.
+_SHARED = {"human": "user", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant"}
 ROLES = {
-    "conversations": {"human": "user", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant"},
+    "conversations": _SHARED,
+    "system-conversations": _SHARED,
     "dialogue": {"prompter": "user", "human": "user", "bot": "assistant", "model": "assistant"},
 }
 
-#: Layout name: parts in order, each (role, path or paths) for one text, or (list path, role path, text path); an empty list
-#: path is the record itself, a single turn.
+#: Layout name: parts in order, each (role, path or paths) for one text, (list path, role path, text path), or (path of a list of
+#: pairs,); an empty list path is the record itself, a single turn.
 MAPPINGS = {
     "messages": [("messages[]", "role", "content")],
     "conversations": [("conversations[]", "from", "value")],
@@ -55,6 +61,13 @@ MAPPINGS = {
     "chosen": [("user", "prompt"), ("assistant", "chosen")],
     "system-messages": [("system", "system"), ("messages[]", "role", "content")],
     "turn-row": [("", "role", "text")],
+    "system-conversations": [("system", "system"), ("conversations[]", "from", "value")],
+    "history": [("history[][]",), ("user", "instruction"), ("assistant", "output")],
+    "history-input": [("history[][]",), ("user", ("instruction", "input")), ("assistant", "output")],
+    "system-history-input": [("system", "system"), ("history[][]",), ("user", ("instruction", "input")), ("assistant", "output")],
+    "prompt-messages": [("prompt[]", "role", "content"), ("chosen[]", "role", "content")],
+    "prompt-list": [("prompt[]", "role", "content"), ("assistant", "completion")],
+    "chosen-messages": [("chosen[]", "role", "content")],
 }
 
 
@@ -63,6 +76,8 @@ def _paths_of(parts: list[tuple]) -> frozenset[str]:
     for part in parts:
         if len(part) == 3:
             out |= {".".join(filter(None, (part[0], p))) for p in part[1:]}
+        elif len(part) == 1:
+            out.add(part[0])
         else:
             out |= set(part[1] if isinstance(part[1], tuple) else (part[1],))
     return frozenset(out)
@@ -84,14 +99,38 @@ def fingerprint(paths: set[str]) -> str:
 _BY_PRINT = {fingerprint(set(_paths_of(parts))): name for name, parts in MAPPINGS.items()}
 
 
+def _joined(value):
+    """The record with lists of text parts as texts."""
+    if isinstance(value, dict):
+        return {k: _joined(v) for k, v in value.items()}
+    if isinstance(value, list):
+        if value and all(isinstance(v, dict) and v.keys() == {"type", "text"} and v["type"] == "text" and isinstance(v["text"], str) for v in value):
+            return "\n".join(v["text"] for v in value)
+        return [_joined(v) for v in value]
+    return value
+
+
+def _fitting(paths: set[str]) -> str | None:
+    fits = [n for n, parts in MAPPINGS.items() if _paths_of(parts) <= paths]
+    return max(fits, key=lambda n: (len(_paths_of(MAPPINGS[n])), n), default=None)
+
+
 def layout_of(record) -> tuple[str, str | None]:
     """(fingerprint, mapping name or None)."""
+    return _located(record)[:2]
+
+
+def _located(record) -> tuple[str, str | None, list[str], object]:
+    """Fingerprint, mapping, the paths that it leaves out, and the record with joined texts."""
     paths = field_paths(record)
     print_ = fingerprint(paths)
     if print_ in _BY_PRINT:
-        return print_, _BY_PRINT[print_]
-    fits = [n for n, parts in MAPPINGS.items() if _paths_of(parts) <= paths]
-    return print_, max(fits, key=lambda n: (len(_paths_of(MAPPINGS[n])), n), default=None)
+        return print_, _BY_PRINT[print_], [], record
+    if any("[]" in p for p in paths):
+        record = _joined(record)
+        paths = field_paths(record)
+    name = _BY_PRINT.get(fingerprint(paths)) or _fitting(paths)
+    return print_, name, sorted(paths - _paths_of(MAPPINGS[name])) if name else [], record
 
 
 def _get(record: dict, path: str):
@@ -106,23 +145,30 @@ def _text(x) -> str:
 
 def turns_of(record) -> tuple[str, str | None, list[tuple[str, str]]]:
     """(fingerprint, mapping, canonical turns) of a decoded record."""
-    print_, name = layout_of(record)
+    print_, name, _, record = _located(record)
+    return print_, name, _turns(record, name)
+
+
+def _turns(record, name: str | None) -> list[tuple[str, str]]:
     turns, names = [], ROLES.get(name, {})
     for part in MAPPINGS.get(name, []):
         if len(part) == 3:
             for item in (_get(record, part[0].removesuffix("[]")) or []) if part[0] else [record]:
                 role = "user" if (given := _get(item, part[1])) is None else _text(given)
                 turns.append((names.get(role, role), _text(_get(item, part[2]))))
+        elif len(part) == 1:
+            for pair in _get(record, part[0].removesuffix("[][]")) or []:
+                turns += [(("user", "assistant")[k % 2], _text(x)) for k, x in enumerate(pair if isinstance(pair, list) else [pair])]
         elif isinstance(part[1], tuple):
             turns.append((part[0], "\n\n".join(t for p in part[1] if (t := _text(_get(record, p))))))
         else:
             turns.append((part[0], _text(_get(record, part[1]))))
-    return print_, name, turns
+    return turns
 
 
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "turn", "role", "text", "fingerprint", "layout"]
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4]
+    names = ["conv_id", "turn", "role", "text", "fingerprint", "layout", "unmapped"]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.string())]
     for batch in batches:
         rows = []
         for conv, raw, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -130,20 +176,21 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 record = json.loads(raw or "null")
             except ValueError:
                 record = None
-            print_, name, turns = turns_of(record)
-            rows += [(conv, None if at is None else at + k, role, text, print_, name) for k, (role, text) in enumerate(turns)] or [(conv, at, None, "" if name else raw, print_, name)]
+            print_, name, rest, record = _located(record)
+            turns = _turns(record, name)
+            rows += [(conv, None if at is None else at + k, role, text, print_, name, rest) for k, (role, text) in enumerate(turns)] or [(conv, at, None, "" if name else raw, print_, name, rest)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
 def canonical_turns(records: DataFrame, conv_id: str = "conv_id", record: str = "record", turn: str | None = None) -> DataFrame:
-    """JSON records to (conv_id, turn, role, text, fingerprint, layout).
+    """JSON records to (conv_id, turn, role, text, fingerprint, layout, unmapped).
 
     ``turn`` names a column with the number of a record's first turn (0 without it), for conversations spread over several
     records. A record that no mapping fits, or that is no JSON, gives one row with the record as its text and null as its layout.
     """
     first = F.col(turn).cast("long") if turn else F.lit(0).cast("long")
     rows = records.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(record).cast("string").alias("record"), first.alias("at"))
-    return rows.mapInArrow(_canonical, "conv_id long, turn long, role string, text string, fingerprint string, layout string")
+    return rows.mapInArrow(_canonical, "conv_id long, turn long, role string, text string, fingerprint string, layout string, unmapped array<string>")
 
 
 def escape(text: str) -> str:
@@ -229,6 +276,11 @@ def unmapped(turns: DataFrame) -> DataFrame:
     return turns.filter("layout is null").groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
+def unmapped_paths(turns: DataFrame) -> DataFrame:
+    """(fingerprint, layout, path, n): the paths that a mapping leaves out, with the number of turns of such records."""
+    return turns.filter("layout is not null").select("fingerprint", "layout", F.explode("unmapped").alias("path")).groupBy("fingerprint", "layout", "path").agg(F.count("*").alias("n"))
+
+
 def mixed_records(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) to (conv_id, turn, record): each row as JSON, in one of six layouts by its own hash.
 

@@ -281,6 +281,13 @@ LAYOUTS = {
     "chosen": ({"prompt": "p", "chosen": "c", "rejected": "r"}, [("user", "p"), ("assistant", "c")]),
     "system-messages": ({"system": "s", "messages": [{"role": "user", "content": "q"}]}, [("system", "s"), ("user", "q")]),
     "turn-row": ({"role": "user", "text": "t"}, [("user", "t")]),
+    "system-conversations": ({"system": "s", "conversations": [{"from": "human", "value": "q"}]}, [("system", "s"), ("user", "q")]),
+    "history": ({"history": [["a", "b"], ["c", None]], "instruction": "i", "output": "o"}, [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", ""), ("user", "i"), ("assistant", "o")]),
+    "history-input": ({"history": [["a", "b"]], "instruction": "i", "input": "n", "output": "o", "id": 1}, [("user", "a"), ("assistant", "b"), ("user", "i\n\nn"), ("assistant", "o")]),
+    "system-history-input": ({"system": "s", "history": [["a", "b"]], "instruction": "i", "input": "", "output": "o"}, [("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "i"), ("assistant", "o")]),
+    "prompt-messages": ({"prompt": [{"role": "user", "content": "p"}], "chosen": [{"role": "assistant", "content": "c"}]}, [("user", "p"), ("assistant", "c")]),
+    "prompt-list": ({"prompt": [{"role": "user", "content": "p"}], "completion": "c"}, [("user", "p"), ("assistant", "c")]),
+    "chosen-messages": ({"prompt": "p", "chosen": [{"role": "user", "content": "p"}, {"role": "assistant", "content": "c"}]}, [("user", "p"), ("assistant", "c")]),
 }
 
 

@@ -1,12 +1,13 @@
 """What must not depend on sizes: benchmark shards, pages of one template, empty inputs, folders."""
 
+import json
 import random
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tapeworks.llm import common, components, decontam, simhash, url_filter
+from tapeworks.llm import chat, common, components, decontam, simhash, url_filter
 
 
 def benchmark(spark, n=60):
@@ -168,3 +169,41 @@ def test_rounds_of_a_long_chain_are_bounded(spark, monkeypatch):
     assert made.count("host-scores") == 6
     assert all(abs(got[f"h{k}"] - 0.15 * 0.85**k) < 1e-12 for k in range(6)) and set(got) == {f"h{k}" for k in range(7)}
     assert url_filter.propagate.__defaults__ == (57,) and url_filter.DAMPING**57 < 1e-4
+
+
+# Chat -------------------------------------------------------------------------------------------------------------------
+
+RECORDS = [
+    ({"system": "S", "conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, [("system", "S"), ("user", "a"), ("assistant", "b")], []),
+    ({"instruction": "i", "output": "o", "history": [["q1", "a1"], ["q2", "a2"]]}, [("user", "q1"), ("assistant", "a1"), ("user", "q2"), ("assistant", "a2"), ("user", "i"), ("assistant", "o")], []),
+    ({"instruction": "i", "input": "n", "output": "o", "history": [["q1", "a1"]], "system": "S"}, [("system", "S"), ("user", "q1"), ("assistant", "a1"), ("user", "i\n\nn"), ("assistant", "o")], []),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}]}, {"role": "assistant", "content": "z"}]}, [("user", "x\ny"), ("assistant", "z")], []),
+    ({"messages": [{"role": "assistant", "content": None, "tool_calls": [{"name": "f", "args": "{}"}]}]}, [("assistant", "")], ["messages[].tool_calls[].args", "messages[].tool_calls[].name"]),
+    ({"prompt": [{"role": "user", "content": "p"}], "chosen": [{"role": "assistant", "content": "c"}], "rejected": [{"role": "assistant", "content": "r"}]}, [("user", "p"), ("assistant", "c")], ["rejected[].content", "rejected[].role"]),
+    ({"prompt": "p", "chosen": [{"role": "user", "content": "p"}, {"role": "assistant", "content": "c"}]}, [("user", "p"), ("assistant", "c")], ["prompt"]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "see"}, {"type": "image", "url": "u"}]}]}, [(None, None)], None),
+    ({"question": "q", "answer": "a", "source": "s", "meta": {"k": 1}}, [("user", "q"), ("assistant", "a")], ["meta.k", "source"]),
+]
+
+
+def leaves(x):
+    if isinstance(x, dict):
+        return [(f"{k}{p}" if p.startswith("[") or not p else f"{k}.{p}", v) for k, y in x.items() for p, v in leaves(y)]
+    if isinstance(x, list):
+        return [("[]" + (p if p.startswith("[") or not p else "." + p), v) for y in x for p, v in leaves(y)]
+    return [("", x)]
+
+
+def test_no_leaf_of_a_record_is_lost(spark):
+    rows = [(k, json.dumps(r)) for k, (r, _, _) in enumerate(RECORDS)]
+    out = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, record string")).orderBy("conv_id", "turn").collect()
+    for k, (record, want, rest) in enumerate(RECORDS):
+        own = [r for r in out if r.conv_id == k]
+        said = " ".join(r.text or "" for r in own) + " ".join(r.role or "" for r in own)
+        if rest is not None:
+            assert [(r.role, r.text) for r in own] == want and all(r.unmapped == rest for r in own)
+        for path, value in leaves(record):
+            named = isinstance(value, str) and (value in said or value in ("text", "human", "gpt"))
+            assert value is None or named or any(path == p for r in own for p in r.unmapped) or own[0].layout is None and str(value) in said
+    paths = {(r.layout, r.path) for r in chat.unmapped_paths(spark.createDataFrame([(1, json.dumps(RECORDS[8][0]))], "conv_id long, record string").transform(chat.canonical_turns)).collect()}
+    assert paths == {("question", "meta.k"), ("question", "source")}
