@@ -37,6 +37,8 @@ LETTERS = re.compile("[a-zÀ-ÿ]+")
 LENGTH, TIMES = 5, 3
 #: The least number of letters that neighbours share on one side, for words of LENGTH or more.
 DEPTH = LENGTH // 2
+#: Words, or prefixes, that a task holds before it hands them on, about.
+HELD = 20_000
 #: A word's form has at least so many times its occurrences.
 FACTOR = 2
 #: One run in so many loses a letter in the query.
@@ -51,10 +53,15 @@ def damaged(run: str, doc: int) -> str:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], damage: bool) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (word, n), summed over a batch."""
+    """(id, text) to (word, n), summed over a batch, or over less where a batch has very many words."""
+    made = lambda t: pa.RecordBatch.from_arrays([pa.array(list(t), pa.string()), pa.array(list(t.values()), pa.int64())], ["word", "n"])
     for batch in batches:
         total: Counter[str] = Counter()
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if len(total) > HELD:
+                total.pop("", None)
+                yield made(total)
+                total.clear()
             found = LETTERS.findall((text.as_py() or b"").lower().decode())  # of bytes: only A-Z are lower-cased
             if not damage:
                 total.update(found)
@@ -63,7 +70,7 @@ def _counts(batches: Iterator[pa.RecordBatch], damage: bool) -> Iterator[pa.Reco
             for run, n in Counter(found).items():
                 total[damaged(run, doc)] += n
         total.pop("", None)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+        yield made(total)
 
 
 def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", damage: bool = False, length: int = LENGTH, times: int = TIMES) -> DataFrame:
@@ -88,7 +95,7 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     after = letters[depth : depth + 1]
                     out.append((number, way, depth, node.intdigest() - (1 << 63), ord(after) if after else 0))
                     node.update(after.encode())
-                if len(out) > 100_000:
+                if len(out) > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in _SPOT.split(", ")])
                     out = []
         if out:

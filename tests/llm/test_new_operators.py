@@ -84,7 +84,7 @@ def best(rows, queries, k):
     out = []
     for n, i, v in usable:
         if i in queries:
-            found = [(-sum(a * b for a, b in zip(v, w)), j) for m, j, w in usable if m != n and len(w) == len(v)]
+            found = [(-max(min(sum(a * b for a, b in zip(v, w)), 2**63 - 1), -(2**63)), j) for m, j, w in usable if m != n and len(w) == len(v)]
             out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(sorted(found)[:k])]
     return sorted(out)
 
