@@ -169,7 +169,7 @@ def test_cover_has_all_differences():
 
 def test_periodic_runs_query(spark, tmp_path):
     rng = random.Random(8)
-    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 3) for _ in range(rng.randrange(120))) for _ in range(120)]
+    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 3) for _ in range(rng.randrange(120))) for _ in range(240)]
     rows = [(k, t, "en") for k, t in enumerate(texts)] + [(None, "x " * 9, None), (900, None, "a"), (901, "", "b"), (902, " \n\t", "c"), (3, "again again again again again again\nend", "d"), (904, "long words " * 20000, "e")]
     spark.createDataFrame(rows, "doc_id long, text string, period string").write.parquet(f"{tmp_path}/documents.parquet")
     want = []
