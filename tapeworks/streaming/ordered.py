@@ -1,9 +1,10 @@
 """Stateful operators over rows in event order, whatever order they arrive in.
 
 A key's rows are held in state until the watermark has passed them, and then stepped through in order, so results do not depend on
-how rows are spread over micro-batches. Rows are held in buckets of time: input is added chunk by chunk and a timer releases
-bucket after bucket, so a task holds one bucket of one key, whatever the size of a batch; state is bounded by the lateness that the
-watermark allows. Rows behind the watermark are late: they come out at once, marked, and change nothing, and ``lateness`` counts them.
+how rows are spread over micro-batches. A key with up to FEW rows held has them in one value, which is read and written once for each
+batch, as most time goes into calls to the state. One with more has them in buckets of time: input is added chunk by chunk
+and a timer releases bucket after bucket, so a task holds FEW rows or one bucket of one key, whatever the size of a batch; state is
+bounded by the lateness that the watermark allows. Rows behind the watermark are late: they come out at once, marked, and change nothing, and ``lateness`` counts them.
 
 Times inside are microseconds since 1970 (``at``), so the session's time zone plays no part. A stream that ends needs a row behind
 all others (``stream.closing_row``), as every watermark does. Needs the RocksDB state store (``stream.use_rocksdb``).
@@ -22,10 +23,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from ..functions.steps import Ema, Macd, Mean, Rsi
 
 HOUR = 3600 * 1_000_000
+#: Rows of a key that are held together, whatever their times.
+FEW = 1024
 
 
 class Ordered(StatefulProcessor):
-    """fields: names to types of a row besides its key, ``at`` among them; ``order``: what rows are sorted by; ``out``: the output's columns."""
+    """fields: names to types of a row besides its key, ``at`` first; ``order``: what rows are sorted by; ``out``: the output's columns."""
 
     fields: dict[str, str] = {"at": "bigint", "seq": "bigint", "price": "double", "volume": "bigint"}
     order: tuple[str, ...] = ("at", "seq")
@@ -36,8 +39,10 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "bucket bigint", ", ".join(f"{n} array<{t}>" for n, t in self.fields.items()))
-        self.due = handle.getValueState("due", "ms bigint")
+        columns = ", ".join(f"{n} array<{t}>" for n, t in self.fields.items())
+        self.held = handle.getMapState("held", "bucket bigint", columns)
+        # The timer's time, whether there are buckets, and the rows of a key without.
+        self.few = handle.getValueState("few", f"due bigint, spilled boolean, {columns}")
 
     def begin(self) -> None:
         """Load the key's state."""
@@ -53,54 +58,100 @@ class Ordered(StatefulProcessor):
         """Late rows to those that come out marked, and those that are held after all."""
         return rows, rows.iloc[:0]
 
+    def _load(self) -> None:
+        due, spilled, *rows = self.few.get() or (None, False, *[()] * len(self.fields))
+        self.due, self.spilled, self.rows = due, bool(spilled), [list(r or ()) for r in rows]
+
+    def _save(self) -> None:
+        if self.due is None:
+            self.few.clear()
+        else:
+            self.few.update((self.due, self.spilled, *self.rows))
+
     def _wake(self, at: int) -> None:
         """A timer for when the watermark has passed ``at``; one that is set already for an earlier time sets the next."""
         ms = at // 1000 + 1
-        if not self.due.exists() or ms < self.due.get()[0]:
-            self.due.update((ms,))
+        if self.due is None or ms < self.due:
+            self.due = ms
             self.handle.registerTimer(ms)
 
-    def _hold(self, rows: pd.DataFrame) -> None:
-        for bucket, part in rows.groupby(rows["at"] // self.width, sort=False):
-            key, new = (int(bucket),), [part[n].astype(object).where(part[n].notna(), None).tolist() for n in self.fields]
+    def _spill(self, columns: list[list]) -> None:
+        """Rows to their buckets of time."""
+        self.spilled = True
+        frame = pd.DataFrame(dict(zip(self.fields, columns)), dtype=object)
+        for bucket, part in frame.groupby(frame["at"].astype("int64") // self.width, sort=False):
+            key, new = (int(bucket),), [part[n].tolist() for n in self.fields]
             if self.held.containsKey(key):
                 new = [list(old) + more for old, more in zip(self.held.getValue(key), new)]
             self.held.updateValue(key, tuple(new))
-        if len(rows):
-            self._wake(int(rows["at"].min()))
+
+    def _hold(self, rows: pd.DataFrame) -> None:
+        if not len(rows):
+            return
+        new = [[None if x is None or x is pd.NA or x != x else x for x in rows[n].tolist()] for n in self.fields]
+        if not self.spilled and len(self.rows[0]) + len(rows) <= FEW:
+            for old, more in zip(self.rows, new):
+                old += more
+        else:
+            self._spill([old + more for old, more in zip(self.rows, new)])
+            self.rows = [[] for _ in self.fields]
+        self._wake(int(rows["at"].min()))
 
     def _marked(self, key: tuple, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
-        rows = rows.assign(symbol=key[0], late=late)
-        return pd.DataFrame({n: rows[n] if n in rows else pd.Series([None] * len(rows), rows.index, dtype=object) for n in self.out})
+        fixed = {"symbol": key[0], "late": late}
+        return pd.DataFrame({n: fixed[n] if n in fixed else rows[n] if n in rows else pd.Series([None] * len(rows), rows.index, dtype=object) for n in self.out}, rows.index)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        self._load()
         for chunk in rows:
-            late = chunk["at"] < watermark
-            out, held = self.belated(chunk[late], watermark)
-            if len(out):
-                yield self._marked(key, out, True)
-            self._hold(pd.concat([chunk[~late], held]) if len(held) else chunk[~late])
+            late = chunk["at"].to_numpy() < watermark
+            if late.any():
+                out, held = self.belated(chunk[late], watermark)
+                if len(out):
+                    yield self._marked(key, out, True)
+                chunk = pd.concat([chunk[~late], held]) if len(held) else chunk[~late]
+            self._hold(chunk)
+        self._save()
+
+    def _step(self, key: tuple, columns: list[list], watermark: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Rows that were held to the output of those that the watermark has passed, and the others."""
+        rows = pd.DataFrame(dict(zip(self.fields, columns))).sort_values(list(self.order), kind="stable", ignore_index=True)
+        n = int(rows["at"].searchsorted(watermark))
+        return self.step(key, rows.iloc[:n]) if n else rows.iloc[:0], rows.iloc[n:]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        buckets = sorted(k[0] for k in self.held.keys())
-        self.due.clear()
+        self._load()
+        self.due, few = None, self.rows
+        self.rows = [[] for _ in self.fields]
+        if few[0] and min(few[0]) >= watermark:  # a timer that an earlier one has overtaken
+            self.rows = few
+            self._wake(min(few[0]))
+            self._save()
+            return
         self.begin()
-        for bucket in buckets:
-            if bucket * self.width >= watermark:
-                self._wake(bucket * self.width)
-                break
-            rows = pd.DataFrame(dict(zip(self.fields, self.held.getValue((bucket,))))).sort_values(list(self.order), kind="stable", ignore_index=True)
-            ready = rows["at"] < watermark
-            self.held.removeKey((bucket,))
-            if not ready.all():
-                self._hold(rows[~ready])
-            if ready.any():
-                out = self.step(key, rows[ready])
+        if few[0]:
+            out, rest = self._step(key, few, watermark)
+            if len(out):
+                yield self._marked(key, out, False)
+            self._hold(rest)
+        elif self.spilled:
+            buckets, self.spilled = sorted(k[0] for k in self.held.keys()), False
+            for bucket in buckets:
+                if bucket * self.width >= watermark:
+                    self.spilled = True
+                    self._wake(bucket * self.width)
+                    break
+                out, rest = self._step(key, self.held.getValue((bucket,)), watermark)
+                self.held.removeKey((bucket,))
+                if len(rest):
+                    self.spilled = True
+                    self._hold(rest)
                 if len(out):
                     yield self._marked(key, out, False)
         self.finish()
+        self._save()
 
     def close(self) -> None:
         pass
@@ -124,7 +175,8 @@ class Changes(Ordered):
         self.last = handle.getValueState("last", "price double")
 
     def begin(self) -> None:
-        self.price = self.last.get()[0] if self.last.exists() else None
+        kept = self.last.get()
+        self.price = kept[0] if kept else None
 
     def step(self, key, rows):
         price = rows["price"].astype(float)
@@ -156,14 +208,16 @@ class Live(Ordered):
 
     def begin(self) -> None:
         self.steps = [Mean(self.window), Ema(12), Rsi(14), Macd()]
-        if self.kept.exists():
-            for step, state in zip(self.steps, self.kept.get()[0]):
+        kept = self.kept.get()
+        if kept:
+            for step, state in zip(self.steps, kept[0]):
                 step.load(state)
 
     def step(self, key, rows):
         mean, ema, rsi, macd = (s.push for s in self.steps)
         made = [(mean(p), ema(p), rsi(p), *macd(p)) for p in rows["price"].tolist()]
-        return rows.assign(**{n: [m[k] for m in made] for k, n in enumerate(("sma", "ema", "rsi", "macd", "macd_signal", "macd_histogram"))})
+        values = dict(zip(("sma", "ema", "rsi", "macd", "macd_signal", "macd_histogram"), zip(*made)))
+        return pd.DataFrame({n: rows[n] for n in self.fields} | values, rows.index)
 
     def finish(self) -> None:
         self.kept.update(([[None if x is None else float(x) for x in s.state()] for s in self.steps],))
@@ -211,7 +265,7 @@ class Book(Ordered):
         self.kept = handle.getValueState("book", "above array<double>, above_ids array<string>, below array<double>, below_ids array<string>")
 
     def begin(self) -> None:
-        above, above_ids, below, below_ids = self.kept.get() if self.kept.exists() else ([], [], [], [])
+        above, above_ids, below, below_ids = self.kept.get() or ([], [], [], [])
         self.sides = {"above": _Side(True, above, above_ids), "below": _Side(False, below, below_ids)}
         self.known = {a: side for side, ids in (("above", above_ids), ("below", below_ids)) for a in ids}
 

@@ -201,3 +201,41 @@ def test_first_hits_compares_no_tick_with_an_alert(spark):
 
 def test_batch_and_live_indicators_share_their_steps(spark):
     assert W.Ema is O.Ema and W.Macd is O.Macd
+
+
+class Calls:
+    """A state that counts the calls to it."""
+
+    def __init__(self, inner, count):
+        self.inner, self.count = inner, count
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.count.append(name)
+            return getattr(self.inner, name)(*a)
+
+        return call
+
+
+def test_a_key_with_few_rows_calls_its_state_a_few_times(monkeypatch):
+    """However many buckets of time the rows are in."""
+    count, value, held = [], Handle.getValueState, Handle.getMapState
+    monkeypatch.setattr(Handle, "getValueState", lambda self, *a: Calls(value(self, *a), count))
+    monkeypatch.setattr(Handle, "getMapState", lambda self, *a: Calls(held(self, *a), count))
+    rows = ticks(200)
+    out = drive(O.Live(20, 2_000_000), [(rows.iloc[:100], 40_000), (rows.iloc[100:], END), (None, END)])
+    assert out["seq"].tolist() == list(range(200)) and len(count) <= 16
+
+
+@pytest.mark.parametrize("few", [0, 7, 60, 1000])
+@pytest.mark.parametrize("kind", [O.Changes, lambda width: O.Live(20, width)])
+def test_rows_held_together_or_in_buckets_give_the_same(monkeypatch, few, kind):
+    rows, cuts = ticks(300), [0, 40, 110, 190, 300]
+    parts = [rows.sample(frac=1, random_state=3).iloc[a:b] for a, b in zip(cuts, cuts[1:])]
+    early = [rows.iloc[a:b].sample(frac=1, random_state=4) for a, b in zip(cuts, cuts[1:])]
+    want = drive(kind(O.HOUR), [(rows, END), (None, END)]).reset_index(drop=True)
+    monkeypatch.setattr(O, "FEW", few)
+    for arrivals, marks in ((parts, [0, 0, 0, END]), (early, [20_000, 50_000, 90_000, END])):
+        got = drive(kind(4_000_000), [*zip(arrivals, marks), (None, END)]).reset_index(drop=True)
+        assert got["seq"].tolist() == list(range(300)) and not got["late"].any()
+        pd.testing.assert_frame_equal(got, want, check_dtype=False)
