@@ -15,6 +15,11 @@ def percent_change(old: Column, new: Column) -> Column:
     return F.when(old == 0, F.lit(0.0)).otherwise(F.try_divide(new - old, old) * 100)
 
 
+def ieee_divide(n: Column, d: Column) -> Column:
+    """n / d of doubles as processors divide: by zero it is infinite (signed as n and the zero are), or NaN for 0 / 0."""
+    return F.when(d == 0, n * F.pow(d, F.lit(-1.0))).otherwise(F.try_divide(n, d))
+
+
 def safe_divide(n: Column, d: Column, default: float) -> Column:
     return F.when(F.abs(d) < EPSILON, F.lit(default)).otherwise(F.try_divide(n, d))
 

@@ -227,3 +227,12 @@ def test_scratch_deletes_what_was_staged(spark):
     assert len(S._staged) == before
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_risk_with_prices_of_zero(spark):
+    """By IEEE division, as in the reference and the SQL: returns from zero are infinite, so volatility and Sharpe are NaN."""
+    r = {x.symbol: x for x in A.analyse(quotes(spark, mid=[5, 0, 3, 4], first=[0, 3, 4], still=[7] * 4)).collect()}
+    for name in ("mid", "first"):
+        assert math.isnan(r[name].volatility) and math.isnan(r[name].sharpe)
+    assert r["mid"].max_drawdown == 1.0 and math.isnan(r["first"].max_drawdown) and r["mid"].recommendation == "Sell"
+    assert r["still"].volatility == 0.0 and r["still"].sharpe is None
