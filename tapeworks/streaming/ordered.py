@@ -168,7 +168,9 @@ def _run(rows: DataFrame, processor: Ordered, delay: str) -> DataFrame:
 
 
 class Changes(Ordered):
-    out = {"symbol": "string", "at": "bigint", "seq": "bigint", "price": "double", "volume": "bigint", "change": "double", "change_percent": "double", "late": "boolean"}
+    """The price before each tick; percentages are made of it outside, as a NaN that leaves pandas becomes null."""
+
+    out = {"symbol": "string", "at": "bigint", "seq": "bigint", "price": "double", "volume": "bigint", "before": "double", "change": "double", "late": "boolean"}
 
     def init(self, handle) -> None:
         super().init(handle)
@@ -184,8 +186,7 @@ class Changes(Ordered):
         if self.price is not None:
             before.iloc[0] = self.price
         self.price = float(price.iloc[-1])
-        change = price - before
-        return rows.assign(change=change, change_percent=(change / before * 100).where(before != 0, 0.0).where(before.notna()))
+        return rows.assign(before=before, change=price - before)
 
     def finish(self) -> None:
         if self.price is not None:

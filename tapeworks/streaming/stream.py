@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.expr import percent_change
+from ..functions.expr import ieee_divide
 from ..operators.indicators import by_symbol
 from .ordered import HOUR, Book, Changes, Live, _run, alert_events
 
@@ -20,14 +20,15 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def tick_changes(quotes: DataFrame) -> DataFrame:
-    """Batch: change and change_percent against the symbol's last price; null for its first tick."""
+    """Batch: change and change_percent against the symbol's last price; null for its first tick, infinite after a price of zero."""
     last = F.lag("price").over(by_symbol())
-    return quotes.withColumns({"change": F.col("price") - last, "change_percent": percent_change(last, F.col("price"))})
+    return quotes.withColumns({"change": F.col("price") - last, "change_percent": ieee_divide(F.col("price") - last, last) * 100})
 
 
 def stream_tick_changes(quotes: DataFrame, delay: str = "1 hour", width: int = HOUR) -> DataFrame:
     """The same for a stream, by event time; late rows come out marked, without change."""
-    return _run(quotes.select("symbol", "ts", "seq", "price", "volume"), Changes(width), delay)
+    out = _run(quotes.select("symbol", "ts", "seq", "price", "volume"), Changes(width), delay)
+    return out.select("symbol", "ts", "seq", "price", "volume", "change", (ieee_divide(F.col("change"), F.col("before")) * 100).alias("change_percent"), "late")
 
 
 def stream_indicators(quotes: DataFrame, window: int = 20, delay: str = "1 hour", width: int = HOUR) -> DataFrame:

@@ -239,3 +239,18 @@ def test_rows_held_together_or_in_buckets_give_the_same(monkeypatch, few, kind):
         got = drive(kind(4_000_000), [*zip(arrivals, marks), (None, END)]).reset_index(drop=True)
         assert got["seq"].tolist() == list(range(300)) and not got["late"].any()
         pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_changes_after_a_price_of_zero(spark, tmp_path):
+    """As IEEE division has them, like the reference and the SQL: infinite, and NaN from zero to zero."""
+    T.use_rocksdb(spark)
+    prices = [5.0, 0.0, 3.0, -0.0, 3.0, 0.0, 0.0, 4.0]
+    rows = spark.createDataFrame([("s", k, k, p, 1) for k, p in enumerate(prices)], "symbol string, t long, seq long, price double, volume long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    want = ["None", "-100.0", "inf", "-100.0", "-inf", "-100.0", "nan", "inf"]
+    said = lambda df: [str(r.change_percent) for r in df.orderBy("seq").collect()]
+    assert said(T.tick_changes(rows)) == want
+    for part in (rows.filter("seq < 4"), rows.filter("seq >= 4"), T.closing_row(rows)):
+        part.select(rows.columns).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = T.stream_tick_changes(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "1 minute")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert said(spark.read.parquet(f"{tmp_path}/out").filter("symbol <> ''")) == want
