@@ -285,7 +285,7 @@ def s4_csv_export(spark, d):
     path = _folder(spark, "csv")
     S.export_csv(_quotes(spark, d).withColumn("low", F.when(F.col("seq") % 3 != 0, F.col("low"))), path)
     schema = "symbol string, timestamp string, price double, volume bigint, open double, high double, low double"
-    back = spark.read.option("header", True).schema(schema).csv(f"{path}/*/")
+    back = spark.read.option("header", True).schema(schema).csv(path)
     return back.select("symbol", "timestamp", "price", "volume", *[F.round(c, 4).alias(c) for c in ("open", "high", "low")])
 
 
@@ -293,7 +293,7 @@ def s4_csv_export(spark, d):
 def s5_json_export(spark, d):
     path = _folder(spark, "json")
     S.export_json(_quotes(spark, d).withColumn("bid", F.when(F.col("seq") % 3 != 0, F.col("bid"))), path)
-    back = spark.read.schema(QUOTE).json(f"{path}/*/")
+    back = spark.read.schema(QUOTE).json(path)
     return back.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "price", "volume", *[F.round(c, 4).alias(c) for c in ("bid", "ask", "open", "high", "low")])
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tapeworks.functions import expr as X
 from tapeworks.functions.steps import Ema, Macd, Rsi, rounded
 from tapeworks.operators import checks as V, filters as L, indicators as W, risk as A
 from tapeworks.schema import QUOTE
+from tapeworks.sources import io as S
 
 START = dt.datetime(2024, 1, 1)
 
@@ -236,3 +238,22 @@ def test_risk_with_prices_of_zero(spark):
         assert math.isnan(r[name].volatility) and math.isnan(r[name].sharpe)
     assert r["mid"].max_drawdown == 1.0 and math.isnan(r["first"].max_drawdown) and r["mid"].recommendation == "Sell"
     assert r["still"].volatility == 0.0 and r["still"].sharpe is None
+
+
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_an_export_of_everything_has_no_folder_for_each_symbol(spark, tmp_path, kind):
+    """Folders are for symbols that are asked for; both forms hold all rows, and a symbol's rows lie in order."""
+    q = quotes(spark, **{f"s{k:03}": [k + 1, k + 2, k + 3] for k in range(200)})
+    export = S.export_csv if kind == "csv" else S.export_json
+    everything, some = str(tmp_path / "all"), str(tmp_path / "some")
+    export(q, everything)
+    export(q, some, symbols=["s007", "s100"])
+    files = [f for f in os.listdir(everything) if f.startswith("part-")]
+    assert 0 < len(files) <= 4 and not [f for f in os.listdir(everything) if f.startswith("symbol_dir")]
+    assert sorted(f for f in os.listdir(some) if f.startswith("symbol_dir")) == ["symbol_dir=s007", "symbol_dir=s100"]
+    read = lambda path: spark.read.schema("symbol string, price double").json(path) if kind == "json" else spark.read.option("header", True).csv(path).selectExpr("symbol", "cast(price as double) price")
+    assert sorted(map(tuple, read(everything).collect())) == sorted((r.symbol, r.price) for r in q.collect())
+    assert sorted(map(tuple, read(f"{some}/*/").collect())) == sorted((r.symbol, r.price) for r in q.filter("symbol in ('s007', 's100')").collect())
+    for f in files:
+        said = [tuple(r) for r in read(f"{everything}/{f}").collect()]
+        assert said == sorted(said)
