@@ -47,8 +47,8 @@ def _slot(doc_id: Column, slots: int) -> Column:
 
 
 def _postings(docs: DataFrame, slots: int) -> DataFrame:
-    """(slot, doc_id, term, tf). Texts move once, to their slot's task; the counts and the blocks need no further exchange."""
-    rows = docs.filter("doc_id is not null").select("doc_id", "text").withColumn("slot", _slot(F.col("doc_id"), slots)).repartition("slot")
+    """(slot, doc_id, term, tf). Texts move once, evenly by document: a slot is too large a share of a small segment for one task."""
+    rows = docs.filter("doc_id is not null").select("doc_id", "text").withColumn("slot", _slot(F.col("doc_id"), slots)).repartition("doc_id")
     return rows.select("slot", "doc_id", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("slot", "doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
@@ -83,8 +83,12 @@ def _write(spark: SparkSession, path: str, blocks: DataFrame, docs: DataFrame, d
     segment = uuid.uuid4().hex
     base = f"{path}/segments/{segment}"
     parts = max(1, min(RANGES, slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = blocks.repartitionByRange(parts, "term", "slot").withColumn("range", F.spark_partition_id())
+    # Ranges are found by a pass over all rows, which must not make the blocks a second time.
+    blocks.write.parquet(f"{base}/made")
+    dealt = spark.read.schema(blocks.schema).parquet(f"{base}/made").repartitionByRange(parts, "term", "slot").withColumn("range", F.spark_partition_id())
     dealt.sortWithinPartitions("range", "term", "slot").write.partitionBy("range").parquet(f"{base}/blocks")
+    made = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/made")
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
     docs.write.parquet(f"{base}/docs")
     if not documents:
         return segment, 0, slots, []
@@ -100,7 +104,8 @@ def add_segment(docs: DataFrame, path: str, snippet: int = 60) -> None:
     documents = docs.select("doc_id").distinct().count()
     slots = max(1, -(-documents // SLOT))
     short = docs.select("doc_id", safe_truncate(F.col("text"), snippet).alias("snippet")).groupBy("doc_id").agg(F.min("snippet").alias("snippet"))
-    made = _write(spark, path, _blocks(_postings(docs, slots)), short, documents, slots)
+    # Dealt by block before they are collected: partial lists of mostly single postings cost more than the rows.
+    made = _write(spark, path, _blocks(_postings(docs, slots).repartition("slot", "term")), short, documents, slots)
     _commit(spark, path, version, [*rows, made])
 
 
@@ -128,7 +133,8 @@ def merge_segments(spark: SparkSession, path: str) -> None:
     docs = _all(spark, path, segments, "docs").groupBy("doc_id").agg(F.min("snippet").alias("snippet"))
     documents = docs.count()
     slots = max(1, -(-documents // SLOT))
-    each = decoded(_all(spark, path, segments, "blocks"), "term").withColumn("slot", _slot(F.col("doc_id"), slots))
+    # One exchange, by block, does for the sums and for the new blocks.
+    each = decoded(_all(spark, path, segments, "blocks"), "term").withColumn("slot", _slot(F.col("doc_id"), slots)).repartition("slot", "term")
     postings = each.groupBy("slot", "term", "doc_id").agg(F.sum("tf").cast("int").alias("tf"))
     _commit(spark, path, version, [_write(spark, path, _blocks(postings), docs, documents, slots)])
 

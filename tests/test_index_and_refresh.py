@@ -1,5 +1,6 @@
 """The stored text index and the incremental refresh: equal to the full computation, and reading no more than they must."""
 
+import os
 import datetime as dt
 import math
 import random
@@ -186,3 +187,26 @@ def test_mean_goes_on_from_its_state():
     for k in range(30):
         b = Mean(4).load(b.state())
         assert a.push(k * 1.37) == b.push(k * 1.37)
+
+
+def test_a_segment_of_one_slot_is_counted_by_several_tasks_and_made_once(spark, tmp_path):
+    """Texts are dealt by document, and the pass that finds the ranges reads blocks instead of making them again."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("all"), F.concat(F.lit("w"), F.col("id") % 50)).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little text would be put in one task anyway
+    try:
+        tasks = TI._postings(docs, 1).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for batch in rows:
+            made.add(batch.num_rows)
+            yield batch
+
+    blocks = TI._blocks(TI._postings(docs, 1))
+    TI._write(spark, str(tmp_path / "index"), blocks.mapInArrow(seen, blocks.schema), docs.select("doc_id", F.col("text").alias("snippet")), 400, 1)
+    assert made.value == 51
+    (segment,) = os.listdir(tmp_path / "index" / "segments")
+    assert sorted(os.listdir(tmp_path / "index" / "segments" / segment)) == ["blocks", "docs"]
