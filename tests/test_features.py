@@ -115,6 +115,22 @@ def test_wrong_calls_of_table_functions(spark, bars, call):
         spark.sql(f"SELECT * FROM {call}").collect()
 
 
+def test_table_functions_take_batches_and_nest(spark, bars):
+    """Rows go to Python and back as Arrow batches, also in nested calls, with all columns of the table and null symbols."""
+    rows = [(None if r[0] == "a" else r[0], *r[1:], [r[4], None]) for r in bars]
+    spark.createDataFrame(rows, "symbol string, ts timestamp, close double, note string, number int, list array<int>").createOrReplaceTempView("lists")
+    out = spark.sql("SELECT * FROM macd(TABLE(SELECT * FROM ema(TABLE(lists), period => 5, price => 'close')), fast => 3, slow => 7, price => 'ema')")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPythonUDTF") == 2 and "BatchEvalPythonUDTF" not in plan
+    want = set()
+    for s in (None, "b"):
+        first, second = Ema(5), Macd(3, 7)
+        for row in (r for r in rows if r[0] == s):
+            mean = None if row[2] is None else first.push(row[2])
+            want.add(repr((*row, mean, *((None,) * 3 if mean is None else second.push(mean)))))
+    assert {repr(tuple(r)) for r in out.collect()} == want
+
+
 # Topics -----------------------------------------------------------------------------------------------------------------
 
 
