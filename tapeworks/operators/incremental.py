@@ -25,13 +25,15 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.steps import Ema, Macd, Mean, Rsi
 from .checks import adjusted_price
 
 BUCKETS = 64
+#: Quotes of a task of the fold, on average; buckets with more are dealt to several tasks by symbol.
+TASK_ROWS = 250_000
 _ROW_HASH_BITS = 36  # sums of these stay below 2^63 for 10^8 quotes of a symbol and day
 _VALUES = ("sma", "ema", "rsi", "macd", "macd_signal", "macd_histogram")
 _ROW = "symbol string, ts timestamp, seq bigint, price double, " + ", ".join(f"{v} double" for v in _VALUES) + ", state array<array<double>>, n bigint, mark bigint, dt date, bucket int"
@@ -68,19 +70,24 @@ def _fold(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([arrays[f.name] for f in schema], schema=schema)
 
 
-def _folded(quotes: DataFrame, saved: DataFrame | None) -> DataFrame:
+def _slot(symbol: str, slots: int) -> Column:
+    """Of a multiple of the buckets; a slot's symbols are in one bucket, the slot's number modulo the buckets."""
+    return F.pmod(F.xxhash64(symbol), F.lit(slots)).cast("int")
+
+
+def _folded(quotes: DataFrame, saved: DataFrame | None, slots: int) -> DataFrame:
     """quotes (symbol, ts, seq, price, dt, bucket, hash), and (symbol, saved) for symbols that go on from a state, to rows of ``_ROW``.
 
-    One exchange, by bucket, so that a task writes whole partitions; the window that finds a day's last row leaves each symbol
+    One exchange, by slot, so that a task writes one bucket's partitions; the window that finds a day's last row leaves each symbol
     together and in order for the fold.
     """
     rows = quotes.withColumn("saved", F.lit(None).cast("array<array<double>>"))
     rows = rows if saved is None else rows.unionByName(saved, allowMissingColumns=True)
-    order = Window.partitionBy("bucket", "symbol").orderBy("ts", "seq")  # a saved state has no time, so it comes first
+    order = Window.partitionBy("slot", "symbol").orderBy("ts", "seq")  # a saved state has no time, so it comes first
     following = F.lead("dt").over(order)
-    rows = rows.repartition("bucket").withColumn("ends", following.isNull() | (following != F.col("dt")))
+    rows = rows.withColumn("slot", _slot("symbol", slots)).repartitionById(slots, "slot").withColumn("ends", following.isNull() | (following != F.col("dt")))
     schema = to_arrow_schema(T._parse_datatype_string(_ROW))
-    return rows.sortWithinPartitions("bucket", "symbol", "ts", "seq").mapInArrow(lambda it: _fold(it, schema), _ROW)
+    return rows.sortWithinPartitions("slot", "symbol", "ts", "seq").mapInArrow(lambda it: _fold(it, schema), _ROW)
 
 
 class Refreshed:
@@ -128,7 +135,7 @@ def results(spark: SparkSession, out: str) -> DataFrame:
 def refresh(spark: SparkSession, lake: str, out: str, factors: DataFrame | None = None, buckets: int = BUCKETS) -> Refreshed:
     """Bring ``results`` up to the lake, and to ``factors`` (symbol, ex_ts, factor) if prices are to be adjusted.
 
-    ``buckets`` is how many tasks share a refresh at most, and must stay the same over the life of ``out``.
+    ``buckets`` is how many partitions a day has, and must stay the same over the life of ``out``. It does not bound the tasks.
     """
     version = _version(spark, out)
     # Written first, as what this refresh saw: a file that comes later is found by the next one.
@@ -146,7 +153,7 @@ def refresh(spark: SparkSession, lake: str, out: str, factors: DataFrame | None
         return Refreshed()
 
     quotes = spark.read.parquet(lake).withColumn("dt", F.col("dt").cast("date"))
-    quotes = quotes.withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int"))
+    quotes = quotes.withColumn("bucket", _slot("symbol", buckets))
     row_hash = F.pmod(F.xxhash64("symbol", "ts", "seq", "price"), F.lit(1 << _ROW_HASH_BITS))
     live = _live_rows(spark, out, version)
     of_days = lambda rows: rows.filter(F.col("dt").isin(days)) if days else rows.limit(0)
@@ -168,13 +175,15 @@ def refresh(spark: SparkSession, lake: str, out: str, factors: DataFrame | None
         of = since.withColumnsRenamed({"symbol": "of"})
         later = F.col("symbol").eqNullSafe(F.col("of")) & (F.col("dt") >= F.col("since"))
         # The hash is of the quotes as they are in the lake, so it is taken before prices are adjusted.
-        read = quotes.filter(F.col("dt") >= F.lit(first).cast("date")).join(of, later, "left_semi").withColumn("hash", row_hash)
+        reached = quotes.filter(F.col("dt") >= F.lit(first).cast("date"))
+        slots = buckets * max(1, -(-reached.count() // (buckets * TASK_ROWS)))  # counted in the files' footers
+        read = reached.join(of, later, "left_semi").withColumn("hash", row_hash)
         if factors is not None:
             read = adjusted_price(read, factors).withColumn("price", F.col("adjusted_price"))
         read = read.select("symbol", "ts", "seq", "price", "dt", "bucket", "hash")
         earlier = F.col("symbol").eqNullSafe(F.col("of")) & (F.col("dt") < F.col("since"))
         saved = live.filter("state is not null").join(of, earlier).groupBy("bucket", "symbol").agg(F.max_by("state", "dt").alias("saved"))
-        _folded(read, saved).write.partitionBy("dt", "bucket").parquet(rows_path)
+        _folded(read, saved, slots).write.partitionBy("dt", "bucket").parquet(rows_path)
 
         fresh = spark.read.schema(_ROW).parquet(rows_path)
         count = fresh.count()

@@ -182,6 +182,20 @@ def test_refresh_after_a_changed_factor(spark, tmp_path):
     assert (done.days, done.symbols, done.quotes) == (0, 1, 36) and refreshed(spark, out) == adjusted(0.8)
 
 
+def test_a_refresh_has_more_tasks_than_buckets(spark, tmp_path, monkeypatch):
+    """A bucket with many quotes is dealt to several tasks by symbol, at first and when later days are made again."""
+    monkeypatch.setattr(I, "TASK_ROWS", 40, raising=False)
+    lake, out, names = str(tmp_path / "lake"), str(tmp_path / "out"), "abcdefghijkl"
+    S.write_lake(quotes(spark, symbols=names), lake, F.lit("X"))
+    tasks = lambda run: len({f.split("-")[1] for _, _, found in os.walk(run) for f in found if f.startswith("part-")})
+    assert I.refresh(spark, lake, out, buckets=2).quotes == 648
+    (first,) = (tmp_path / "out" / "rows").iterdir()
+    assert tasks(first) > 4 and refreshed(spark, out) == full(quotes(spark, symbols=names))
+    changed = quotes(spark, lambda s, day, k: 2.0 * (day == 2), symbols=names)
+    replace(changed, lake, 2)
+    assert I.refresh(spark, lake, out, buckets=2).quotes == 432 and refreshed(spark, out) == full(changed)
+
+
 def test_mean_goes_on_from_its_state():
     a, b = Mean(4), Mean(4)
     for k in range(30):
