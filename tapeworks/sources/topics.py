@@ -7,7 +7,8 @@ null, fields that it has besides are listed in ``unknown_fields``, and old and n
 Every message ends in exactly one place: ``normalized_<type>``, with its envelope (source, version, ingest_ts, payload_hash), or
 ``quarantine``, with the raw text and the first reason that holds. Both are written by micro-batch number, so a batch that is run
 again after a failure replaces what it had written. A row's domain decides its columns, so the parsing of all versions is one
-projection over the stream, in which a message is parsed once, by its own version's schema.
+projection over the stream, in which a message is parsed once, by its own version's schema. The number of projections does not depend
+on that of domains and versions.
 """
 
 from __future__ import annotations
@@ -99,16 +100,21 @@ def _payload(version: Version) -> T.StructType:
     return T.StructType([*T._parse_datatype_string(version.fields).fields, T.StructField("_broken", T.StringType())])
 
 
-def _canonical(domain: Domain, version: Version) -> Column:
-    """The payload ``p`` as the domain's struct."""
+def _canonical(domain: Domain, version: Version, p: str) -> Column:
+    """The payload in column ``p`` as the domain's struct."""
     names = T._parse_datatype_string(version.fields).names
     columns = []
     for f in T._parse_datatype_string(domain.columns).fields:
         said = version.columns.get(f.name, f"p.{f.name}" if f.name in names else "null")
-        columns.append(F.expr(f"cast({said} as {f.dataType.simpleString()})").alias(f.name))
+        columns.append(F.expr(f"cast({_of(said, p)} as {f.dataType.simpleString()})").alias(f.name))
     return F.struct(*columns)
 
 
+def _of(said: str, p: str) -> str:
+    """SQL over ``p`` as SQL over the column of that name."""
+    return re.sub(r"'[^']*'|\bp\.", lambda m: f"{p}." if m[0] == "p." else m[0], said)
+
+
 def normalised(messages: DataFrame, registry: dict[str, Domain] = REGISTRY, now: Column | None = None) -> DataFrame:
     """(type, value) to type, value, version, source, ingest_ts, payload_hash, unknown_fields, reason, and a struct for each domain.
 
@@ -116,20 +122,24 @@ def normalised(messages: DataFrame, registry: dict[str, Domain] = REGISTRY, now:
     """
     said = messages.select("type", "value", F.from_json("value", _ENVELOPE).alias("e"))
     rows = said.select("type", "value", "e.version", "e.source", "e.payload", F.current_timestamp().alias("ingest_ts") if now is None else now.alias("ingest_ts"), F.sha2(F.coalesce("e.payload", "value"), 256).alias("payload_hash"))
+    versions = [(name, number, domain, version) for name, domain in registry.items() for number, version in domain.versions.items()]
+    mine = {(name, number): (F.col("type") == name) & (F.col("version") == number) for name, number, _, _ in versions}
+    parsed = {f"p_{name}_{number}": F.when(mine[name, number], F.from_json("payload", _payload(version), {"columnNameOfCorruptRecord": "_broken"})) for name, number, _, version in versions}
+    rows = rows.withColumns(parsed)  # all versions in one step, so that a message is copied once and not by each version
     reason = F.when(~F.col("type").isin(*registry), "Unknown topic").when(F.col("payload").isNull(), "Message is no envelope")
-    versioned = F.lit(False)
-    unknown = F.lit(None).cast("array<string>")
-    for name, domain in registry.items():
+    versioned, known = F.lit(False), F.lit(None).cast("array<string>")
+    made = {}
+    for name in registry:
         struct, broken = F.lit(None), F.lit(False)
-        for number, version in domain.versions.items():
-            mine = (F.col("type") == name) & (F.col("version") == number)
-            rows = rows.withColumn("p", F.when(mine, F.from_json("payload", _payload(version), {"columnNameOfCorruptRecord": "_broken"})))
-            known = F.array(*[F.lit(f) for f in T._parse_datatype_string(version.fields).names])
-            rows = rows.withColumns({f"s_{name}_{number}": F.when(mine, _canonical(domain, version)), f"b_{name}_{number}": mine & (F.col("p").isNull() | F.col("p._broken").isNotNull())}).drop("p")
-            unknown = F.when(mine, F.array_except(F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>")), known)).otherwise(unknown)
-            struct, broken = F.coalesce(F.col(f"s_{name}_{number}"), struct), broken | F.coalesce(F.col(f"b_{name}_{number}"), F.lit(False))
-            versioned = versioned | mine
-        rows = rows.withColumns({name: struct, f"b_{name}": broken})
+        for _, number, domain, version in (v for v in versions if v[0] == name):
+            own, p = mine[name, number], f"p_{name}_{number}"
+            struct = F.when(own, _canonical(domain, version, p)).otherwise(struct)
+            broken = F.when(own, F.col(p).isNull() | F.col(f"{p}._broken").isNotNull()).otherwise(broken)
+            known = F.when(own, F.array(*[F.lit(f) for f in T._parse_datatype_string(version.fields).names])).otherwise(known)
+            versioned = versioned | own
+        made |= {name: struct, f"b_{name}": broken}
+    unknown = F.when(versioned, F.array_except(F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>")), known))
+    rows = rows.withColumns(made)
     rows = rows.withColumn("unknown_fields", unknown)
     reason = reason.when(~F.coalesce(versioned, F.lit(False)), "Unknown version")
     for name, domain in registry.items():
@@ -154,6 +164,8 @@ def ingest(messages: DataFrame, out: str, checkpoint: str, registry: dict[str, D
     """Run the topics to their end, into ``<out>/normalized_<type>/batch=<n>`` and ``<out>/quarantine/batch=<n>``."""
 
     def sink(batch: DataFrame, number: int) -> None:
+        # The checks of all domains make a method too long for HotSpot to compile (8,000 bytes), so Spark shall split it; the session is the stream's own.
+        batch.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
         rows = normalised(batch, registry, now).persist()
         envelope = ["source", "version", "ingest_ts", "payload_hash", "unknown_fields"]
         for name in registry:

@@ -172,6 +172,14 @@ def test_every_message_has_one_place_and_a_reason(spark):
     assert (rows[CASES[18][1]].fundflow.inflow, rows[CASES[18][1]].fundflow.outflow) == (0.0, 4.0)
 
 
+def test_messages_are_copied_no_more_often_with_more_versions(spark):
+    plan = lambda registry: TP.normalised(spark.createDataFrame([], "type string, value string"), registry)._jdf.queryExecution().executedPlan().toString()
+    one = {"news": TP.Domain(TP.REGISTRY["news"].columns, TP.REGISTRY["news"].checks, {"2": TP.REGISTRY["news"].versions["2"]})}
+    all_of_them, least = plan(TP.REGISTRY), plan(one)
+    assert all_of_them.count("Project [") <= least.count("Project [") + 1
+    assert all_of_them.count("from_json") == 1 + sum(len(d.versions) for d in TP.REGISTRY.values())
+
+
 def test_topics_stream_over_batches_and_a_restart(spark, tmp_path):
     for part in (CASES[::2], CASES[1::2]):
         for kind in {c[0] for c in part}:
